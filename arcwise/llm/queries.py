@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from arcwise.llm import mixing, sharding, substrings
+from arcwise.llm import mixing, sharding, simhash, substrings
 
 QUERIES: dict[str, Callable] = {
+    "op6_simhash": simhash.op6_simhash,
     "op7_block_anchors": substrings.op7_block_anchors,
     "op8_systematic_mix": mixing.op8_systematic_mix,
     "op10_ring_sharding": sharding.op10_ring_sharding,
