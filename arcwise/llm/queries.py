@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from arcwise.llm import mixing, sharding, simhash, substrings, tokencounts
+from arcwise.llm import mixing, quality, sharding, simhash, substrings, tokencounts
 
 QUERIES: dict[str, Callable] = {
     "op2_digest_cache": tokencounts.op2_digest_cache,
     "op6_simhash": simhash.op6_simhash,
     "op7_block_anchors": substrings.op7_block_anchors,
     "op8_systematic_mix": mixing.op8_systematic_mix,
+    "op9_pu_quality": quality.op9_pu_quality,
     "op10_ring_sharding": sharding.op10_ring_sharding,
 }
 
