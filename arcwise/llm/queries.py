@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from arcwise.llm import mixing, quality, sharding, simhash, substrings, tokencounts
+from arcwise.llm import mixing, quality, sharding, simhash, substrings, tokencounts, topk
 
 QUERIES: dict[str, Callable] = {
     "op2_digest_cache": tokencounts.op2_digest_cache,
+    "op3_norm_buckets": topk.op3_norm_buckets,
     "op6_simhash": simhash.op6_simhash,
     "op7_block_anchors": substrings.op7_block_anchors,
     "op8_systematic_mix": mixing.op8_systematic_mix,
@@ -16,5 +17,6 @@ QUERIES: dict[str, Callable] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op3_norm_buckets": topk.OP3_SQL,
     "op8_systematic_mix": mixing.OP8_SQL,
 }
