@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from arcwise.llm import mixing, quality, sharding, simhash, substrings, tokencounts, topk
+from arcwise.llm import mixing, quality, sharding, simhash, substrings, tokencounts, topk, urls
 
 QUERIES: dict[str, Callable] = {
+    "op1_url_filter": urls.op1_url_filter,
     "op2_digest_cache": tokencounts.op2_digest_cache,
     "op3_norm_buckets": topk.op3_norm_buckets,
     "op6_simhash": simhash.op6_simhash,
