@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from arcwise.llm import mixing, quality, sharding, simhash, sketches, substrings, tokencounts, topk, urls
+from arcwise.llm import mixing, pieces, quality, sharding, simhash, sketches, substrings, tokencounts, topk, urls
 
 QUERIES: dict[str, Callable] = {
     "op1_url_filter": urls.op1_url_filter,
     "op2_digest_cache": tokencounts.op2_digest_cache,
     "op3_norm_buckets": topk.op3_norm_buckets,
     "op4_lookup_sketch": sketches.op4_lookup_sketch,
+    "op5_piece_trie": pieces.op5_piece_trie,
     "op6_simhash": simhash.op6_simhash,
     "op7_block_anchors": substrings.op7_block_anchors,
     "op8_systematic_mix": mixing.op8_systematic_mix,
