@@ -17,16 +17,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
-from arcwise.llm.tables import read
+from arcwise.llm.tables import read, small_batches
 from arcwise.llm.tokencounts import tokenizer_path
 from arcwise.llm.words import in_units
 
 MARK = "▁"
 #: Runs of marks with what follows; a line end is no part of any piece.
 _WORDS = re.compile(f"\n|{MARK}+[^{MARK}\n]*|[^{MARK}\n]+")
-UNIT_BYTES, KEPT_WORDS, KEPT_PAIRS = 2 << 20, 500_000, 1_000_000
+UNIT_BYTES, KEPT_WORDS, KEPT_PAIRS = 1 << 20, 300_000, 1_000_000
 
 
 class PieceTrie:
@@ -107,8 +107,10 @@ class PieceTrie:
         out, before, ends, pairs = {}, "", [""], (2,)
         rank, lengths, apart = self.rank, self.lengths, self.apart
         for word in words:
-            shared, most = 0, min(len(word), len(before))
-            while shared < most and word[shared] == before[shared]:
+            shared = 0
+            for x, y in zip(word, before, strict=False):
+                if x != y:
+                    break
                 shared += 1
             del ends[shared + 1 :]
             for i in range(shared + 1, len(word) + 1):
@@ -148,8 +150,16 @@ def encode_pieces(docs: DataFrame, path: str, column: str = "text", out: str = "
     have no ids. Rows may repeat; other columns are kept, a column named as
     ``out`` is replaced; an empty table gives an empty result.
     """
+    small_batches(docs.sparkSession)
     kept = [c for c in docs.columns if c != out]
+    return docs.select(*kept).mapInArrow(_encoder(path, kept, column, out), _with(docs.select(*kept), out, ArrayType(IntegerType())))
+
+
+def _with(docs: DataFrame, out: str, kind) -> StructType:
+    return StructType([*docs.schema.fields, StructField(out, kind)])
+
 
+def _encoder(path: str, kept: list[str], column: str, out: str):
     def run(batches):
         trie, known = PieceTrie(path), {}
         named = (b.rename_columns(["text" if c == column else f"_{c}" for c in b.schema.names]) for b in batches)
@@ -164,7 +174,7 @@ def encode_pieces(docs: DataFrame, path: str, column: str = "text", out: str = "
             ids = pa.ListArray.from_arrays(pa.array(bounds), pa.array(np.frombuffer(b"".join(parts), np.int32)))
             yield pa.RecordBatch.from_arrays([*piece.columns, ids], [*kept, out])
 
-    return docs.select(*kept).mapInArrow(run, docs.select(*kept).schema.add(out, ArrayType(IntegerType())))
+    return run
 
 
 def decode_pieces(docs: DataFrame, path: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
@@ -173,25 +183,60 @@ def decode_pieces(docs: DataFrame, path: str, ids: str = "ids", out: str = "deco
     The mark that encoding puts first is taken off, and bytes that are no UTF-8
     become U+FFFD. Ids past the vocabulary are an error.
     """
+    small_batches(docs.sparkSession)
     kept = [c for c in docs.columns if c != out]
+    return docs.select(*kept).mapInArrow(_decoder(path, kept, ids, out), _with(docs.select(*kept), out, StringType()))
 
+
+def _decoder(path: str, kept: list[str], ids: str, out: str):
     def run(batches):
         table = PieceTrie(path).bytes_of
+        size = np.array([len(x) for x in table], np.int64)
+        start = np.cumsum(size) - size
+        data = np.frombuffer(b"".join(table), np.uint8)
+        # a single byte past ASCII may make no character
+        lone = np.array([len(x) == 1 and x[0] > 0x7F for x in table])
+        marked = np.array([x[:1] == b" " for x in table])
         for batch in batches:
-            texts = []
-            for found in batch.column(kept.index(ids)).to_pylist():
-                raw = b"".join([table[i] for i in found or ()])
-                texts.append(raw.removeprefix(b" ").decode(errors="replace"))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*kept, out])
+            for at in range(0, batch.num_rows, 512):
+                piece = batch.slice(at, 512)
+                column = piece.column(kept.index(ids))
+                found = column.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+                counts = np.array(column.value_lengths().fill_null(0), np.int64)
+                bounds = np.concatenate([[0], np.cumsum(counts)])
+                firsts = bounds[:-1][counts > 0]
+                skip = np.zeros(len(found), np.int64)
+                skip[firsts] = marked[found[firsts]]
+                length = size[found] - skip
+                ends = np.cumsum(length)
+                total = int(ends[-1]) if len(ends) else 0
+                spots = np.repeat(start[found] + skip - (ends - length), length) + np.arange(total)
+                raw = data[spots].tobytes()
+                cuts = np.concatenate([[0], ends])[bounds]
+                strange = np.add.reduceat(np.append(lone[found], False).astype(np.int64), bounds[:-1]) * (counts > 0) if len(found) else np.zeros(len(counts), np.int64)
+                if strange.any():
+                    texts = pa.array([raw[x:y].decode(errors="replace") for x, y in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)], pa.string())
+                else:
+                    texts = pa.StringArray.from_buffers(len(counts), pa.py_buffer(cuts.astype(np.int32).tobytes()), pa.py_buffer(raw))
+                yield pa.RecordBatch.from_arrays([*piece.columns, texts], [*kept, out])
+
+    return run
+
 
-    return docs.select(*kept).mapInArrow(run, docs.select(*kept).schema.add(out, "string"))
+def encode_and_decode(docs: DataFrame, path: str) -> DataFrame:
+    """``docs`` with ``ids`` of the column ``text`` and ``decoded``, in one pass over the rows."""
+    small_batches(docs.sparkSession)
+    kept = [c for c in docs.columns if c not in ("ids", "decoded")]
+    encode, decode = _encoder(path, kept, "text", "ids"), _decoder(path, [*kept, "ids"], "ids", "decoded")
+    schema = StructType([*docs.select(*kept).schema.fields, StructField("ids", ArrayType(IntegerType())), StructField("decoded", StringType())])
+    return docs.select(*kept).mapInArrow(lambda batches: decode(encode(batches)), schema)
 
 
 def op5_piece_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents encoded and decoded again."""
     path = tokenizer_path("piece_bpe_32k.model")
     docs = read(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    done = decode_pieces(encode_pieces(docs, path), path)
+    done = encode_and_decode(docs, path)
     return done.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_pieces"),

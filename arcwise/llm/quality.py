@@ -7,11 +7,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from arcwise.llm.tables import read
+from arcwise.llm.tables import read, small_batches
 from arcwise.llm.words import find_words, in_units
 
 #: Bounds of the training sample: trusted positives, unlabelled texts, labelled rows for the prior.
 POSITIVES, UNLABELLED, AUDITED = 20_000, 20_000, 20_000
+UNIT_BYTES = 1 << 19
 
 _CLASS = np.zeros(256, np.int64)  # of bytes: 0 other, 1 lower, 2 upper, 3 digit, 4 sentence mark, 5 sign, 6 past ASCII, 7 space, 8 line end
 _CLASS[ord("a") : ord("z") + 1] = 1
@@ -113,10 +114,11 @@ def non_negative_risk(positive: np.ndarray, unlabelled: np.ndarray, prior: float
 
 def _featured(docs: DataFrame, *kept: str) -> DataFrame:
     def run(batches):
-        for piece, data, bounds in in_units(batches, 1 << 20):
+        for piece, data, bounds in in_units(batches, UNIT_BYTES):
             rows = pa.array(list(features(data, bounds)), pa.list_(pa.float64()))
             yield pa.RecordBatch.from_arrays([piece.column(c) for c in kept] + [rows], [*kept, "x"])
 
+    small_batches(docs.sparkSession)
     kinds = dict(docs.dtypes)
     return docs.select(*kept, "text").mapInArrow(run, ", ".join(f"{c} {kinds[c]}" for c in kept) + ", x array<double>")
 
@@ -159,11 +161,12 @@ def score_quality(docs: DataFrame, model: dict) -> DataFrame:
     Whole texts count; null and empty ones get the score of an empty text. Rows
     may repeat, other columns are kept, and an empty table gives an empty result.
     """
+    small_batches(docs.sparkSession)
     kept = [c for c in docs.columns if c != "score"]
     centre, spread, weights = model["centre"], model["spread"], model["weights"]
 
     def run(batches):
-        for piece, data, bounds in in_units(batches, 1 << 20):
+        for piece, data, bounds in in_units(batches, UNIT_BYTES):
             z = np.clip((features(data, bounds) - centre) / spread, -8, 8)
             score = 0.5 * (1 + np.tanh((z @ weights[:-1] + weights[-1]) / 2))
             yield pa.RecordBatch.from_arrays([piece.column(c) for c in kept] + [pa.array(score)], [*kept, "score"])

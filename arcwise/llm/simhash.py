@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from arcwise.llm.tables import one_row_per_id, read, shuffle_count
+from arcwise.llm.tables import one_row_per_id, read, shuffle_count, small_batches
 from arcwise.operators.components import star_labels
 from arcwise.storage import materialize
 
@@ -249,6 +249,7 @@ def near_duplicates(docs: DataFrame, words: int, bits: int, radius: int, keys=No
     doc_id take no part; of rows that repeat one, that with the least text is the
     document. An empty table gives an empty result; other columns are ignored.
     """
+    small_batches(docs.sparkSession)
     docs = one_row_per_id(docs, "doc_id", "text")
     fps = materialize(fingerprints(docs, words, bits), "fingerprints")
     nodes = materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("node")), "nodes")

@@ -21,11 +21,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from arcwise.llm.tables import one_row_per_id, read, shuffle_count
+from arcwise.llm.tables import one_row_per_id, read, shuffle_count, small_batches
 from arcwise.llm.words import find_words, in_units
 from arcwise.storage import materialize
 
-BLOCK, UNIT_BYTES = 10, 4 << 20
+BLOCK, UNIT_BYTES = 10, 2 << 20
 PIECES = "bucket int, unit long, kind int, hashes binary, places binary, ids binary, runs binary"
 PLACES = "unit long, kind int, places binary, ids binary, runs binary"
 _U = np.uint64
@@ -234,6 +234,7 @@ def remove_repeats(docs: DataFrame, size: int = 20) -> DataFrame:
     """
     if size < 2 * BLOCK - 1:
         raise ValueError(f"a window needs {2 * BLOCK - 1} words to hold a block of {BLOCK}")
+    small_batches(docs.sparkSession)
     docs = one_row_per_id(docs, "doc_id", "text")
     buckets = shuffle_count(docs.sparkSession)
     probes = docs.mapInArrow(block_pieces(buckets), PIECES)

@@ -29,5 +29,13 @@ def one_row_per_id(df: DataFrame, key: str, *kept: str) -> DataFrame:
     return least.select(key, *[F.col("_least")[c].alias(c) for c in kept])
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Bound what a Python task holds at a time: the session's Arrow batches have ``rows`` rows at most."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(key))
+    if now <= 0 or now > rows:
+        spark.conf.set(key, rows)
+
+
 def shuffle_count(spark: SparkSession, least: int = 1) -> int:
     return max(least, int(spark.conf.get("spark.sql.shuffle.partitions")))

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from arcwise.llm.tables import read
+from arcwise.llm.tables import read, small_batches
 from arcwise.storage import materialize, new_path
 
 # characters whose classes all Unicode versions in use agree on
@@ -93,6 +93,7 @@ def count_tokens(docs: DataFrame, path: str, cache: str, ranks_path: str | None
     append the same digest do no harm, since the lookup takes one count of each.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     version = tokenizer_version(path)
     text = F.coalesce("text", F.lit(""))
     digest = F.unhex(F.sha2(text.cast("binary"), 256))

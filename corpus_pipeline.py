@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from arcwise.llm.mixing import mix_sources
-from arcwise.llm.pieces import decode_pieces, encode_pieces
+from arcwise.llm.pieces import encode_and_decode
 from arcwise.llm.quality import score_quality, train_quality
 from arcwise.llm.simhash import band_keys, near_duplicates
 from arcwise.llm.substrings import remove_repeats
@@ -57,7 +57,7 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def pieces_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """``doc_id``, the ids of the text's pieces and how many, and whether they decode to the text."""
     path = tokenizer_path("piece_bpe_32k.model")
-    done = decode_pieces(encode_pieces(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), path), path)
+    done = encode_and_decode(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), path)
     same = F.col("decoded") == F.translate("text", "▁", " ")
     return done.select("doc_id", F.size("ids").cast("long").alias("n_pieces"), "ids", same.alias("round_trip"))
 
