@@ -196,8 +196,8 @@ def graph_equality(spark, sf):
     return one_row(spark, same=g.equals(back), fewer=g.equals(g.remove_vertices(g.vertices.limit(1))))
 
 
-@query(f"""WITH {CP}, at AS (SELECT src AS v, src, dst FROM cp UNION ALL SELECT dst, src, dst FROM cp)
-SELECT a.src AS src_a, a.dst AS dst_a, b.src AS src_b, b.dst AS dst_b FROM at a JOIN at b ON a.v = b.v AND (a.src < b.src OR (a.src = b.src AND a.dst < b.dst))""")
+@query(f"""WITH {CP}, inc AS (SELECT src AS v, src, dst FROM cp UNION ALL SELECT dst, src, dst FROM cp)
+SELECT a.src AS src_a, a.dst AS dst_a, b.src AS src_b, b.dst AS dst_b FROM inc a JOIN inc b ON a.v = b.v AND (a.src < b.src OR (a.src = b.src AND a.dst < b.dst))""")
 def line_graph(spark, sf):
     return copurchase(spark, sf).line_graph()
 
@@ -534,8 +534,8 @@ def cut_tree_sides(spark, sf):
     g, t = region_trade(spark, sf).written(), _region_tree(spark, sf)
     cuts = materialize(flow.tree_cuts(t))
     s, d = cuts.select("child", F.col("id").alias("src"), F.col("side").alias("a")), cuts.select("child", F.col("id").alias("dst"), F.col("side").alias("b"))
-    cost = g.edges.join(s, "src").join(d, ["child", "dst"]).where("a <> b").groupBy("child").agg(F.sum("cost").alias("true"))
-    return one_row(spark, apart=cuts.select("child", F.col("cost").alias("said")).distinct().join(cost, "child", "left").where("said <> coalesce(true, -1)").count())
+    cost = g.edges.join(s, "src").join(d, ["child", "dst"]).where("a <> b").groupBy("child").agg(F.sum("cost").alias("is_cost"))
+    return one_row(spark, apart=cuts.select("child", F.col("cost").alias("said")).distinct().join(cost, "child", "left").where("said <> coalesce(is_cost, -1)").count())
 
 
 # -- matching
