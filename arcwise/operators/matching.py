@@ -41,8 +41,11 @@ def greedy_weight_matching(g: Graph, weight="weight") -> DataFrame:
 
 
 def maximal_matching(g: Graph, cost=None) -> DataFrame:
-    """``src, dst``: no further edge fits; cheapest first. At least half as many edges as can be."""
-    c = F.lit(0) if cost is None else F.col(cost) if isinstance(cost, str) else cost
+    """``src, dst``: no further edge fits; cheapest first, else in the order of a hash. At least half as many edges as can be.
+
+    There are as many rounds as the longest chain of ever cheaper neighbouring edges, a logarithm by hash.
+    """
+    c = F.xxhash64("src", "dst") if cost is None else F.col(cost) if isinstance(cost, str) else cost
     return _locally_best(g.edges.select("src", "dst", c.alias("key"))).select("src", "dst")
 
 
@@ -65,7 +68,7 @@ def bipartite_max_matching(edges: DataFrame, max_rounds: int = 10_000) -> DataFr
     """
     edges = materialize(edges.select("left", "right").distinct())
     tagged = edges.select(F.struct(F.lit(0).alias("side"), F.col("left").cast("string").alias("v")).alias("src"), F.struct(F.lit(1).alias("side"), F.col("right").cast("string").alias("v")).alias("dst"))
-    first = _locally_best(tagged.withColumn("key", F.lit(0)))
+    first = _locally_best(tagged.withColumn("key", F.xxhash64("src", "dst")))
     kinds = dict(edges.dtypes)
     matched = materialize(first.select(F.col("src.v").cast(kinds["left"]).alias("left"), F.col("dst.v").cast(kinds["right"]).alias("right")))
     for _ in range(max_rounds):

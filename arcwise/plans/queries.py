@@ -288,8 +288,6 @@ def _first_vertex(g: Graph) -> DataFrame:
     return g.vertices.agg(F.min("id").alias("id"))
 
 
-HOPS = "walk(id, hops) AS (SELECT min(id), 0 FROM cpv UNION SELECT a.dst, w.hops + 1 FROM walk w JOIN cpa a ON a.src = w.id WHERE w.hops < 60)"
-
 
 @query(f"""WITH RECURSIVE {CP}, b(id, hops, seen) AS (SELECT id, 0, id FROM (SELECT min(id) AS id FROM cpv) UNION ALL
  SELECT DISTINCT a.dst, b.hops + 1, a.dst FROM b JOIN cpa a ON a.src = b.id WHERE a.dst NOT IN (SELECT seen FROM recurring.b)),
@@ -319,10 +317,6 @@ def contracted(spark, sf):
     return connectivity.contract(g, _cheap(g))[2]
 
 
-def _cut_by_removal(g: Graph, sets: DataFrame) -> DataFrame:
-    return connectivity.test_separators(g, sets)
-
-
 @query(rules("missed", "wrong"))
 def bridge_edges(spark, sf):
     """Bridges against a second way: an edge is one if it is alone in its block."""
@@ -373,7 +367,7 @@ lab AS (SELECT s, id, min(c) AS c FROM reach GROUP BY 1, 2)
 SELECT s AS set_id, count(DISTINCT c) AS components, count(DISTINCT c) <> 1 AS separates FROM lab GROUP BY 1""")
 def tested_separators(spark, sf):
     g = _sparse_trade(spark, sf).written()
-    return _cut_by_removal(g, g.vertices.select(F.col("id").alias("set_id"), "id"))
+    return connectivity.test_separators(g, g.vertices.select(F.col("id").alias("set_id"), "id"))
 
 
 @query(f"""WITH RECURSIVE {RT} SELECT list_sort(l) AS members FROM (SELECT [src] AS l FROM rt WHERE FALSE)""")
@@ -554,7 +548,7 @@ def greedy_matching(spark, sf):
 @query(rules("missing", "shared", "addable"))
 def maximal_matching(spark, sf):
     g = copurchase(spark, sf).written()
-    m = materialize(matching.maximal_matching(g, "cost"))
+    m = materialize(matching.maximal_matching(g))
     row = matching.check_matching(g, m).first()
     return one_row(spark, missing=row["missing"], shared=row["shared"], addable=g.remove_vertices(m.select("src").union(m.select("dst"))).edge_count())
 
