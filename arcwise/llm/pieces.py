@@ -26,7 +26,7 @@ from arcwise.llm.words import in_units
 MARK = "▁"
 #: Runs of marks with what follows; a line end is no part of any piece.
 _WORDS = re.compile(f"\n|{MARK}+[^{MARK}\n]*|[^{MARK}\n]+")
-UNIT_BYTES, KEPT_WORDS, KEPT_PAIRS = 1 << 20, 300_000, 1_000_000
+UNIT_BYTES, KEPT_WORDS, KEPT_PAIRS = 1 << 20, 600_000, 1_000_000
 
 
 class PieceTrie:
