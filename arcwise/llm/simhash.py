@@ -229,9 +229,10 @@ def linked_fingerprints(nodes: DataFrame, bits: int, radius: int, keys) -> DataF
 
     rows = nodes.mapInArrow(keyed, "key long, node long, fp binary")
     only_keys = nodes.mapInArrow(keyed, "key long, node long, fp binary").select("key")
-    shared = materialize(only_keys.groupBy("key").count().where("count > 1"), "keys")
-    met = rows.join(shared, "key")
-    parts = F.ceil(F.col("count") / CROWD).cast("int")
+    # keys with more rows than a part holds: few, and known by partial counts
+    crowded = materialize(only_keys.groupBy("key").count().where(F.col("count") > CROWD), "crowded")
+    met = rows.join(crowded, "key", "left")
+    parts = F.ceil(F.coalesce("count", F.lit(1)) / CROWD).cast("int")
     met = met.withColumn("_parts", parts).withColumn("_own", F.pmod(F.xxhash64("node"), F.col("_parts")).cast("int"))
     met = met.select("key", "node", "fp", "_own", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)).alias("_other"))
     met = met.select("key", F.least("_own", "_other").alias("i"), F.greatest("_own", "_other").alias("j"), "node", "fp")
