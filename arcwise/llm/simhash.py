@@ -159,6 +159,29 @@ def forest(n: int, p: np.ndarray, q: np.ndarray) -> np.ndarray:
             return root
 
 
+def by_group(compare):
+    """Hand tables of whole groups to ``compare``, from rows that lie together by ``key, i, j``."""
+
+    def run(batches):
+        held = None
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            held = table if held is None else pa.concat_tables([held, table])
+            ends = [held.column(c).combine_chunks() for c in ("key", "i", "j")]
+            other = np.zeros(held.num_rows, bool)
+            for c in ends:
+                values = c.to_numpy()
+                other |= values != values[-1]
+            if other.any():
+                cut = int(np.flatnonzero(other)[-1]) + 1
+                yield compare(held.slice(0, cut))
+                held = held.slice(cut)
+        if held is not None and held.num_rows:
+            yield compare(held)
+
+    return run
+
+
 def linked_rows(radius: int):
     """Links of rows that lie together by group; each leads to its group's first."""
 
@@ -188,24 +211,7 @@ def linked_rows(radius: int):
         own = np.flatnonzero(root != np.arange(part.num_rows))
         return pa.RecordBatch.from_arrays([pa.array(node[own]), pa.array(node[root[own]])], ["a", "b"])
 
-    def run(batches):
-        held = None
-        for batch in batches:
-            table = pa.Table.from_batches([batch])
-            held = table if held is None else pa.concat_tables([held, table])
-            ends = [held.column(c).combine_chunks() for c in ("key", "i", "j")]
-            other = np.zeros(held.num_rows, bool)
-            for c in ends:
-                values = c.to_numpy()
-                other |= values != values[-1]
-            if other.any():
-                cut = int(np.flatnonzero(other)[-1]) + 1
-                yield compare(held.slice(0, cut))
-                held = held.slice(cut)
-        if held is not None and held.num_rows:
-            yield compare(held)
-
-    return run
+    return by_group(compare)
 
 
 def linked_fingerprints(nodes: DataFrame, bits: int, radius: int, keys) -> DataFrame:
@@ -227,8 +233,11 @@ def linked_fingerprints(nodes: DataFrame, bits: int, radius: int, keys) -> DataF
                 [pa.array(found.ravel()), batch.column("node").take(pa.array(again)), batch.column("fp").take(pa.array(again))], ["key", "node", "fp"]
             )
 
-    rows = nodes.mapInArrow(keyed, "key long, node long, fp binary")
-    only_keys = nodes.mapInArrow(keyed, "key long, node long, fp binary").select("key")
+    return linked_keys(nodes.mapInArrow(keyed, "key long, node long, fp binary"), nodes.mapInArrow(keyed, "key long, node long, fp binary").select("key"), radius)
+
+
+def linked_keys(rows: DataFrame, only_keys: DataFrame, radius: int) -> DataFrame:
+    """Links ``a, b`` between rows of ``key, node, fp`` with one key that lie within the radius; ``only_keys`` has their keys."""
     # keys with more rows than a part holds: few, and known by partial counts
     crowded = materialize(only_keys.groupBy("key").count().where(F.col("count") > CROWD), "crowded")
     met = rows.join(crowded, "key", "left")
@@ -236,7 +245,7 @@ def linked_fingerprints(nodes: DataFrame, bits: int, radius: int, keys) -> DataF
     met = met.withColumn("_parts", parts).withColumn("_own", F.pmod(F.xxhash64("node"), F.col("_parts")).cast("int"))
     met = met.select("key", "node", "fp", "_own", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)).alias("_other"))
     met = met.select("key", F.least("_own", "_other").alias("i"), F.greatest("_own", "_other").alias("j"), "node", "fp")
-    grouped = met.repartition(shuffle_count(nodes.sparkSession), "key", "i", "j").sortWithinPartitions("key", "i", "j", "node")
+    grouped = met.repartition(shuffle_count(rows.sparkSession), "key", "i", "j").sortWithinPartitions("key", "i", "j", "node")
     return grouped.mapInArrow(linked_rows(radius), "a long, b long")
 
 

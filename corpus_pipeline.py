@@ -10,17 +10,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from arcwise.llm.mixing import mix_sources
+from arcwise.llm.nearcopies import first_of_near_copies
 from arcwise.llm.pieces import encode_and_decode
 from arcwise.llm.quality import score_quality, train_quality
-from arcwise.llm.simhash import band_keys, near_duplicates
 from arcwise.llm.substrings import remove_repeats
 from arcwise.llm.tables import read
 from arcwise.llm.tokencounts import tokenizer_path
 from arcwise.storage import materialize
 
-#: Near-duplicates: five-word shingles at a similarity of 0.8. Sets with that Jaccard similarity J have vectors at a
-#: cosine of 2J / (1 + J), so SimHash bits differ with a chance of 15.2 %: 77.6 of 512. One deviation is added.
-SHINGLE, BITS, RADIUS, BAND = 5, 512, 86, 16
+#: Near-duplicates: sets of five-word shingles with a Jaccard similarity of 4 / 5 or more, compared exactly. At 4 / 5 a
+#: pair shares none of 20 bands of three minima with a chance of (1 - 0.8 ** 3) ** 20 = 5.9e-7. Bits of its SimHash
+#: differ with a chance of 3 / 16 at most (sets of 4 and 5), so it leaves the radius with 7.9e-7 at most: together
+#: under 1.5 in a million, and less above 4 / 5. The radius only chooses what is compared.
+SHINGLE, OVER, UNDER, BITS, RADIUS, BANDS, ROWS = 5, 4, 5, 512, 140, 20, 3
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,8 +34,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document of the smallest id of each group of near-duplicates; texts without words are one group."""
-    found = near_duplicates(docs, SHINGLE, BITS, RADIUS, band_keys(BITS, BAND))
-    kept = materialize(found.where("doc_id = component_id").select("doc_id"), "kept")
+    kept = materialize(first_of_near_copies(docs, SHINGLE, OVER, UNDER, BITS, RADIUS, BANDS, ROWS), "kept")
     return docs.join(kept, "doc_id", "left_semi").select(*docs.columns)
 
 
