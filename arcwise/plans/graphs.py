@@ -42,6 +42,27 @@ PS = """ps AS (SELECT 'p' || l_partkey AS src, 's' || l_suppkey AS dst, CAST(sum
  FROM lineitem WHERE l_quantity >= 50 GROUP BY 1, 2)"""
 
 
+def copurchase_all(spark: SparkSession, sf: str) -> Graph:
+    """Parts that any order holds together, whatever the amounts."""
+    rows = table(spark, sf, "lineitem").select("l_orderkey", "l_partkey")
+    return Graph.from_edges(rows.toDF("o", "src").join(rows.toDF("o", "dst"), "o").where("src < dst").select("src", "dst"))
+
+
+CA = """ca AS (SELECT DISTINCT l.l_partkey AS src, r.l_partkey AS dst FROM lineitem l JOIN lineitem r ON l.l_orderkey = r.l_orderkey AND l.l_partkey < r.l_partkey),
+caa AS (SELECT src, dst FROM ca UNION ALL SELECT dst, src FROM ca)"""
+
+
+def part_supplier_all(spark: SparkSession, sf: str) -> Graph:
+    """Two-sided: parts and all suppliers that sold them, with skewed hubs; the weight is the revenue in cents."""
+    cents = F.sum(F.floor(F.col("l_extendedprice") * 100 + 0.5).cast("long"))
+    by = (F.concat(F.lit("p"), "l_partkey").alias("src"), F.concat(F.lit("s"), "l_suppkey").alias("dst"))
+    return Graph.from_edges(table(spark, sf, "lineitem").groupBy(*by).agg(cents.alias("weight")))
+
+
+PA = """pa AS (SELECT 'p' || l_partkey AS src, 's' || l_suppkey AS dst, CAST(sum(CAST(floor(l_extendedprice * 100 + 0.5) AS BIGINT)) AS BIGINT) AS weight
+ FROM lineitem GROUP BY 1, 2)"""
+
+
 def nation_trade(spark: SparkSession, sf: str) -> MultiGraph:
     """Customer nation and supplier nation of every line between two nations."""
     t = lambda n: table(spark, sf, n)

@@ -14,7 +14,7 @@ from arcwise.functions.geometry import euclidean, orientation, segments_cross, t
 from arcwise.operators import chordal, coloring, connectivity, flow, isomorphism, layout, matching, paths, rotation, tours
 from arcwise.operators.graph import Graph
 from arcwise.operators.multigraph import MultiGraph
-from arcwise.plans.graphs import CP, NT, PS, PTS, RT, US, copurchase, nation_trade, part_supplier, region_trade, similar_vectors, table, user_sequence, vector_points
+from arcwise.plans.graphs import CA, CP, NT, PA, PS, PTS, RT, US, copurchase, copurchase_all, nation_trade, part_supplier, part_supplier_all, region_trade, similar_vectors, table, user_sequence, vector_points
 from arcwise.sources import generators, text
 from arcwise.storage import materialize, new_path
 
@@ -279,6 +279,29 @@ def component_sizes(spark, sf):
     return connectivity.connected_components(copurchase(spark, sf).written()).groupBy("component").agg(F.count(F.lit(1)).alias("size"))
 
 
+# over all rows of lineitem; no SQL where recursion over so many edges is too slow
+
+
+@query()
+def whole_components(spark, sf):
+    return connectivity.connected_components(copurchase_all(spark, sf).written())
+
+
+@query()
+def whole_component_sizes(spark, sf):
+    return connectivity.connected_components(part_supplier_all(spark, sf).written()).groupBy("component").agg(F.count(F.lit(1)).alias("size"))
+
+
+@query(f"WITH {CA} SELECT src AS id, count(*) AS degree FROM caa GROUP BY src")
+def whole_degrees(spark, sf):
+    return copurchase_all(spark, sf).degrees()
+
+
+@query(f"WITH {PA} SELECT src, dst, weight FROM pa")
+def whole_part_suppliers(spark, sf):
+    return part_supplier_all(spark, sf).edges
+
+
 @query(f"WITH RECURSIVE {CP}, {REACH} SELECT count(DISTINCT component) AS components FROM lab")
 def component_count(spark, sf):
     return one_row(spark, components=connectivity.component_count(copurchase(spark, sf).written()))
