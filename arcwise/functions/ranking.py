@@ -28,3 +28,23 @@ def with_global_index(df: DataFrame, order: list, index: str = "idx", partitions
     placed = laid.join(F.broadcast(starts), "_range")
     place = F.col("_start") + F.col("_at").bitwiseAND((1 << 33) - 1)
     return placed.withColumn(index, place).drop("_range", "_at", "_start")
+
+
+def with_running_sum(df: DataFrame, order: list, value, total: str = "total") -> DataFrame:
+    """Add ``total``, the sum of ``value`` over all rows up to and with each row in the order ``order``.
+
+    Sums run inside ranges of the order, which are bounded by the rows over the session's partitions, and are
+    shifted by the sums of the ranges before. Rows that are equal in ``order`` need a value of 0, or their sums are
+    in no fixed order.
+    """
+    spark = df.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    dealt = df.withColumn("_value", value.cast("long")).repartitionByRange(parts, *order)
+    laid = materialize(dealt.withColumn("_range", F.spark_partition_id()), "ranges")
+    sums = laid.groupBy("_range").agg(F.sum("_value").alias("_sum"))
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sums.select("_range", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_start"))
+    within = Window.partitionBy("_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    run = laid.withColumn("_run", F.sum("_value").over(within))
+    # at most one row per range: the bound is the session's partition number
+    return run.join(F.broadcast(starts), "_range").withColumn(total, F.col("_start") + F.col("_run")).drop("_value", "_range", "_run", "_start")

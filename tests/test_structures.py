@@ -181,6 +181,30 @@ def test_isomorphism(spark):
     assert isomorphism.check_isomorphism(graph(spark, edges, range(8)), graph(spark, other, range(8)), found.select("id_a", "id_b"))
 
 
+def test_isomorphism_of_twins_and_regular_graphs(spark):
+    """Forty leaves and a clique of twins on a tree, and two graphs of 16 vertices that refining alone cannot tell apart."""
+    twins = [(i, 40 + i % 4) for i in range(40)] + [(40, 44), (41, 44), (42, 45), (43, 45), (44, 45)] + [(a, b) for a in range(46, 60) for b in range(a + 1, 60)] + [(45, i) for i in range(46, 60)]
+    at = [(i, j) for i in range(4) for j in range(4)]
+    rook = [(4 * a + b, 4 * c + d) for a, b in at for c, d in at if (a, b) < (c, d) and (a == c or b == d)]
+    steps = {(0, 1), (1, 0), (1, 1), (0, 3), (3, 0), (3, 3)}
+    wound = [(4 * a + b, 4 * c + d) for a, b in at for c, d in at if (a, b) < (c, d) and ((c - a) % 4, (d - b) % 4) in steps]
+    moved = lambda edges, n, seed: (lambda turn: [tuple(sorted((turn[a], turn[b]))) for a, b in edges])(random.Random(seed).sample(range(n), n))
+    named = {1: (60, twins), 2: (60, moved(twins, 60, 1)), 3: (16, rook), 4: (16, wound), 5: (16, moved(wound, 16, 2))}
+    v = spark.createDataFrame([(k, i) for k, (n, _) in named.items() for i in range(n)], "graph_id long, id long")
+    e = spark.createDataFrame([(k, min(x), max(x)) for k, (_, es) in named.items() for x in es], "graph_id long, src long, dst long")
+    pairs = spark.createDataFrame([(1, 1, 2), (2, 3, 4), (3, 4, 5)], "pair_id long, graph_a long, graph_b long")
+    maps = {}
+    for r in isomorphism.find_isomorphism(pairs, v, e).collect():
+        maps.setdefault(r.pair_id, {})[r.id_a] = r.id_b
+    assert set(maps) == {1, 3}
+    for pair, a, b in ((1, 1, 2), (3, 4, 5)):
+        to = maps[pair]
+        assert sorted(to) == sorted(to.values()) == list(range(named[a][0]))
+        assert {tuple(sorted((to[x], to[y]))) for x, y in named[a][1]} == set(named[b][1])
+    assert isomorphism.find_isomorphism(pairs, v.limit(0), e.limit(0)).count() == 0
+
+
+# fixed values: the expected orders of a ring
 RING = {0: [3, 1], 1: [0, 2], 2: [1, 3], 3: [2, 0]}
 
 
@@ -204,12 +228,19 @@ def test_rotation(spark):
         rotation.merge_blocks(ring.select(F.lit(0).alias("block"), "*").union(ring.select(F.lit(1), "*")))
 
 
-@pytest.mark.parametrize("method", ["least", "random"])
-def test_triangulated_ring(spark, method):
-    ring = as_rotation(spark, {i: [(i + 1) % 9, (i - 1) % 9] for i in range(9)})
+@pytest.mark.parametrize("method, n", [("least", 9), ("random", 10), ("least", 200)])
+def test_triangulated_ring(spark, method, n):
+    ring = as_rotation(spark, {i: [(i + 1) % n, (i - 1) % n] for i in range(n)})
     full = rotation.triangulate(ring, method, seed=3)
     row = rotation.euler_check(full).first()
-    assert row["planar"] and row["e"] == 3 * 9 - 6
+    assert row["planar"] and row["e"] == 3 * n - 6
+
+
+def test_triangulated_tree(spark):
+    """A path with a branch: one face, in which most vertices occur more than once."""
+    tree = as_rotation(spark, {0: [1], 1: [0, 2, 4], 2: [1, 3], 3: [2], 4: [1, 5], 5: [4]})
+    row = rotation.euler_check(rotation.triangulate(tree)).first()
+    assert row["planar"] and row["e"] == 3 * 6 - 6
 
 
 def test_layout(spark):
