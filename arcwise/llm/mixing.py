@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from arcwise.functions.ranking import with_global_index
-from arcwise.llm.tables import WORD, read
+from arcwise.llm.tables import WORD, keyed_rows, read
 from arcwise.storage import materialize
 
 
@@ -19,7 +19,8 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share
     targets in proportion to their weights and every full one has a smaller
     limit a weight than they: so sources are taken in the order of that limit,
     and the first with room under the level of the rest sets the level. The
-    windows run over one row per source.
+    windows run over one row per source, in one task: sources are meant to be
+    few beside documents, and a million of them are some 50 MB there. An empty table gives no rows.
     """
     up, down = share
     per = sizes.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("docs"))
@@ -55,6 +56,8 @@ def copies_per_document(rows: DataFrame, targets: DataFrame, seed: int = 7) -> D
     cut at the integers: a document is taken once for each integer that its step
     crosses. Order by size keeps the words taken near the target. Positions come
     from ranges over all rows, so a source with a third of them is no single task.
+    Rows may repeat a doc_id or have none: each is placed and taken by itself. Sources of size 0 are not taken. An empty
+    table gives an empty result; other columns are kept.
     """
     placed = with_global_index(rows, [F.asc_nulls_last("source"), "size", "doc_id"], "_idx")
     named = Window.partitionBy(F.lit(0)).orderBy(F.asc_nulls_last("source")).rowsBetween(Window.unboundedPreceding, -1)
@@ -74,17 +77,14 @@ def word_count(text) -> F.Column:
 def mix_sources(docs: DataFrame, seed: int = 7) -> DataFrame:
     """Every document as often as the mix takes it, with its own columns.
 
-    Null texts have size 0 and may be taken; a null source is a source. Rows
-    that repeat a doc_id are taken or left together with the same text and
-    source. An empty table gives an empty mix. Other columns are kept as they are.
+    Each row is taken by itself, also where rows repeat a doc_id or have none. Null texts have size 0 and may be taken;
+    a null source is a source. An empty table gives an empty mix. All columns are kept as they are, whatever their names.
     """
-    key = ["doc_id", "source", "size"]
-    sized = docs.withColumn("_size", word_count("text"))
-    rows = materialize(sized.select("doc_id", "source", F.col("_size").alias("size")), "sizes")
-    taken = copies_per_document(rows, source_targets(rows), seed).where("copies > 0")
-    taken = taken.groupBy(key).agg(F.max("copies").alias("_copies")).select(*[F.col(c).alias(f"_k_{c}") for c in key], "_copies")
-    same = F.col("doc_id").eqNullSafe(F.col("_k_doc_id")) & F.col("source").eqNullSafe(F.col("_k_source")) & (F.col("_size") == F.col("_k_size"))
-    return sized.join(taken, same).select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int"))).alias("_copy")).drop("_copy")
+    keyed = keyed_rows(docs)
+    rows = materialize(keyed.select("doc_id", F.col("_row.source").alias("source"), word_count("text").alias("size")), "sizes")
+    taken = materialize(copies_per_document(rows, source_targets(rows), seed).where("copies > 0").select("doc_id", F.col("copies").cast("int").alias("copies")), "taken")
+    again = F.explode(F.sequence(F.lit(1), F.col("copies")))
+    return keyed.join(taken, "doc_id").select("_row", again).select("_row.*")
 
 
 def op8_systematic_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

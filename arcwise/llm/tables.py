@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from arcwise.functions.ranking import with_global_index
+from arcwise.storage import materialize
+
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -26,7 +29,24 @@ def one_row_per_id(df: DataFrame, key: str, *kept: str) -> DataFrame:
     if not kept:
         return rows.distinct()
     least = rows.groupBy(key).agg(F.min(F.struct(*kept)).alias("_least"))
-    return least.select(key, *[F.col("_least")[c].alias(c) for c in kept])
+    # written, so that a task that is run again sees its rows in the same order
+    return materialize(least.select(key, *[F.col("_least")[c].alias(c) for c in kept]), "one")
+
+
+def keyed_rows(df: DataFrame, key: str = "doc_id", column: str = "text") -> DataFrame:
+    """``doc_id, text, _row``: a whole number of its own for each row, its text, and all its columns.
+
+    The number is the row's key where keys are whole, not null and never repeat. Otherwise it is the row's place in the
+    order of key (nulls last) and text, so that of equal keys or texts the same row comes first; equal rows are in no
+    fixed order.
+    """
+    rows = df.select(F.col(key).alias("doc_id"), F.col(column).alias("text"), F.struct(*df.columns).alias("_row"))
+    whole = dict(rows.dtypes)["doc_id"] in ("tinyint", "smallint", "int", "bigint")
+    again = rows.groupBy("doc_id").count().where("doc_id IS NULL OR count > 1")
+    if whole and again.isEmpty():
+        return rows.withColumn("doc_id", F.col("doc_id").cast("long"))
+    placed = with_global_index(rows, [F.asc_nulls_last("doc_id"), F.asc_nulls_first("text")], "_at")
+    return placed.select(F.col("_at").cast("long").alias("doc_id"), "text", "_row")
 
 
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
