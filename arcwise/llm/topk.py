@@ -7,13 +7,16 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from arcwise.llm.tables import read, shuffle_count
+from arcwise.functions.ranking import with_global_index
+from arcwise.llm.tables import read
 from arcwise.storage import materialize
 
-#: Vectors in a block; longest vectors that set the first thresholds; logarithmic width of a length class.
-BLOCK, SEEDS, WIDTH = 8192, 1024, 0.05
+#: Vectors in a block, or queries in a group; logarithmic width of a length class; vectors in the first run of a block
+#: (each later run has as many as all before); coordinates that a step of pruning adds; queries and vectors that tune a block.
+BLOCK, WIDTH, FIRST, STEP, TUNERS, TUNED = 8192, 0.05, 256, 8, 6, 128
 SAFE = 1 << 22  # components up to this give exact products in doubles, for up to 512 of them
 SLACK = 1e-9
+FOUND = "query_id long, vec_id long, score long, verified long, met long"
 
 
 def scaled(vectors: DataFrame, id_col: str = "vec_id", column: str = "embedding") -> DataFrame:
@@ -56,108 +59,169 @@ def _best(ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
     return np.lexsort((ids, ~scores))[:k]
 
 
-def search_block(k: int):
-    """The best of one block of candidates for one block of queries.
+class Bucket:
+    """One block of candidates of about one length, searched for one query at a time."""
+
+    def __init__(self, ids: np.ndarray, rows: np.ndarray, length: np.ndarray):
+        order = np.lexsort((ids, -length))
+        self.ids, self.rows, self.length = ids[order], rows[order], length[order]
+        self.unit = np.asfortranarray(self.rows / np.maximum(self.length, 1e-300)[:, None])
+        self.switch = np.inf
+
+    def _steps(self, q: np.ndarray, qlen: float):
+        """The query's coordinates from the largest on, in steps, each with the length that is left of the query after it."""
+        own = q / max(qlen, 1e-300)
+        order = np.argsort(-np.abs(own), kind="stable")
+        rest = np.sqrt(np.maximum(0.0, 1 - np.cumsum(own[order] ** 2)))
+        for at in range(0, len(q), STEP):
+            use = order[at : at + STEP]
+            yield use, own[use], rest[min(at + STEP, len(q)) - 1]
+
+    def by_coordinates(self, live: np.ndarray, q: np.ndarray, qlen: float, need: float) -> tuple[np.ndarray, int]:
+        """Which of ``live`` can reach ``need`` (a threshold over the query's length), and how many partial products that took.
+
+        Partial products over the query's largest coordinates, and what lengths of the rest the two have, bound the
+        whole product by Cauchy and Schwarz.
+        """
+        part, square, work = np.zeros(len(live)), np.zeros(len(live)), 0
+        for use, own, rest in self._steps(q, qlen):
+            if len(live) <= FIRST // 8:
+                break
+            x = self.unit[np.ix_(live, use)]
+            work += x.size
+            part += x @ own
+            square += np.einsum("ij,ij->i", x, x)
+            bound = part + rest * np.sqrt(np.maximum(0.0, 1 - square)) + SLACK
+            keep = bound * self.length[live] >= need * (1 - SLACK)
+            live, part, square = live[keep], part[keep], square[keep]
+        return live, work
+
+    def tune(self, queries: list[tuple[np.ndarray, float, float]]) -> None:
+        """Set the local cosine threshold from which pruning by coordinates pays, by trying it on some queries and vectors."""
+        some = np.arange(0, len(self.ids), max(1, len(self.ids) // TUNED))
+        needs = [(share * t / max(qlen, 1e-300), q, qlen) for q, qlen, t in queries[:TUNERS] if t > 0 for share in (0.5, 0.6, 0.7, 0.8, 0.9, 1.0)]
+        for need, q, qlen in needs:
+            left, work = self.by_coordinates(some, q, qlen, need)
+            if work + len(left) * len(q) < len(some) * len(q):
+                self.switch = min(self.switch, need / max(self.length[0], 1e-300))
+
+    def search(self, qid: int, q: np.ndarray, qlen: float, threshold: float | None, k: int) -> tuple[list, int]:
+        """The best ``k`` (vec_id, score), and how many products were multiplied out.
+
+        The threshold rises with what earlier runs of the block have found. A local one over 1 leaves the run
+        out; a low one cuts it by length, one past the block's switch by coordinates too.
+        """
+        ids, scores, verified, at = np.zeros(0, np.int64), np.zeros(0, np.int64), 0, 0
+        known = -np.inf if threshold is None or np.isnan(threshold) else threshold
+        while at < len(self.ids):
+            to = min(len(self.ids), max(at + FIRST, 2 * at))
+            live = np.arange(at, to)
+            if known > 0:
+                need = known / max(qlen, 1e-300)
+                live = live[: int(np.searchsorted(-self.length[at:to], -need * (1 - SLACK), "right"))]
+                if len(live) and need / max(self.length[live[0]], 1e-300) >= self.switch:
+                    live, _ = self.by_coordinates(live, q, qlen, need)
+            live = live[self.ids[live] != qid]
+            verified += len(live)
+            ids, scores = np.concatenate([ids, self.ids[live]]), np.concatenate([scores, _products(q, self.rows[live])])
+            best = _best(ids, scores, k)
+            ids, scores = ids[best], scores[best]
+            if len(ids) == k:
+                known = max(known, float(scores[-1]))
+            at = to
+        return list(zip(ids.tolist(), scores.tolist(), strict=True)), verified
 
-    A query's threshold, over its length and the longest length of the block, is
-    the least cosine a candidate needs. Where that is low, candidates are cut by
-    length alone; where it is high, by the range that the query's largest
-    coordinate leaves to theirs. What remains is multiplied out.
-    """
+
+def search_block(k: int):
+    """The best of one block of candidates for the queries that are sent to it, and for each a row of its costs."""
 
     def run(key, candidates: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
         out = []
         if len(candidates) and len(queries):
             dims = max(map(len, [*candidates.v, *queries.v]))
-            candidates = candidates.sort_values(["len", "vec_id"], ascending=[False, True])
-            rows, ids, length = _matrix(candidates.v, dims), candidates.vec_id.to_numpy(), candidates.len.to_numpy()
-            unit = rows / np.maximum(length, 1e-300)[:, None]
-            columns: dict[int, tuple] = {}
-            for qid, qv, qlen, threshold in zip(queries.query_id, _matrix(queries.v, dims), queries.len, queries.threshold, strict=True):
-                use = slice(0, len(ids))
-                if not np.isnan(threshold) and threshold > 0:
-                    need = threshold / max(qlen, 1e-300)
-                    end = int(np.searchsorted(-length, -need * (1 - SLACK), "right"))
-                    cosine = min(1.0, need / max(length[0], 1e-300) * (1 - SLACK))
-                    use = slice(0, end)
-                    if cosine > 0.3:
-                        f = int(np.argmax(np.abs(qv)))
-                        if f not in columns:
-                            order = np.argsort(unit[:, f], kind="stable")
-                            columns[f] = (order, unit[order, f])
-                        order, values = columns[f]
-                        own = qv[f] / max(qlen, 1e-300)
-                        free = np.sqrt(max(0.0, (1 - cosine * cosine) * (1 - own * own)))
-                        low = -1.0 if -own > cosine else own * cosine - free
-                        high = 1.0 if own > cosine else own * cosine + free
-                        lo, hi = np.searchsorted(values, low - SLACK), np.searchsorted(values, high + SLACK, "right")
-                        if hi - lo < end:
-                            found = np.sort(order[lo:hi])
-                            use = found[found < end]
-                own_ids = ids[use]
-                scores = _products(qv, rows[use])
-                other = own_ids != qid
-                own_ids, scores = own_ids[other], scores[other]
-                best = _best(own_ids, scores, k)
-                out += [(qid, int(own_ids[b]), int(scores[b])) for b in best]
-        return pd.DataFrame(out, columns=["query_id", "vec_id", "score"])
+            bucket = Bucket(candidates.vec_id.to_numpy(), _matrix(candidates.v, dims), candidates.len.to_numpy())
+            asked = list(zip(queries.query_id.tolist(), _matrix(queries.v, dims), queries.len.tolist(), queries.threshold.tolist(), strict=True))
+            # where no threshold is known, some queries are searched in full to tune the block
+            own = lambda i, q, n: float(min((s for _, s in bucket.search(i, q, n, None, k)[0]), default=0))
+            known = [(q, n, own(i, q, n) if t is None or np.isnan(t) else t) for i, q, n, t in asked[:: max(1, len(asked) // TUNERS)]]
+            bucket.tune(known)
+            for qid, q, qlen, threshold in asked:
+                best, verified = bucket.search(qid, q, qlen, threshold, k)
+                out += [(qid, i, s, None, None) for i, s in best] + [(qid, None, None, verified, len(candidates))]
+        names = ("query_id", "vec_id", "score", "verified", "met")
+        return pd.DataFrame({name: pd.array([row[i] for row in out], "Int64") for i, name in enumerate(names)})
 
     return run
 
 
-def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
-    """``query_id, rank, vec_id, score`` of ``vec_id, v, len`` for both tables.
+def _met(rows: DataFrame, sent: DataFrame, k: int) -> DataFrame:
+    shared = ["c", "part", "g"]
+    return rows.groupBy(*shared).cogroup(sent.groupBy(*shared)).applyInPandas(search_block(k), FOUND)
 
-    Candidates fall into classes by the logarithm of their length, and classes
-    into blocks by hash, so equal vectors and equal lengths spread. The longest
-    candidates give each query a threshold; a class is left out for a query if
-    its longest vector cannot reach it. Each block of queries then meets each
-    block of candidates that is left, and the best of all blocks are ranked.
 
-    Ties go to the smaller vec_id. Shorter vectors count as ending in zeros.
-    Candidate rows that repeat an id rank one by one; a repeated query id is one
-    query, its least vector. Fewer candidates than ``k`` give fewer rows; an empty
-    table none.
+def search(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
+    """``query_id, vec_id, score`` that can be among the best, and rows ``query_id, verified, met`` of costs.
+
+    Candidates fall into classes by the logarithm of their length, and classes into blocks by hash, so equal vectors and
+    equal lengths spread. Each query first meets one block of its best class, which gives it a threshold. Queries are
+    then dealt into groups in the order of what length of candidate they need, and a class is sent only to the groups, and
+    met only by the queries, whose need its longest vector reaches; so pairs of blocks go before any row is sent.
     """
     spark = vectors.sparkSession
-    length_class = F.when(F.col("len") > 0, F.floor(F.log("len") / WIDTH)).otherwise(-1).cast("int")
+    length_class = F.when(F.col("len") > 0, F.floor(F.log("len") / WIDTH)).otherwise(-100_000).cast("int")
     rows = materialize(vectors.withColumn("c", length_class), "vectors")
     asked = queries.groupBy(F.col("vec_id").alias("query_id")).agg(F.min(F.struct("v", "len")).alias("q")).select("query_id", "q.*")
-    seeds = rows.orderBy(F.desc("len"), "vec_id").limit(SEEDS).select("vec_id", "v").toPandas()
-    # a length class for each WIDTH of the logarithm: some 1,800 for all lengths a double can have
-    sizes = {r["c"]: (r["n"], r["longest"]) for r in rows.groupBy("c").agg(F.count(F.lit(1)).alias("n"), F.max("len").alias("longest")).collect()}
-    seed_ids, dims = seeds.vec_id.to_numpy(), max([1, *map(len, seeds.v)])
-    seed_rows = _matrix(seeds.v, dims)
-
-    def thresholds(batches):
-        for pdf in batches:
-            found = []
-            for qid, v in zip(pdf.query_id, pdf.v, strict=True):
-                width = max(dims, len(v))
-                wide = np.zeros((len(seed_ids), width), np.int64)
-                wide[:, :dims] = seed_rows
-                score = _products(_matrix([v], width)[0], wide)[seed_ids != qid]
-                found.append(float(np.sort(score)[-k]) if len(score) >= k else None)
-            yield pdf.assign(threshold=pd.Series(found, dtype="float64"))
-
-    asked = materialize(asked.mapInPandas(thresholds, "query_id long, v array<long>, len double, threshold double"), "queries")
-    blocks = {c: -(-n // BLOCK) for c, (n, _) in sizes.items()}
-    groups = max(1, -(-asked.count() // BLOCK))
-    table = spark.createDataFrame([(c, blocks[c], longest) for c, (_, longest) in sizes.items()], "c int, n int, longest double")
+    asked = materialize(asked, "asked")
+    # a length class for each WIDTH of the logarithm: some 30,000 for all lengths a double can have
+    sizes = sorted(((r["c"], r["n"], r["longest"]) for r in rows.groupBy("c").agg(F.count(F.lit(1)).alias("n"), F.max("len").alias("longest")).collect()), reverse=True)
+    if not sizes:
+        return spark.createDataFrame([], FOUND)
+    blocks = [(c, -(-n // BLOCK), longest) for c, n, longest in sizes]
+    table = spark.createDataFrame(blocks, "c int, n int, longest double")
     rows = rows.join(F.broadcast(table.select("c", "n")), "c").withColumn("part", F.pmod(F.xxhash64("vec_id", "v"), F.col("n")).cast("int"))
-    rows = rows.withColumn("g", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
-    listed = F.array(*[F.struct(F.lit(c).alias("c"), F.lit(blocks[c]).alias("n"), F.lit(longest).alias("longest")) for c, (_, longest) in sorted(sizes.items())]) if sizes else F.array().cast("array<struct<c:int,n:int,longest:double>>")
-    # an empty or low threshold keeps every class
-    reach = lambda s: F.col("threshold").isNull() | F.isnan("threshold") | (F.col("threshold") <= 0) | (F.col("threshold") * (1 - SLACK) <= F.col("len") * s["longest"])
-    sent = asked.withColumn("s", F.explode(F.filter(listed, reach))).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("s.n") - 1)))
-    sent = sent.select("query_id", "v", "len", "threshold", F.col("s.c").alias("c"), "part", F.pmod(F.xxhash64("query_id"), F.lit(groups)).cast("int").alias("g"))
-    shared = ["c", "part", "g"]
-    found = rows.groupBy(*shared).cogroup(sent.groupBy(*shared)).applyInPandas(search_block(k), "query_id long, vec_id long, score long")
+    # the longest class with some vectors more than asked for, else the largest one
+    home = next((c for c, n, _ in sizes if n >= 4 * k), max(sizes, key=lambda s: s[1])[0])
+    n_home = next(n for c, n, _ in blocks if c == home)
+    total = asked.count()
+    share = max(1, -(-total // (BLOCK * n_home)))
+    at_home = asked.withColumn("part", F.pmod(F.xxhash64("query_id", F.lit("home")), F.lit(n_home)).cast("int")).withColumn("g", F.pmod(F.xxhash64("query_id"), F.lit(share)).cast("int"))
+    sent = at_home.select("query_id", "v", "len", F.lit(None).cast("double").alias("threshold"), F.lit(home).alias("c"), "part", "g")
+    copies = rows.where(F.col("c") == home).withColumn("g", F.explode(F.sequence(F.lit(0), F.lit(share - 1))))
+    first = materialize(_met(copies, sent, k), "first")
+    least = first.where("vec_id IS NOT NULL").groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.min("score").cast("double").alias("least"))
+    # as many as asked for give a threshold; need is the shortest candidate that can reach it
+    ranked = at_home.withColumnRenamed("part", "home_part").drop("g").join(least, "query_id", "left").withColumn("threshold", F.when(F.col("n") >= k, F.col("least")))
+    need = F.when((F.col("threshold") > 0) & (F.col("len") > 0), F.col("threshold") * (1 - SLACK) / F.col("len")).otherwise(0.0)
+    placed = with_global_index(ranked.withColumn("need", need), [F.desc("need"), "query_id"], "at")
+    placed = materialize(placed.withColumn("g", F.floor(F.col("at") / BLOCK).cast("int")), "placed")
+    listed = F.array_sort(F.array(*[F.struct(F.lit(c).alias("c"), F.lit(n).alias("n"), F.lit(longest).alias("longest")) for c, n, longest in blocks]))
+    reached = lambda need: F.filter(listed, lambda s: s["longest"] >= F.col(need))
+    groups = placed.groupBy("g").agg(F.min("need").alias("low")).withColumn("s", F.explode(reached("low"))).select("g", F.col("s.c").alias("c"))
+    groups = materialize(groups, "groups")
+    sent = placed.withColumn("s", F.explode(reached("need"))).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("s.n") - 1)))
+    sent = sent.where((F.col("s.c") != home) | (F.col("part") != F.col("home_part"))).select("query_id", "v", "len", "threshold", F.col("s.c").alias("c"), "part", "g")
+    return first.union(_met(rows.join(groups, "c").select("vec_id", "v", "len", "c", "part", "g"), sent, k))
+
+
+def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
+    """``query_id, rank, vec_id, score`` of ``vec_id, v, len`` for both tables; exact (see ``search``).
+
+    Ties go to the smaller vec_id. Shorter vectors count as ending in zeros.
+    Candidate rows that repeat an id rank one by one; a repeated query id is one
+    query, its least vector. Fewer candidates than ``k`` give fewer rows; an empty
+    table none.
+    """
+    found = search(vectors, queries, k).where("vec_id IS NOT NULL")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", "score")
 
 
+def share_verified(found: DataFrame) -> DataFrame:
+    """One row ``verified, met`` of ``search``'s costs: products multiplied out, and pairs of a query and a candidate of a block it met."""
+    return found.where("vec_id IS NULL").agg(F.sum("verified").alias("verified"), F.sum("met").alias("met"))
+
+
 def op3_norm_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 10 nearest of all vectors for each whose id 100 divides."""
     vectors = scaled(read(spark, sf_dir, "embeddings"))
