@@ -4,14 +4,18 @@ Every text is cut into non-overlapping reference blocks of ten words and probed
 with every rolling run of ten words. A run of twenty words that occurs twice
 holds a whole reference block at each place, so only runs around a hit can
 repeat; these are grown to all their twenty-word windows, and windows with the
-same words are put in order of document and place. All but the first go.
+same words are put in order of document and place. All but the first go. Windows
+that follow each other in a document and in the one they repeat make a maximal exact repeat.
 
-Hashes travel in packed pieces: a unit of some megabytes of text sends one piece
-to each bucket of hashes, and gets back the places that were hit there.
+Anchors are found by hashes, whose collisions only add windows; windows are the same if a 128-bit cryptographic digest of
+their words is. Both travel in packed pieces: a unit of some megabytes of text sends each of its hashes once, in one
+piece to each bucket of hashes, and gets back the places that were hit there. So a run that a third of all
+documents hold comes once for each unit, and a bucket follows the distinct hashes, not their occurrences.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,10 +29,15 @@ from arcwise.llm.tables import one_row_per_id, read, shuffle_count, small_batche
 from arcwise.llm.words import find_words, in_units
 from arcwise.storage import materialize
 
-BLOCK, UNIT_BYTES = 10, 2 << 20
+#: Words of a block; text of a unit; text for which one more bucket is made.
+BLOCK, UNIT_BYTES, BUCKET_BYTES = 10, 2 << 20, 64 << 20
 PIECES = "bucket int, unit long, kind int, hashes binary, places binary, ids binary, runs binary"
-PLACES = "unit long, kind int, places binary, ids binary, runs binary"
+PLACES = "unit long, kind int, hashes binary, places binary, ids binary, runs binary"
+WINDOWS = "bucket int, unit long, kind int, hashes binary, places binary, ids binary, runs binary, of_ids binary, of_places binary"
+LATER = "unit long, places binary, ids binary, runs binary, of_ids binary, of_places binary"
+RUNS = "array<struct<start: long, n_words: long, of_doc: long, of_start: long>>"
 _U = np.uint64
+_HIT, _UNIT, _KNOWN = 0, 2, 3
 
 
 def pack(values: np.ndarray, width: int = 4) -> bytes:
@@ -56,11 +65,6 @@ def split_by(bucket: np.ndarray, buckets: int) -> Iterator[tuple[int, np.ndarray
             yield b, order[cuts[b] : cuts[b + 1]]
 
 
-def _unit_row(unit: int, buckets: int, ids: np.ndarray, first: np.ndarray) -> tuple:
-    """The documents of a unit travel beside its pieces, so its places can be told apart."""
-    return (unit % buckets, unit, 2, b"", b"", pack(ids, 8), pack(np.diff(first)))
-
-
 def _ids(piece: pa.RecordBatch) -> np.ndarray:
     return piece.column("doc_id").to_numpy(zero_copy_only=False).astype(np.int64)
 
@@ -72,8 +76,20 @@ def _frame(rows: list[tuple], names: str) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, kinds[k]) for c, (_, k) in zip(columns, fields, strict=True)], [n for n, _ in fields])
 
 
+def _groups(order: np.ndarray, *keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where groups of equal keys start in ``order``, and how many each has."""
+    new = np.ones(len(order), bool)
+    new[1:] = np.logical_or.reduce([k[order][1:] != k[order][:-1] for k in keys])
+    starts = np.flatnonzero(new)
+    return starts, np.diff(np.append(starts, len(order)))
+
+
 def block_pieces(buckets: int):
-    """Hashes of all rolling runs; ``kind`` 1 marks those of reference blocks."""
+    """Each unit's distinct hashes of rolling runs; ``kind`` 1 marks those of reference blocks.
+
+    The unit's own row holds its documents, and for runs that come again in the unit the first place and the others,
+    since the answer names the first alone. Runs that a block of the same unit repeats are known at once.
+    """
 
     def run(batches):
         unit = TaskContext.get().partitionId() << 24
@@ -84,9 +100,18 @@ def block_pieces(buckets: int):
                 continue
             text = np.searchsorted(words.first, at, "right") - 1
             grid = (at - words.first[text]) % BLOCK == 0
-            rows = [_unit_row(unit, buckets, _ids(piece), words.first)]
+            order = np.argsort(hashes, kind="stable")
+            starts, many = _groups(order, hashes)
+            block, lead = np.logical_or.reduceat(grid[order], starts), order[starts]
+            again, known = np.repeat(many > 1, many), np.repeat((many > 1) & block, many)
+            first = np.repeat(lead, many)
+            other = again & ~known & (first != order)
+            known = np.sort(at[order[known]])
+            rows = [(unit % buckets, unit, _UNIT, pack(at[first[other]]), pack(at[order[other]]), pack(_ids(piece), 8), pack(np.diff(words.first)))]
+            if len(known):
+                rows.append((unit % buckets, unit, _KNOWN, b"", pack_rising(known), b"", b""))
             for kind in (0, 1):
-                own = np.flatnonzero(grid == kind)
+                own = np.sort(lead[block == kind])
                 key = (hashes[own] >> _U(32)) % _U(buckets)
                 rows += [(b, unit, kind, pack(hashes[own[i]] & _U(0xFFFFFFFF)), pack_rising(at[own[i]]), b"", b"") for b, i in split_by(key, buckets)]
             yield _frame(rows, PIECES)
@@ -95,49 +120,60 @@ def block_pieces(buckets: int):
     return run
 
 
-def _pass_on(group: pd.DataFrame) -> list[tuple]:
-    units = group[group.kind == 2]
-    return [(u, 2, b"", i, r) for u, i, r in zip(units.unit, units.ids, units.runs, strict=True)]
-
-
 def hit_blocks(group: pd.DataFrame) -> pd.DataFrame:
-    """Places whose hash is that of a reference block and occurs more than once."""
-    rows = _pass_on(group)
-    group = group[group.kind < 2]
+    """Places whose hash is that of a reference block and comes from more than one unit; unit rows and known places go on."""
+    passed = group[group.kind >= _UNIT]
+    rows = [(u, _UNIT if k == _UNIT else _HIT, h, p, i, r) for u, k, h, p, i, r in zip(passed.unit, passed.kind, passed.hashes, passed.places, passed.ids, passed.runs, strict=True)]
+    group = group[group.kind < _UNIT]
     hashes = [unpack(h) for h in group.hashes]
     blocks = [h for h, k in zip(hashes, group.kind, strict=True) if k == 1]
     if blocks:
         known, seen = np.unique(np.concatenate(blocks), return_counts=True)
-        probes = [h for h, k in zip(hashes, group.kind, strict=True) if k == 0]
-        for h in probes:
-            i = np.minimum(np.searchsorted(known, h), len(known) - 1)
-            np.add.at(seen, i[known[i] == h], 1)
+        for h, k in zip(hashes, group.kind, strict=True):
+            if k == 0:
+                i = np.minimum(np.searchsorted(known, h), len(known) - 1)
+                np.add.at(seen, i[known[i] == h], 1)
         known = known[seen > 1]
         for u, h, p in zip(group.unit, hashes, group.places, strict=True):
             if len(known):
                 i = np.minimum(np.searchsorted(known, h), len(known) - 1)
                 hit = unpack_rising(p)[known[i] == h]
                 if len(hit):
-                    rows.append((u, 0, pack_rising(hit), b"", b""))
-    return pd.DataFrame(rows, columns=["unit", "kind", "places", "ids", "runs"])
+                    rows.append((u, _HIT, b"", pack_rising(hit), b"", b""))
+    return pd.DataFrame(rows, columns=["unit", "kind", "hashes", "places", "ids", "runs"])
 
 
 def places_by_document(group: pd.DataFrame) -> pd.DataFrame:
-    """A unit's places from all buckets, as places in its documents."""
-    unit, hits = group[group.kind == 2], group[group.kind == 0]
+    """A unit's hit places from all buckets, and where they come again in the unit, as places in its documents."""
+    unit, hits = group[group.kind == _UNIT], group[group.kind == _HIT]
     rows = []
     if len(unit) and len(hits):
         first = np.concatenate([[0], np.cumsum(unpack(unit.runs.iloc[0]).astype(np.int64))])
         ids = unpack(unit.ids.iloc[0], 8).view(np.int64)
-        places = np.sort(np.concatenate([unpack_rising(p) for p in hits.places]))
+        places = np.unique(np.concatenate([unpack_rising(p) for p in hits.places]))
+        others = unpack(unit.places.iloc[0]).astype(np.int64)[np.isin(unpack(unit.hashes.iloc[0]), places)]
+        places = np.union1d(places, others)
         cuts = np.searchsorted(places, first)
         for i in np.flatnonzero(np.diff(cuts)):
             rows.append((ids[i], pack_rising(places[cuts[i] : cuts[i + 1]] - first[i])))
     return pd.DataFrame(rows, columns=["doc_id", "places"])
 
 
+def window_digests(words, at: np.ndarray, size: int) -> np.ndarray:
+    """Two numbers that stand for the words of each window: a 128-bit digest of them, joined by spaces."""
+    length = words.ends - words.starts
+    to = np.cumsum(length + 1)
+    line = np.full(int(to[-1]) if len(to) else 0, 0x20, np.uint8)
+    start = to - length - 1
+    spots = np.arange(int(length.sum())) + np.repeat(start - (np.cumsum(length) - length), length)
+    line[spots] = words.data[np.arange(int(length.sum())) + np.repeat(words.starts - (np.cumsum(length) - length), length)]
+    raw, digest = line.tobytes(), hashlib.blake2b
+    spans = zip(start[at].tolist(), (to[at + size - 1] - 1).tolist(), strict=True)
+    return np.frombuffer(b"".join([digest(raw[x:y], digest_size=16).digest() for x, y in spans]), np.uint64).reshape(-1, 2)
+
+
 def window_pieces(buckets: int, size: int):
-    """Hashes of the windows around hits, with the documents that they lie in."""
+    """Each unit's distinct windows around hits, at their first places; later places in the unit are known at once."""
 
     def run(batches):
         unit = TaskContext.get().partitionId() << 24
@@ -151,75 +187,123 @@ def window_pieces(buckets: int, size: int):
                     np.add.at(near, np.maximum(hit + BLOCK - size, words.first[i]), 1)
                     np.add.at(near, hit + 1, -1)
             near = np.cumsum(near) > 0
-            at, hashes = words.windows(words.hashes(), size)
-            own = near[at]
-            at, hashes = at[own], hashes[own]
+            text = np.repeat(np.arange(len(ids)), np.diff(words.first))
+            at = np.flatnonzero(near[: len(text)])
+            at = at[at + size <= words.first[text[at] + 1]]
             if not len(at):
                 continue
-            rows = [_unit_row(unit, buckets, ids, words.first)]
-            text = np.searchsorted(words.first, at, "right") - 1
-            for b, i in split_by(hashes % _U(buckets), buckets):
+            text = text[at]
+            digests = window_digests(words, at, size)
+            place = at - words.first[text]
+            order = np.lexsort((place, ids[text], digests[:, 1], digests[:, 0]))
+            starts, many = _groups(order, digests[:, 0], digests[:, 1])
+            lead = order[starts]
+            first = np.repeat(lead, many)
+            later = first != order
+            rows = []
+            if later.any():
+                own, of = order[later], first[later]
+                by = np.argsort(own)
+                own, of = own[by], of[by]
+                docs, runs = np.unique(text[own], return_counts=True)
+                rows.append((unit % buckets, unit, _KNOWN, b"", pack(place[own]), pack(ids[docs], 8), pack(runs), pack(ids[text[of]], 8), pack(place[of])))
+            lead = np.sort(lead)
+            for b, i in split_by(digests[lead, 0] % _U(buckets), buckets):
+                i = lead[i]
                 docs, runs = np.unique(text[i], return_counts=True)
-                rows.append((b, unit, 0, pack(hashes[i] // _U(buckets), 8), pack_rising(at[i]), pack(ids[docs], 8), pack(runs)))
-            yield _frame(rows, PIECES)
+                rows.append((b, unit, _HIT, np.ascontiguousarray(digests[i]).tobytes(), pack(place[i]), pack(ids[docs], 8), pack(runs), b"", b""))
+            yield _frame(rows, WINDOWS)
             unit += 1
 
     return run
 
 
 def later_windows(group: pd.DataFrame) -> pd.DataFrame:
-    """Places of windows whose words also start earlier."""
-    rows = _pass_on(group)
-    group = group[group.kind == 0]
+    """Places of windows whose words also start earlier, each with the first place of its words."""
+    known = group[group.kind == _KNOWN]
+    columns = ["unit", "places", "ids", "runs", "of_ids", "of_places"]
+    rows = list(known[columns].itertuples(index=False, name=None))
+    group = group[group.kind == _HIT]
     if len(group):
-        hashes = np.concatenate([unpack(h, 8) for h in group.hashes])
-        places = [unpack_rising(p) for p in group.places]
+        digests = np.concatenate([np.frombuffer(h, np.uint64).reshape(-1, 2) for h in group.hashes])
+        places = [unpack(p).astype(np.int64) for p in group.places]
         ids = np.concatenate([np.repeat(unpack(i, 8).view(np.int64), unpack(r)) for i, r in zip(group.ids, group.runs, strict=True)])
         at = np.concatenate(places)
-        order = np.argsort(hashes, kind="stable")
-        same = hashes[order][1:] == hashes[order][:-1]
-        several = np.zeros(len(order), bool)
-        several[1:] |= same
-        several[:-1] |= same
-        order = order[several]
-        order = order[np.lexsort((at[order], ids[order], hashes[order]))]
-        later = np.zeros(len(hashes), bool)
-        later[order[1:]] = hashes[order][1:] == hashes[order][:-1]
+        order = np.lexsort((at, ids, digests[:, 1], digests[:, 0]))
+        starts, many = _groups(order, digests[:, 0], digests[:, 1])
+        first = np.empty(len(order), np.int64)
+        first[order] = np.repeat(order[starts], many)
         cuts = np.concatenate([[0], np.cumsum([len(p) for p in places])])
-        for u, p, lo, hi in zip(group.unit, places, cuts[:-1], cuts[1:], strict=True):
-            if later[lo:hi].any():
-                rows.append((u, 0, pack_rising(p[later[lo:hi]]), b"", b""))
-    return pd.DataFrame(rows, columns=["unit", "kind", "places", "ids", "runs"])
+        for u, lo, hi in zip(group.unit, cuts[:-1], cuts[1:], strict=True):
+            own = lo + np.flatnonzero(first[lo:hi] != np.arange(lo, hi))
+            if len(own):
+                new = np.flatnonzero(np.append(True, ids[own][1:] != ids[own][:-1]))
+                rows.append((u, pack(at[own]), pack(ids[own][new], 8), pack(np.diff(np.append(new, len(own)))), pack(ids[first[own]], 8), pack(at[first[own]])))
+    return pd.DataFrame(rows, columns=columns)
 
 
-def without_repeats(size: int):
-    """Each text without the words that a place's window covers, joined by spaces."""
+def maximal_repeats(size: int):
+    """A unit's later windows, joined to maximal exact repeats where both places go on by one word."""
 
-    def run(batches):
-        for batch in batches:
-            words, removed, kept = [], [], []
-            for text, raw in zip(batch.column("text"), batch.column("places").to_pylist(), strict=True):
-                found = (text.as_py() or "").encode().split()
-                words.append(len(found))
-                if raw:
-                    start = unpack_rising(raw)
-                    cover = np.zeros(len(found) + 1, np.int32)
-                    np.add.at(cover, start, 1)
-                    np.add.at(cover, start + size, -1)
-                    stays = np.flatnonzero(np.cumsum(cover[:-1]) == 0)
-                    removed.append(len(found) - len(stays))
-                    found = [found[i] for i in stays]
-                else:
-                    removed.append(0)
-                kept.append(b" ".join(found).decode())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(words, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.string())],
-                ["doc_id", "n_words", "n_removed", "kept"],
-            )
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        ids = np.concatenate([np.repeat(unpack(i, 8).view(np.int64), unpack(r)) for i, r in zip(group.ids, group.runs, strict=True)])
+        at, of_at = (np.concatenate([unpack(p).astype(np.int64) for p in group[c]]) for c in ("places", "of_places"))
+        of = np.concatenate([unpack(i, 8).view(np.int64) for i in group.of_ids])
+        order = np.lexsort((at, ids))
+        ids, at, of, of_at = ids[order], at[order], of[order], of_at[order]
+        new = np.ones(len(ids), bool)
+        new[1:] = (np.diff(ids) != 0) | (np.diff(of) != 0) | (np.diff(at) != 1) | (np.diff(of_at) != 1)
+        start = np.flatnonzero(new)
+        length = np.diff(np.append(start, len(ids))) + size - 1
+        docs, cuts = np.unique(ids[start], return_index=True)
+        runs = [{"start": a, "n_words": n, "of_doc": o, "of_start": b} for a, n, o, b in zip(at[start].tolist(), length.tolist(), of[start].tolist(), of_at[start].tolist(), strict=True)]
+        ends = np.append(cuts[1:], len(start))
+        return pd.DataFrame({"doc_id": docs, "repeats": [runs[x:y] for x, y in zip(cuts, ends, strict=True)]})
 
     return run
 
 
+def without_repeats(batches):
+    """Each text without the words that a repeat covers, joined by spaces."""
+    for batch in batches:
+        words, removed, kept = [], [], []
+        for text, runs in zip(batch.column("text"), batch.column("repeats").to_pylist(), strict=True):
+            found = (text.as_py() or "").encode().split()
+            words.append(len(found))
+            if runs:
+                gone = np.zeros(len(found), bool)
+                for r in runs:
+                    gone[r["start"] : r["start"] + r["n_words"]] = True
+                removed.append(int(gone.sum()))
+                found = [found[i] for i in np.flatnonzero(~gone)]
+            else:
+                removed.append(0)
+            kept.append(b" ".join(found).decode())
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("doc_id"), pa.array(words, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.string())],
+            ["doc_id", "n_words", "n_removed", "kept"],
+        )
+
+
+def exact_repeats(docs: DataFrame, size: int = 20) -> DataFrame:
+    """``doc_id, repeats`` of the documents (``doc_id, text``; ids whole, not null and each once) that repeat something.
+
+    A repeat has ``start`` and ``n_words`` (``size`` or more), and ``of_doc`` and ``of_start``, where the same words start
+    earlier: in a smaller doc_id, or before it in the same text. Every window of ``size`` words (19 or more) that also
+    starts earlier lies in a repeat.
+    """
+    if size < 2 * BLOCK - 1:
+        raise ValueError(f"a window needs {2 * BLOCK - 1} words to hold a block of {BLOCK}")
+    text_bytes = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    buckets = max(shuffle_count(docs.sparkSession), -(-text_bytes // BUCKET_BYTES))
+    probes = docs.select("doc_id", "text").mapInArrow(block_pieces(buckets), PIECES)
+    hits = probes.groupBy("bucket").applyInPandas(hit_blocks, PLACES)
+    anchors = materialize(hits.groupBy("unit").applyInPandas(places_by_document, "doc_id long, places binary"), "anchors")
+    around = docs.select("doc_id", "text").join(anchors, "doc_id", "left").mapInArrow(window_pieces(buckets, size), WINDOWS)
+    later = around.groupBy("bucket").applyInPandas(later_windows, LATER)
+    return later.groupBy("unit").applyInPandas(maximal_repeats(size), f"doc_id long, repeats {RUNS}")
+
+
 def remove_repeats(docs: DataFrame, size: int = 20) -> DataFrame:
     """``doc_id, n_words, n_removed, kept`` of ``doc_id, text``.
 
@@ -229,23 +313,11 @@ def remove_repeats(docs: DataFrame, size: int = 20) -> DataFrame:
     texts lose nothing; null gives an empty ``kept``. Rows without a doc_id take no part; of
     rows that repeat one, that with the least text is the document. An empty
     table gives an empty result. Other columns are ignored.
-
-    Windows are told apart by 64-bit hashes of their words.
     """
-    if size < 2 * BLOCK - 1:
-        raise ValueError(f"a window needs {2 * BLOCK - 1} words to hold a block of {BLOCK}")
     small_batches(docs.sparkSession)
     docs = one_row_per_id(docs, "doc_id", "text")
-    buckets = shuffle_count(docs.sparkSession)
-    probes = docs.mapInArrow(block_pieces(buckets), PIECES)
-    hits = probes.groupBy("bucket").applyInPandas(hit_blocks, PLACES)
-    anchors = materialize(hits.groupBy("unit").applyInPandas(places_by_document, "doc_id long, places binary"), "anchors")
-    around = docs.join(anchors, "doc_id", "left").mapInArrow(window_pieces(buckets, size), PIECES)
-    later = around.groupBy("bucket").applyInPandas(later_windows, PLACES)
-    later = later.groupBy("unit").applyInPandas(places_by_document, "doc_id long, places binary")
-    return docs.join(later, "doc_id", "left").mapInArrow(
-        without_repeats(size), "doc_id long, n_words long, n_removed long, kept string"
-    )
+    found = docs.join(exact_repeats(docs, size), "doc_id", "left")
+    return found.mapInArrow(without_repeats, "doc_id long, n_words long, n_removed long, kept string")
 
 
 def op7_block_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
