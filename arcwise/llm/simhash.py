@@ -14,7 +14,8 @@ from arcwise.llm.tables import one_row_per_id, read, shuffle_count, small_batche
 from arcwise.operators.components import star_labels
 from arcwise.storage import materialize
 
-SEED, CROWD, PAIRS = 42, 2048, 1 << 17
+#: Seed of the shingle hash; rows of a part of a crowded key; lanes at a time; lanes of a block; planes between two looks at it.
+SEED, CROWD, PAIRS, LANES, PLANES = 42, 2048, 1 << 17, 64, 8
 _U = np.uint64
 
 
@@ -122,26 +123,61 @@ def carry_save_count(planes: np.ndarray) -> list[np.ndarray]:
     return digits
 
 
-def within_radius(words: np.ndarray, p: np.ndarray, q: np.ndarray, radius: int) -> np.ndarray:
-    """Which of the pairs (p, q) of rows differ in ``radius`` bits at most.
+def bit_planes(fps: np.ndarray) -> np.ndarray:
+    """One row for each bit of the fingerprints (rows of bytes), with that bit of all of them."""
+    return np.ascontiguousarray(np.unpackbits(fps, axis=1).T)
 
-    Bits are laid in planes, one lane to a pair. After each word the lanes past
-    the radius are given up, and the rest go on.
+
+def add_digits(total: list[np.ndarray], more: list[np.ndarray]) -> list[np.ndarray]:
+    """The digits of two bit-sliced numbers' sum."""
+    out, carry = [], None
+    for k in range(max(len(total), len(more))):
+        parts = [d[k] for d in (total, more) if k < len(d)] + ([carry] if carry is not None else [])
+        digits = carry_save_count(np.stack(parts))
+        out.append(digits[0])
+        carry = digits[1] if len(digits) > 1 else None
+    return out if carry is None else [*out, carry]
+
+
+def above(digits: list[np.ndarray], limit: int) -> np.ndarray:
+    """Lanes whose bit-sliced number is over ``limit``, as bits."""
+    over, same = np.zeros_like(digits[0]), np.full_like(digits[0], 0xFF)
+    for k in range(max(len(digits), limit.bit_length()) - 1, -1, -1):
+        digit = digits[k] if k < len(digits) else np.zeros_like(over)
+        if limit >> k & 1:
+            same &= digit
+        else:
+            over |= same & digit
+            same &= ~digit
+    return over
+
+
+def within_radius(planes: np.ndarray, p: np.ndarray, q: np.ndarray, radius: int, read: list | None = None) -> np.ndarray:
+    """Which of the pairs (p, q) of fingerprints differ in ``radius`` bits at most, from their bit planes.
+
+    A lane is a pair, and a block LANES lanes. Differing bits are counted plane by plane in bit-sliced counters; a
+    block all of whose lanes are past the radius is abandoned, and the others go on. ``read`` gets the lanes that each
+    step reads.
     """
-    live, distance = np.arange(len(p)), np.zeros(len(p), np.int32)
-    for w in range(words.shape[1]):
-        differ = words[p[live], w] ^ words[q[live], w]
-        lanes = np.unpackbits(differ.view(np.uint8).reshape(-1, 8), axis=1)
-        planes = np.packbits(np.ascontiguousarray(lanes.T), axis=1)
-        count = np.zeros(len(live), np.int32)
-        for k, digit in enumerate(carry_save_count(planes)):
-            count += np.unpackbits(digit, count=len(live)).astype(np.int32) << k
-        distance = distance + count
-        near = distance <= radius
-        live, distance = live[near], distance[near]
+    n = len(p)
+    live = np.arange(-(-n // LANES) * LANES)
+    spare = live >= n
+    p, q = np.append(p, np.zeros(spare.sum(), np.int64)), np.append(q, np.zeros(spare.sum(), np.int64))
+    over, digits = np.packbits(spare), [np.zeros(len(live) // 8, np.uint8)]
+    for at in range(0, len(planes), PLANES):
         if not len(live):
             break
-    return live
+        if read is not None:
+            read.append(len(live))
+        here = planes[at : at + PLANES]
+        differ = np.packbits(here[:, p] ^ here[:, q], axis=1)
+        digits = add_digits(digits, carry_save_count(differ))
+        over = np.packbits(live >= n) | above(digits, radius)
+        open_blocks = (over.reshape(-1, LANES // 8) != 0xFF).any(1)
+        if not open_blocks.all():
+            live, p, q = (x.reshape(-1, LANES)[open_blocks].ravel() for x in (live, p, q))
+            digits, over = [d.reshape(-1, LANES // 8)[open_blocks].ravel() for d in digits], over.reshape(-1, LANES // 8)[open_blocks].ravel()
+    return live[np.unpackbits(over)[: len(live)] == 0]
 
 
 def forest(n: int, p: np.ndarray, q: np.ndarray) -> np.ndarray:
@@ -186,8 +222,7 @@ def linked_rows(radius: int):
     """Links of rows that lie together by group; each leads to its group's first."""
 
     def compare(part: pa.Table):
-        fps = np.frombuffer(b"".join(part.column("fp").to_pylist()), np.uint8)
-        words = fps.reshape(part.num_rows, -1).view(np.uint64)
+        planes = bit_planes(np.frombuffer(b"".join(part.column("fp").to_pylist()), np.uint8).reshape(part.num_rows, -1))
         node = part.column("node").to_numpy()
         group = np.stack([part.column(c).to_numpy().astype(np.int64) for c in ("key", "i", "j")])
         new = np.ones(part.num_rows, bool)
@@ -202,7 +237,7 @@ def linked_rows(radius: int):
             many = after[done:to]
             p = np.repeat(np.arange(done, to), many)
             q = p + 1 + np.arange(len(p)) - np.repeat(np.cumsum(many) - many, many)
-            hit = within_radius(words, p, q, radius)
+            hit = within_radius(planes, p, q, radius)
             ps.append(p[hit])
             qs.append(q[hit])
             done = to
