@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 from arcwise.llm.tables import read, small_batches
 from arcwise.llm.words import find_words, in_units
 
-#: Bounds of the training sample: trusted positives, unlabelled texts, labelled rows for the prior.
-POSITIVES, UNLABELLED, AUDITED = 20_000, 20_000, 20_000
+#: Bounds of the training sample: trusted positives and unlabelled texts; buckets for byte trigrams, and as many for words; what divides
+#: the weight of these.
+POSITIVES, UNLABELLED, BUCKETS, DAMPED = 20_000, 20_000, 64, 4
 UNIT_BYTES = 1 << 19
 
 _CLASS = np.zeros(256, np.int64)  # of bytes: 0 other, 1 lower, 2 upper, 3 digit, 4 sentence mark, 5 sign, 6 past ASCII, 7 space, 8 line end
@@ -23,7 +24,8 @@ _CLASS[[ord(c) for c in "|#$%&*@^~<>{}[]\\/+=_!()`"]] = 5
 _CLASS[0x80:] = 6
 _CLASS[[0x20, 0x09, 0x0B, 0x0C, 0x0D]] = 7
 _CLASS[0x0A] = 8
-N_FEATURES = 33
+SURFACE = 28
+N_FEATURES = SURFACE + 2 * BUCKETS
 
 
 def features(data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
@@ -31,7 +33,7 @@ def features(data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
 
     Shares of byte classes, sizes of words and lines, shares of words that come
     again in the text or right after themselves, and shares of words that are
-    upper-case, end in a sign, or stand alone as one.
+    upper-case, end in a sign, or stand alone as one; then hashed byte trigrams and words.
     """
     n = len(bounds) - 1
     out = np.zeros((n, N_FEATURES))
@@ -83,11 +85,14 @@ def features(data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     fresh = np.ones(len(pairs), bool)
     fresh[1:] = (pairs[by][1:] != pairs[by][:-1]) | (where[by][1:] != where[by][:-1])
     out[:, 27] = np.bincount(where[by][fresh], minlength=n) / np.maximum(np.bincount(where, minlength=n), 1)
-    out[:, 28] = mean((length == 1) & (data[words.starts] == ord("|")))
-    out[:, 29] = out[:, 19] > 0.5
-    out[:, 30] = out[:, 16] > 0.3
-    out[:, 31] = out[:, 18] > 0.2
-    out[:, 32] = out[:, 22] < 0.2
+    # hashed trigrams of bytes and hashed words, as the square root of their shares
+    if len(data) > 2:
+        codes = data.astype(np.uint32)
+        three = ((codes[:-2] * 0x9E3779B1 ^ codes[1:-1] * 0x85EBCA6B ^ codes[2:] * 0xC2B2AE35) >> np.uint32(15)) % BUCKETS
+        grams = np.bincount(text[:-2] * BUCKETS + three, minlength=n * BUCKETS).reshape(n, BUCKETS)
+        out[:, SURFACE : SURFACE + BUCKETS] = np.sqrt(grams / size[:, None])
+    named = np.bincount(of * BUCKETS + (hashes % np.uint64(BUCKETS)).astype(np.int64), minlength=n * BUCKETS).reshape(n, BUCKETS)
+    out[:, SURFACE + BUCKETS :] = np.sqrt(named / many[:, None])
     return out
 
 
@@ -112,15 +117,35 @@ def non_negative_risk(positive: np.ndarray, unlabelled: np.ndarray, prior: float
     return w
 
 
+def estimated_prior(positive: np.ndarray, unlabelled: np.ndarray, least: float = 0.05) -> float:
+    """The share of positives among the unlabelled, from trusted positives and unlabelled rows alone.
+
+    A scorer of positive against unlabelled is learnt on every second row of each and applied to the others. Where it
+    scores highest the unlabelled are positives too, so the least ratio of the unlabelled to the positives that
+    it puts over a threshold, taken over all thresholds that ``least`` of the positives pass, bounds the share from above.
+    Deviations of both counts that one in ten samples has are added, so that few rows don't make it small by chance.
+    """
+    w = non_negative_risk(positive[::2], unlabelled[::2], 0.5, rounds=300)
+    fp, fu = (np.sort(x[1::2] @ w[:-1]) for x in (positive, unlabelled))
+    if not len(fp) or not len(fu):
+        return 0.5
+    cuts = fp[: max(1, int(len(fp) * (1 - least)))]
+    over = lambda f: (len(f) - np.searchsorted(f, cuts, "left")) / len(f)
+    slack = np.sqrt(np.log(40) / 2) * (len(fu) ** -0.5 + len(fp) ** -0.5)
+    p, u = over(fp), over(fu)
+    at = int(np.argmin((u + slack) / p))
+    return float(np.clip(u[at] / p[at], 0.01, 0.99))
+
+
 def _featured(docs: DataFrame, *kept: str) -> DataFrame:
     def run(batches):
         for piece, data, bounds in in_units(batches, UNIT_BYTES):
-            rows = pa.array(list(features(data, bounds)), pa.list_(pa.float64()))
+            rows = pa.array(list(features(data, bounds).astype(np.float32)), pa.list_(pa.float32()))
             yield pa.RecordBatch.from_arrays([piece.column(c) for c in kept] + [rows], [*kept, "x"])
 
     small_batches(docs.sparkSession)
     kinds = dict(docs.dtypes)
-    return docs.select(*kept, "text").mapInArrow(run, ", ".join(f"{c} {kinds[c]}" for c in kept) + ", x array<double>")
+    return docs.select(*kept, "text").mapInArrow(run, ", ".join(f"{c} {kinds[c]}" for c in kept) + ", x array<float>")
 
 
 def held_out(key: str = "doc_id") -> F.Column:
@@ -131,27 +156,28 @@ def train_quality(docs: DataFrame, labels: DataFrame, seed: int = 11) -> dict:
     """Centre, spread, weights and prior from the rows that aren't held out.
 
     Trusted positives are training labels of 1; unlabelled web text is rows
-    without a label. The prior is the share of 1 among training labels, with one
-    added to each side. Samples are the first rows by hash of the id, up to the
-    module's bounds; labels outside 0 and 1 and null ids are left aside. Without a positive or an unlabelled row
-    the scorer is the prior alone.
+    without a label. Labels of 0 are not used: the prior too is estimated from the other two. Samples are the
+    first rows by hash of the id, up to the module's bounds; labels outside 0 and 1 and null ids are left aside; rows that
+    repeat an id all count. Without a positive or an unlabelled row every score is one half.
     """
-    known = labels.where(F.col("doc_id").isNotNull() & ~held_out() & F.col("quality").isin(0, 1))
+    known = labels.where(F.col("doc_id").isNotNull() & ~held_out() & (F.col("quality") == 1))
     mixed = F.xxhash64("doc_id", F.lit(seed))
-    audited = known.orderBy(mixed).limit(AUDITED).agg(F.sum("quality").alias("ones"), F.count(F.lit(1)).alias("rows")).first()
-    prior = ((audited["ones"] or 0) + 1) / (audited["rows"] + 2)
-    positive = known.where("quality = 1").select("doc_id").distinct().orderBy(mixed).limit(POSITIVES).withColumn("kind", F.lit(1))
+    positive = known.select("doc_id").distinct().orderBy(mixed).limit(POSITIVES).withColumn("kind", F.lit(1))
     bare = docs.select("doc_id").where(F.col("doc_id").isNotNull() & ~held_out()).distinct()
     bare = bare.join(labels.select("doc_id"), "doc_id", "left_anti").orderBy(mixed).limit(UNLABELLED).withColumn("kind", F.lit(0))
     chosen = positive.union(bare)
     # at most POSITIVES + UNLABELLED ids
     sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
-    rows = _featured(sample, "doc_id", "kind").orderBy("kind", "doc_id", "x").toPandas()
-    x, kind = np.array(rows.x.tolist()).reshape(-1, N_FEATURES), rows.kind.to_numpy()
+    rows = _featured(sample, "doc_id", "kind").orderBy("kind", F.xxhash64("doc_id", F.lit(seed)), "doc_id", "x").toPandas()
+    kind = rows.kind.to_numpy()
     if not (kind == 1).any() or not (kind == 0).any():
-        return {"centre": np.zeros(N_FEATURES), "spread": np.ones(N_FEATURES), "weights": np.append(np.zeros(N_FEATURES), np.log(prior / (1 - prior))), "prior": prior}
+        return {"centre": np.zeros(N_FEATURES), "spread": np.ones(N_FEATURES), "weights": np.zeros(N_FEATURES + 1), "prior": 0.5}
+    x = np.stack(rows.x.to_list()).astype(np.float64)
     centre, spread = x.mean(0), x.std(0) + 1e-3
+    # many hashed columns fit a small sample by chance, so each counts for less
+    spread[SURFACE:] *= DAMPED
     z = np.clip((x - centre) / spread, -8, 8)
+    prior = estimated_prior(z[kind == 1], z[kind == 0])
     return {"centre": centre, "spread": spread, "weights": non_negative_risk(z[kind == 1], z[kind == 0], prior), "prior": prior}
 
 
