@@ -3,39 +3,54 @@
 from __future__ import annotations
 
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.functions import array_to_vector
+from pyspark.ml.feature import CountVectorizerModel, Normalizer
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from arcwise.llm.tables import read
 
-#: Hash buckets, n-gram sizes, and the most labelled rows that training takes.
-BUCKETS, SIZES, LABELLED = 4096, (3, 4, 5), 10_000
-
-#: The small labelled table: 1 blocks. Words of the trades that are filtered, and everyday hosts with the same paths.
-BLOCKED_NAMES = (
-    "cheap-pills", "pills-online", "buy-pills", "casino-win", "casino-slots", "win-casino", "spam-farm", "link-farm",
-    "free-bets", "bets-now", "ads-track", "track-ads", "click-ads", "adult-x", "adult-cams", "x-adult", "xxx-video", "poker-win",
-)
-ALLOWED_NAMES = (
-    "library", "weather", "history", "gardening", "theatre", "museum", "cooking", "science", "letters", "travel-notes",
-    "school", "mountains", "thesis", "ration", "nation", "thunder", "northern", "stations", "mathematics", "catalogue",
-    "athletics", "heathland", "that-time", "what-next", "other-words", "threads", "northwest", "length", "eighth", "births",
-    "strength", "tenth-hour", "health", "hands", "months", "entertain", "ointment", "earth", "weather-then", "breathe",
-)
-PATHS = ("/en/12", "/de/345/", "/fr/78.html", "/es/901", "/about", "/")
+#: Hash buckets, n-gram sizes, the most labelled rows that training takes, and the weight of the squared weights.
+BUCKETS, SIZES, LABELLED, PENALTY = 4096, (3, 4, 5), 10_000, 1e-6
+
+#: General words of the trades that filter lists block, and of everyday sites; a site's name is made of two of a kind.
+BLOCKED_WORDS = (
+    "casino poker slots roulette jackpot betting bets wager lotto bingo pills viagra cialis meds steroids porn xxx sex adult cams escort nude "
+    "erotic ads adserver banner popup tracker click affiliate spam phish scam backlinks clickbait giveaway prize payday loans replica cheap free "
+    "crack keygen warez torrent hack"
+).split()
+ALLOWED_WORDS = (
+    "library garden museum weather history school travel recipe kitchen science music theatre letters mountain river market village football "
+    "cycling journal photo archive atlas bakery bridge castle chess church city climate college concert craft culture dance design diary doctor "
+    "education energy family farm fashion film forest gallery geology harbour health hiking hospital hotel house island jazz knitting language law "
+    "maths medicine memory nature news north novel ocean orchard paint paper physics piano planet poetry politics pottery project radio railway "
+    "report research sailing season shop society software space sport stone story student summer teacher tennis theory tools town union "
+    "university valley video water wild winter wood work world writing yoga"
+).split()
+#: Never trained on: words of both kinds for the figures of the README.
+KEPT_OUT_BLOCKED = "blackjack sportsbook pharmacy cialisonline xxxvideos sexcam adclick popunder loanshark phishing".split()
+KEPT_OUT_ALLOWED = "lighthouse carpentry astronomy vineyard violin choir bookshop meadow gazette botany".split()
+PATHS = ("/", "/about", "/2021/05/post.html", "/en/index")
 
 RULES = (("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/"))
 
 
+def site_names(words: list[str], step: int) -> list[str]:
+    """Each word with the one ``step`` places on, joined in turn by nothing, a hyphen and a number."""
+    return [f"{w}{('', '-', str(i))[i % 3]}{words[(i + step) % len(words)]}" for i, w in enumerate(words)]
+
+
 def labelled_urls(spark: SparkSession) -> DataFrame:
-    """``url, label`` (1: block), each name under some hosts and paths."""
-    ends, prefixes = ("example.com", "example.net", "example.org"), ("", "www.", "blog.", "m.")
-    rows = []
-    for label, names in ((1, BLOCKED_NAMES), (0, ALLOWED_NAMES)):
-        for i, name in enumerate(names):
-            for j in range(6):
-                rows.append((f"https://{prefixes[(i + j) % 4]}{name}.{ends[(i + j) % 3]}{PATHS[j]}", label))
+    """``url, label`` (1: block): each name under some hosts, and each blocked word in a path of an everyday host."""
+    ends, prefixes, rows = ("com", "net", "org", "info"), ("", "www.", "blog.", "m."), []
+    for label, words, steps in ((1, BLOCKED_WORDS, (7, 18)), (0, ALLOWED_WORDS, (11, 29))):
+        for step in steps:
+            for i, name in enumerate(site_names(words, step)):
+                for j in (0, 1):
+                    rows.append((f"https://{prefixes[(i + j) % 4]}{name}.{ends[(i + 2 * j) % 4]}{PATHS[(i + j) % 4]}", label))
+    for i, word in enumerate(BLOCKED_WORDS):
+        rows.append((f"https://{ALLOWED_WORDS[i]}.{ends[i % 4]}/{word}/{i}", 1))
+    for i, word in enumerate(ALLOWED_WORDS):
+        rows.append((f"https://{ALLOWED_WORDS[-i]}.{ends[i % 4]}/{word}/{i}", 0))
     return spark.createDataFrame(rows, "url string, label int")
 
 
@@ -74,12 +89,12 @@ def train_url_model(labelled: DataFrame) -> tuple[list[float], float]:
     host, path = host_and_path("url")
     rows = labelled.where(F.col("url").isNotNull() & F.col("label").isin(0, 1)).orderBy(F.xxhash64("url", "label"), "url").limit(LABELLED)
     rows = rows.select(host.alias("host"), path.alias("path"), F.col("label").cast("double").alias("label"))
-    rows = rows.select("label", grams("host", "path").alias("g"))
-    shares = F.transform(F.sequence(F.lit(0), F.lit(BUCKETS - 1)), lambda b: F.size(F.filter("g", lambda g: g == b)) / F.greatest(F.size("g"), F.lit(1)))
-    rows = rows.select("label", array_to_vector(shares).alias("features")).coalesce(1)
-    if rows.limit(1).count() == 0:
+    rows = rows.select("label", F.transform(grams("host", "path"), lambda b: b.cast("string")).alias("g"))
+    if rows.isEmpty():
         return [0.0] * BUCKETS, -1.0
-    model = LogisticRegression(regParam=1e-6, maxIter=200, standardization=False, family="binomial").fit(rows)
+    counts = CountVectorizerModel.from_vocabulary([str(b) for b in range(BUCKETS)], "g", "counts")
+    rows = Normalizer(p=1.0, inputCol="counts", outputCol="features").transform(counts.transform(rows)).select("label", "features").coalesce(1)
+    model = LogisticRegression(regParam=PENALTY, maxIter=200, standardization=False, family="binomial").fit(rows)
     return [float(w) for w in model.coefficients.toArray()], float(model.intercept)
 
 
@@ -105,17 +120,18 @@ def judge_urls(pages: DataFrame, rules, model: tuple[list[float], float], url: s
     weights, constant = model
     new = ("host", "path", "rule", "verdict", "score")
     host, path = host_and_path(url)
-    rows = pages.select(*[F.col(c) for c in pages.columns if c not in new or c == url], host.alias("_host"), path.alias("_path"))
+    # own columns travel in one, so that no working name can clash with theirs
+    rows = pages.select(F.struct(*pages.columns).alias("row"), host.alias("host"), path.alias("path"))
     # a constant of BUCKETS numbers
     table = F.split(F.lit(",".join(map(repr, weights))), ",").cast("array<double>")
-    rows = rows.withColumn("_g", grams("_host", "_path"))
-    total = F.aggregate("_g", F.lit(0.0), lambda s, g: s + F.element_at(table, g + 1))
-    score = 1 / (1 + F.exp(-(total / F.greatest(F.size("_g"), F.lit(1)) + constant)))
-    rule = matching_rule(rules, "_host", "_path", lambda verdict, rule: rule)
-    ruled = matching_rule(rules, "_host", "_path", lambda verdict, rule: verdict)
-    kept = [c for c in pages.columns if c not in new]
-    rows = rows.select(*kept, F.col("_host").alias("host"), F.col("_path").alias("path"), rule.alias("rule"), ruled.alias("_ruled"), score.alias("score"))
-    verdict = F.coalesce("_ruled", F.when(F.col("score") >= 0.5, "block").otherwise("allow"))
+    rows = rows.withColumn("g", grams("host", "path"))
+    total = F.aggregate("g", F.lit(0.0), lambda s, g: s + F.element_at(table, g + 1))
+    score = 1 / (1 + F.exp(-(total / F.greatest(F.size("g"), F.lit(1)) + constant)))
+    rule = matching_rule(rules, "host", "path", lambda verdict, rule: rule)
+    ruled = matching_rule(rules, "host", "path", lambda verdict, rule: verdict)
+    rows = rows.select("row", "host", "path", rule.alias("rule"), ruled.alias("ruled"), score.alias("score"))
+    verdict = F.coalesce("ruled", F.when(F.col("score") >= 0.5, "block").otherwise("allow"))
+    kept = [F.col("row")[c].alias(c) for c in pages.columns if c not in new]
     return rows.select(*kept, "host", "path", "rule", verdict.alias("verdict"), "score")
 
 
