@@ -25,14 +25,25 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-def tokenizer_version(path: str) -> str:
-    """Digest of the tokenizer file and of the library that reads it."""
+def tokenizer_version(path: str, ranks_path: str | None = None) -> str:
+    """Digest of all that decides a count: the tokenizer file and its library, and where ranks are used their file,
+    library and pattern, and the rule that says which texts go by them."""
     import sentencepiece
     import tokenizers
 
-    library = tokenizers.__version__ if path.endswith(".json") else sentencepiece.__version__
-    with open(path, "rb") as f:
-        return hashlib.sha256(f.read() + library.encode()).hexdigest()[:32]
+    said = [tokenizers.__version__ if path.endswith(".json") else sentencepiece.__version__]
+    files = [path]
+    if ranks_path is not None and not path.endswith(".model"):
+        import public_tokenizers
+        import tiktoken
+
+        files.append(ranks_path)
+        said += [tiktoken.__version__, public_tokenizers.PATTERN, _PLAIN.pattern]
+    digest = hashlib.sha256("\0".join(said).encode())
+    for name in files:
+        with open(name, "rb") as f:
+            digest.update(hashlib.sha256(f.read()).digest())
+    return digest.hexdigest()[:32]
 
 
 def _counter(path: str, ranks_path: str | None):
@@ -88,37 +99,46 @@ def count_tokens(docs: DataFrame, path: str, cache: str, ranks_path: str | None
     the tokenizer's own rules) and the tokenizer's version are looked up in the
     Parquet table ``cache``, which is made if it isn't there. Of the texts that
     it lacks each is encoded once and its count appended; then all rows read their
-    counts from the cache. Texts may be of any length; columns of ``docs`` other
+    counts from the cache. Only the digests that are asked for are looked up. Texts may be of any length; columns of ``docs`` other
     than the two new ones are kept, and an empty table adds nothing. Rows may repeat. Two writers that
-    append the same digest do no harm, since the lookup takes one count of each.
+    append the same digest do no harm, since the lookup takes one count of each; ``compact_cache`` takes such rows out.
     """
     spark = docs.sparkSession
     small_batches(spark)
-    version = tokenizer_version(path)
+    version = tokenizer_version(path, ranks_path)
     text = F.coalesce("text", F.lit(""))
     digest = F.unhex(F.sha2(text.cast("binary"), 256))
     if not _exists(spark, cache):
         spark.createDataFrame([], CACHE_SCHEMA).write.parquet(cache)
-    known = spark.read.schema(CACHE_SCHEMA).parquet(cache).where(F.col("tokenizer") == version).select("digest")
+    stored = lambda: spark.read.schema(CACHE_SCHEMA).parquet(cache).where(F.col("tokenizer") == version)
     # each task sends a digest's text once, however many copies it has
-    texts = docs.select(digest.alias("digest"), text.alias("_text")).groupBy("digest").agg(F.first("_text").alias("_text"))
+    texts = docs.select(digest.alias("digest"), text.alias("text")).groupBy("digest").agg(F.first("text").alias("text"))
 
     def encode(batches):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         count = _counter(path, ranks_path)
         for batch in batches:
-            counts = count(batch.column("_text").to_pylist())
+            counts = count(batch.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays(
                 [batch.column("digest"), pa.array([version] * len(counts), pa.string()), pa.array(counts, pa.int64())], ["digest", "tokenizer", "n_tokens"]
             )
 
-    texts.join(known, "digest", "left_anti").mapInArrow(encode, CACHE_SCHEMA).write.mode("append").parquet(cache)
-    stored = spark.read.schema(CACHE_SCHEMA).parquet(cache).where(F.col("tokenizer") == version)
+    texts.join(stored().select("digest"), "digest", "left_anti").mapInArrow(encode, CACHE_SCHEMA).write.mode("append").parquet(cache)
+    # own columns travel in one, so that no working name can clash with theirs
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.octet_length(text.cast("binary")).cast("long").alias("n_bytes"), digest.alias("digest"))
+    asked = materialize(rows.select("digest").distinct(), "asked")
     # written, so that adaptive execution can split the rows of a much copied text
-    counts = materialize(stored.groupBy("digest").agg(F.max("n_tokens").alias("_n")).withColumnRenamed("digest", "_digest"), "counts")
-    kept = [c for c in docs.columns if c not in ("n_bytes", "n_tokens")]
-    rows = docs.select(*kept, F.octet_length(text.cast("binary")).cast("long").alias("n_bytes"), digest.alias("_digest"))
-    return rows.join(counts, "_digest").select(*kept, "n_bytes", F.col("_n").alias("n_tokens"))
+    counts = materialize(stored().join(asked, "digest", "left_semi").groupBy("digest").agg(F.max("n_tokens").alias("n_tokens")), "counts")
+    kept = [F.col("row")[c].alias(c) for c in docs.columns if c not in ("n_bytes", "n_tokens")]
+    return rows.join(counts, "digest").select(*kept, "n_bytes", "n_tokens")
+
+
+def compact_cache(spark: SparkSession, cache: str, compacted: str, keep: list[str] | None = None) -> None:
+    """Write ``cache`` to the new folder ``compacted`` with one row for each text and tokenizer, of the versions ``keep`` (else of all)."""
+    stored = spark.read.schema(CACHE_SCHEMA).parquet(cache)
+    if keep is not None:
+        stored = stored.where(F.col("tokenizer").isin(keep))
+    stored.groupBy("digest", "tokenizer").agg(F.max("n_tokens").alias("n_tokens")).write.parquet(compacted)
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
