@@ -1,10 +1,11 @@
-"""SentencePiece encoding over a trie of the distinct marked words.
-
-The model at hand merges pairs (BPE), so the pieces of the highest total score
-are not what its library returns. The forward state of a prefix is therefore not
-a best score but the one piece that its encoding ends in: a piece may follow
-another only if merging the two alone keeps them apart. As with scores, the
-state of a prefix holds for every word that starts with it.
+"""SentencePiece encoding over a trie of the distinct marked words, with forward states that prefixes share.
+
+The words of some megabytes of text are put in a trie, which is walked depth first; the state of a node holds for every
+word that starts with it. What a state is depends on the model's type, which is read from its file. For a
+unigram model it is Viterbi's: the best score of the prefix and the piece that it ends in. A BPE model merges
+pairs, so the pieces of the highest total score are not what its library returns; there the state is the one piece that
+the prefix's encoding ends in, valid if merging it and the piece before it keeps the two apart. Models of other types, or
+that change the text before they cut it, are refused.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ from __future__ import annotations
 import re
 from array import array
 from collections import defaultdict
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -26,20 +28,92 @@ from arcwise.llm.words import in_units
 MARK = "▁"
 #: Runs of marks with what follows; a line end is no part of any piece.
 _WORDS = re.compile(f"\n|{MARK}+[^{MARK}\n]*|[^{MARK}\n]+")
-UNIT_BYTES, KEPT_WORDS, KEPT_PAIRS = 1 << 20, 600_000, 1_000_000
+UNIT_BYTES, KEPT_WORDS, KEPT_PAIRS, LONG_WORD = 1 << 20, 600_000, 1_000_000, 512
+
+
+UNIGRAM, BPE = 1, 2
+
+
+def _fields(raw: bytes):
+    """Number and value of each field of a protocol buffer message."""
+    at = 0
+
+    def varint():
+        nonlocal at
+        value = shift = 0
+        while True:
+            byte = raw[at]
+            at += 1
+            value |= (byte & 0x7F) << shift
+            shift += 7
+            if byte < 0x80:
+                return value
+
+    while at < len(raw):
+        tag = varint()
+        kind = tag & 7
+        if kind == 0:
+            value = varint()
+        else:
+            size = {1: 8, 5: 4}.get(kind) or varint()
+            value = raw[at : at + size]
+            at += size
+        yield tag >> 3, value
+
+
+def model_kind(path: str) -> int:
+    """UNIGRAM or BPE, as the file says; an error for other types and for models that normalise their text.
+
+    The encoder takes texts as they are, with one mark put first and marks in place of spaces.
+    """
+    # fixed values: field numbers of the file format; trainer 2 (type 3), normaliser 3 (map 2, first mark 3, spaces 4, marks 5)
+    with open(path, "rb") as f:
+        parts = dict((n, v) for n, v in _fields(f.read()) if n in (2, 3))
+    trainer, rules = dict(_fields(parts.get(2, b""))), dict(_fields(parts.get(3, b"")))
+    kind = trainer.get(3, UNIGRAM)
+    if kind not in (UNIGRAM, BPE):
+        raise ValueError(f"models of type {kind} are not supported")
+    if rules.get(2) or not rules.get(3, 1) or rules.get(4, 1) or not rules.get(5, 1):
+        raise ValueError("models that normalise their text, or put no mark first, are not supported")
+    return kind
+
+
+def best_path(tail: str, before: list[tuple[float, int]], scores: dict[str, float], sizes: list[int], unknown: float) -> tuple[float, int]:
+    """Viterbi's state of a word from those of all its shorter prefixes: its best score and the length of its last piece.
+
+    ``tail`` is the word's end, as long as the longest piece at least, or the word. Of equal scores the longer last piece
+    counts. A character that is no piece scores ``unknown``.
+    """
+    best = (before[-1][0] + scores.get(tail[-1], unknown), 1)
+    for size in sizes:
+        if 1 < size <= len(tail) and (score := scores.get(tail[-size:])) is not None:
+            best = max(best, (before[-size][0] + score, size))
+    return best
+
+
+def trie_of(words: list[str]) -> dict:
+    """Nested nodes by character; the key None marks the end of a word."""
+    root: dict = {}
+    for word in words:
+        node = root
+        for c in word:
+            node = node.setdefault(c, {})
+        node[None] = {}
+    return root
 
 
 class PieceTrie:
-    """Encodes sorted words depth first, keeping the states of shared prefixes."""
+    """Encodes distinct words depth first over their trie, keeping the states of shared prefixes."""
 
     def __init__(self, path: str):
         import sentencepiece
 
+        self.kind = model_kind(path)
         model = sentencepiece.SentencePieceProcessor(model_file=path)
         n = model.vocab_size()
         texts = [model.id_to_piece(i) for i in range(n)]
         self.bytes_of = [b""] * n
-        self.byte_id, self.id, self.rank = [model.unk_id()] * 256, {}, {}
+        self.byte_id, self.id, self.rank, self.score = [model.unk_id()] * 256, {}, {}, {}
         for i, text in enumerate(texts):
             if model.is_byte(i):
                 self.byte_id[int(text[1:-1], 16)] = i
@@ -47,8 +121,11 @@ class PieceTrie:
             elif not model.is_control(i) and not model.is_unknown(i):
                 self.id[text] = i
                 self.rank[text] = 0.0 if len(text) == 1 else -model.get_score(i) + 1
+                self.score[text] = model.get_score(i)
                 self.bytes_of[i] = text.replace(MARK, " ").encode()
         self.bytes_of[model.unk_id()] = " ⁇ ".encode()
+        self.unknown = min(self.score.values(), default=0.0) - 10.0  # fixed value: the library's penalty
+        self.sizes = sorted({len(t) for t in self.id})
         lengths = defaultdict(set)
         for text in self.id:
             if len(text) > 1:
@@ -57,6 +134,7 @@ class PieceTrie:
             if len(end) == 3 and end[1:] in self.id:
                 found.add(2)
         self.lengths = {end: sorted(found, reverse=True) for end, found in lengths.items()}
+        self.longest = max(self.sizes, default=1)
         self.halves: dict[str, tuple[str, str] | None] = {}
         self.apart: dict[tuple[str, str], bool] = {}
 
@@ -102,44 +180,69 @@ class PieceTrie:
             self.apart[key] = known
         return known
 
+    def last_piece(self, tail: str, before: list[str]) -> str:
+        """The piece that the merging of a word ends in, from those of all its shorter prefixes; ``tail`` is its end."""
+        rank, apart, i = self.rank, self.apart, len(tail)
+        for n in (self.lengths.get(tail[-3:]) or (2,)) if i > 2 else (2,):
+            if n > i:
+                continue
+            longer = tail[-n:]
+            if longer in rank:
+                last = before[-n]  # empty where the piece is the whole word
+                good = apart.get((last, longer))
+                if good is None:
+                    good = self.split(longer) is not None and self.stay_apart(last, longer)
+                    apart[last, longer] = good
+                if good:
+                    return longer
+        return tail[-1]
+
     def encode(self, words: list[str]) -> dict[str, bytes]:
-        """The ids of each of the words (sorted, distinct) as packed 32-bit numbers."""
-        out, before, ends, pairs = {}, "", [""], (2,)
-        rank, lengths, apart = self.rank, self.lengths, self.apart
+        """The ids of each of the distinct words as packed 32-bit numbers; very long ones are walked by themselves."""
+        out: dict[str, bytes] = {}
+        if self.kind == BPE:
+            start, state, length = "", self.last_piece, len
+        else:
+            start, state, length = (0.0, 0), lambda tail, before: best_path(tail, before, self.score, self.sizes, self.unknown), itemgetter(1)
         for word in words:
-            shared = 0
-            for x, y in zip(word, before, strict=False):
-                if x != y:
-                    break
-                shared += 1
-            del ends[shared + 1 :]
-            for i in range(shared + 1, len(word) + 1):
-                piece = word[i - 1]
-                for n in (lengths.get(word[i - 3 : i]) or pairs) if i > 2 else pairs:
-                    if n > i:
-                        continue
-                    longer = word[i - n : i]
-                    if longer in rank:
-                        last = ends[i - n]  # empty where the piece is the whole prefix
-                        good = apart.get((last, longer))
-                        if good is None:
-                            good = self.split(longer) is not None and self.stay_apart(last, longer)
-                            apart[last, longer] = good
-                        if good:
-                            piece = longer
-                            break
-                ends.append(piece)
-            before, ids, at = word, [], len(word)
-            while at:
-                piece = ends[at]
-                if piece in self.id:
-                    ids.append(self.id[piece])
-                else:
-                    ids += [self.byte_id[x] for x in reversed(piece.encode())]
-                at -= len(piece)
-            out[word] = array("i", ids[::-1]).tobytes()
+            if len(word) > LONG_WORD:
+                states = [start]
+                for i in range(1, len(word) + 1):
+                    states.append(state(word[max(0, i - self.longest) : i], states))
+                out[word] = self._ids(word, list(map(length, states)))
+        # for the path from the root: its words so far, and their states
+        heads, states = [""], [start]
+        stack = [iter(trie_of([w for w in words if len(w) <= LONG_WORD]).items())]
+        longest = self.longest
+        while stack:
+            for c, below in stack[-1]:
+                word = heads[-1]
+                if c is None:
+                    out[word] = self._ids(word, list(map(length, states)))
+                    continue
+                word += c
+                states.append(state(word[-longest:], states))
+                heads.append(word)
+                stack.append(iter(below.items()))
+                break
+            else:
+                stack.pop()
+                heads.pop()
+                states.pop()
         return out
 
+    def _ids(self, word: str, last: list[int]) -> bytes:
+        """The ids of a word's pieces, back from its end by the lengths of the last pieces."""
+        ids, at = [], len(word)
+        while at:
+            piece = word[at - last[at] : at]
+            if piece in self.id:
+                ids.append(self.id[piece])
+            else:
+                ids += [self.byte_id[x] for x in reversed(piece.encode())]
+            at -= last[at]
+        return array("i", ids[::-1]).tobytes()
+
 
 def encode_pieces(docs: DataFrame, path: str, column: str = "text", out: str = "ids") -> DataFrame:
     """``docs`` with ``out``, the ids that the model's library gives for the text.
@@ -168,7 +271,7 @@ def _encoder(path: str, kept: list[str], column: str, out: str):
             words = [_WORDS.findall(MARK + t.replace(" ", MARK)) if t else [] for t in texts]
             if len(known) > KEPT_WORDS:
                 known.clear()
-            known.update(trie.encode(sorted({w for found in words for w in found if w not in known})))
+            known.update(trie.encode(list({w for found in words for w in found if w not in known})))
             parts = [b"".join(map(known.__getitem__, found)) for found in words]
             bounds = np.concatenate([[0], np.cumsum([len(p) // 4 for p in parts])]).astype(np.int32)
             ids = pa.ListArray.from_arrays(pa.array(bounds), pa.array(np.frombuffer(b"".join(parts), np.int32)))
@@ -224,7 +327,11 @@ def _decoder(path: str, kept: list[str], ids: str, out: str):
 
 
 def encode_and_decode(docs: DataFrame, path: str) -> DataFrame:
-    """``docs`` with ``ids`` of the column ``text`` and ``decoded``, in one pass over the rows."""
+    """``docs`` with ``ids`` of the column ``text`` and ``decoded``, in one pass over the rows.
+
+    Null and empty texts have no ids and decode to an empty text. Rows may repeat; other columns are kept, those named as
+    the new ones are replaced; an empty table gives an empty result.
+    """
     small_batches(docs.sparkSession)
     kept = [c for c in docs.columns if c not in ("ids", "decoded")]
     encode, decode = _encoder(path, kept, "text", "ids"), _decoder(path, [*kept, "ids"], "ids", "decoded")
