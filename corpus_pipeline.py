@@ -14,7 +14,7 @@ from arcwise.llm.nearcopies import first_of_near_copies
 from arcwise.llm.pieces import encode_and_decode
 from arcwise.llm.quality import score_quality, train_quality
 from arcwise.llm.substrings import remove_repeats
-from arcwise.llm.tables import read
+from arcwise.llm.tables import keyed_rows, read
 from arcwise.llm.tokencounts import tokenizer_path
 from arcwise.storage import materialize
 
@@ -26,37 +26,53 @@ SHINGLE, OVER, UNDER, BITS, RADIUS, BANDS, ROWS = 5, 4, 5, 512, 140, 20, 3
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier accepts."""
+    """Rows that the quality classifier accepts.
+
+    Every row is scored by its text alone, so rows that repeat an id or have none are judged as any other, and null
+    texts as empty ones. Labels without an id don't count. An empty table gives an empty one; columns are kept.
+    """
     model = train_quality(docs, read(spark, sf_dir, "labels"))
-    scored = score_quality(docs.withColumn("_row", F.struct(*docs.columns)).select("_row", "text"), model)
+    scored = score_quality(docs.select(F.struct(*docs.columns).alias("_row"), "text"), model)
     return scored.where("score >= 0.5").select("_row.*")
 
 
 def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the smallest id of each group of near-duplicates; texts without words are one group."""
-    kept = materialize(first_of_near_copies(docs, SHINGLE, OVER, UNDER, BITS, RADIUS, BANDS, ROWS), "kept")
-    return docs.join(kept, "doc_id", "left_semi").select(*docs.columns)
+    """The first row of each group of near-duplicates.
+
+    Rows are told apart by ``keyed_rows``: the smallest doc_id stays, of rows that repeat it that with the least text, and
+    rows without an id come last but are compared as any other. Null texts and texts without words are one group. An
+    empty table gives an empty one; columns are kept.
+    """
+    keyed = keyed_rows(docs)
+    kept = materialize(first_of_near_copies(keyed, SHINGLE, OVER, UNDER, BITS, RADIUS, BANDS, ROWS), "kept")
+    return keyed.join(kept, "doc_id", "left_semi").select("_row.*")
 
 
 def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the runs of 20 words that came before; untouched texts keep their spacing.
+    """Rows without the runs of 20 words that came before; untouched texts keep their spacing, and null texts stay null.
 
-    A document of which nothing is left goes.
+    Rows are told apart by ``keyed_rows``, whose order says what came before, so rows that repeat an id or have none keep
+    their own texts. A row of which nothing is left goes; one that had no words stays. An empty table gives an empty one.
     """
-    done = remove_repeats(docs).select("doc_id", "n_removed", "kept")
-    text = F.when(F.col("n_removed") > 0, F.col("kept")).otherwise(F.col("text"))
-    left = docs.join(done, "doc_id").where("n_removed = 0 OR kept <> ''").withColumn("text", text)
-    chars = {"n_chars": F.length("text").cast(dict(docs.dtypes)["n_chars"])} if "n_chars" in docs.columns else {}
-    return left.withColumns(chars).select(*docs.columns)
+    keyed = keyed_rows(docs)
+    done = remove_repeats(keyed).select("doc_id", "n_removed", "kept")
+    text = F.when(F.col("n_removed") > 0, F.col("kept")).otherwise(F.col("_row.text"))
+    left = keyed.join(done, "doc_id").where("n_removed = 0 OR kept <> ''").select("_row", text.alias("text"))
+    chars = F.length("text").cast(dict(docs.dtypes).get("n_chars", "long"))
+    own = {"text": F.col("text"), "n_chars": chars}
+    return left.select(*[own.get(c, F.col("_row")[c]).alias(c) for c in docs.columns])
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix of sources takes them."""
+    """Every row as often as the mix of sources takes it, each by itself; a null source is a source, a null text has size 0."""
     return mix_sources(docs)
 
 
 def pieces_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """``doc_id``, the ids of the text's pieces and how many, and whether they decode to the text."""
+    """For each row its ``doc_id``, the ids of its text's pieces, how many, and whether they decode to the text.
+
+    Null texts count as empty: no pieces. Rows may repeat; an empty table gives an empty result.
+    """
     path = tokenizer_path("piece_bpe_32k.model")
     done = encode_and_decode(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), path)
     same = F.col("decoded") == F.translate("text", "▁", " ")
