@@ -31,23 +31,49 @@ def fill_ring(counts: list[int], owners: list[int], capacity: list[int]) -> list
 
     ``counts[i]`` keys lie on the arc that ends at virtual node ``i``, which is
     of ``owners[i]``; an arc past the last node belongs to the first. In each
-    round every arc offers what it has left to the next further shard clockwise,
-    and a shard takes offers in ring order until it is full. Time and memory
-    follow the number of virtual nodes, not of keys.
+    round every arc offers what it has left to the next node clockwise whose shard has room,
+    and a shard takes offers in ring order until it is full. An offer ends its arc or fills
+    a shard, and nodes of full shards are stepped over for good, so time and memory follow the number of virtual
+    nodes, not of keys or of nodes times shards.
     """
-    n, done, used, pieces = len(owners), [0] * len(counts), [0] * len(capacity), []
-    walks = [list(dict.fromkeys(owners[(i + j) % n] for j in range(n))) for i in range(len(counts))]
-    for step in range(len(capacity)):
-        for i, walk in enumerate(walks):
-            if step < len(walk) and done[i] < counts[i]:
-                shard = walk[step]
-                take = min(counts[i] - done[i], capacity[shard] - used[shard])
-                if take > 0:
-                    pieces.append((i, done[i], done[i] + take, shard, used[shard]))
-                    done[i] += take
-                    used[shard] += take
-    if done != list(counts):
+    n, used, pieces = len(owners), [0] * len(capacity), []
+    following = list(range(n))  # of a node of a full shard: one further on
+    nodes: dict[int, list[int]] = {}
+    for i, shard in enumerate(owners):
+        nodes.setdefault(shard, []).append(i)
+    still_open = sum(capacity[s] > 0 for s in nodes)
+
+    def close(shard):
+        for i in nodes[shard]:
+            following[i] = (i + 1) % n
+
+    def next_open(i):
+        while following[i] != i:
+            following[i] = following[following[i]]
+            i = following[i]
+        return i
+
+    if sum(counts) > sum(capacity[s] for s in nodes):
         raise ValueError("the capacities hold fewer keys than there are")
+    if still_open:
+        for shard in nodes:
+            if capacity[shard] <= 0:
+                close(shard)
+    waiting = [(i, i % n, 0) for i, count in enumerate(counts) if count]
+    while waiting:
+        later = []
+        for arc, node, done in waiting:
+            node = next_open(node)
+            shard = owners[node]
+            take = min(counts[arc] - done, capacity[shard] - used[shard])
+            pieces.append((arc, done, done + take, shard, used[shard]))
+            used[shard] += take
+            if used[shard] == capacity[shard] and still_open > 1:
+                close(shard)
+                still_open -= 1
+            if done + take < counts[arc]:
+                later.append((arc, node, done + take))
+        waiting = later
     return pieces
 
 
@@ -75,8 +101,8 @@ def shard_rows(df: DataFrame, key: str, shards: int, nodes: int = 128) -> DataFr
     fit continues clockwise to the next shard with room. Within an arc the rows
     with the smallest hashes stay. Every row counts, also with a null or repeated
     key: such rows lie at one point of the ring, in any order, and may be parted
-    by a full shard. An empty table gives an empty result. ``df`` is written once;
-    the driver sees one count for each virtual node.
+    by a full shard. An empty table gives an empty result. Columns named ``shard`` or ``slot`` are replaced, all
+    others kept whatever their names. ``df`` is written once; the driver sees one count for each virtual node.
     """
     spark = df.sparkSession
     ring = virtual_nodes(spark, shards, nodes)
