@@ -2,14 +2,14 @@
 
 Every text is cut into non-overlapping reference blocks of ten words and probed
 with every rolling run of ten words. A run of twenty words that occurs twice
-holds a whole reference block at each place, so only runs around a hit can
-repeat; these are grown to all their twenty-word windows, and windows with the
+holds a whole reference block at each place, and the probes find it at the other. So only windows all of
+whose reference blocks are hit can repeat; windows with the
 same words are put in order of document and place. All but the first go. Windows
 that follow each other in a document and in the one they repeat make a maximal exact repeat.
 
 Anchors are found by hashes, whose collisions only add windows; windows are the same if a 128-bit cryptographic digest of
 their words is. Both travel in packed pieces: a unit of some megabytes of text sends each of its hashes once, in one
-piece to each bucket of hashes, and gets back the places that were hit there. So a run that a third of all
+piece to each bucket of hashes, and gets back the places of its blocks that were hit there. So a run that a third of all
 documents hold comes once for each unit, and a bucket follows the distinct hashes, not their occurrences.
 """
 
@@ -32,7 +32,7 @@ from arcwise.storage import materialize
 #: Words of a block; text of a unit; text for which one more bucket is made.
 BLOCK, UNIT_BYTES, BUCKET_BYTES = 10, 2 << 20, 64 << 20
 PIECES = "bucket int, unit long, kind int, hashes binary, places binary, ids binary, runs binary"
-PLACES = "unit long, kind int, hashes binary, places binary, ids binary, runs binary"
+PLACES = "unit long, kind int, places binary, ids binary, runs binary"
 WINDOWS = "bucket int, unit long, kind int, hashes binary, places binary, ids binary, runs binary, of_ids binary, of_places binary"
 LATER = "unit long, places binary, ids binary, runs binary, of_ids binary, of_places binary"
 RUNS = "array<struct<start: long, n_words: long, of_doc: long, of_start: long>>"
@@ -84,11 +84,11 @@ def _groups(order: np.ndarray, *keys: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return starts, np.diff(np.append(starts, len(order)))
 
 
-def block_pieces(buckets: int):
-    """Each unit's distinct hashes of rolling runs; ``kind`` 1 marks those of reference blocks.
+def block_pieces(buckets: int, bits: int = 64):
+    """Each unit's distinct hashes of rolling runs; ``kind`` 1 marks those of reference blocks, which have their places.
 
-    The unit's own row holds its documents, and for runs that come again in the unit the first place and the others,
-    since the answer names the first alone. Runs that a block of the same unit repeats are known at once.
+    The unit's own row holds its documents. Blocks that come again in the unit are known to be hit at once. Fewer ``bits`` of
+    the hashes make more of them equal, which costs time but changes no result.
     """
 
     def run(batches):
@@ -98,22 +98,23 @@ def block_pieces(buckets: int):
             at, hashes = words.windows(words.hashes(), BLOCK)
             if not len(at):
                 continue
+            hashes = hashes & _U((1 << bits) - 1)
             text = np.searchsorted(words.first, at, "right") - 1
             grid = (at - words.first[text]) % BLOCK == 0
-            order = np.argsort(hashes, kind="stable")
+            order = np.lexsort((~grid, hashes))  # blocks first
             starts, many = _groups(order, hashes)
-            block, lead = np.logical_or.reduceat(grid[order], starts), order[starts]
-            again, known = np.repeat(many > 1, many), np.repeat((many > 1) & block, many)
-            first = np.repeat(lead, many)
-            other = again & ~known & (first != order)
-            known = np.sort(at[order[known]])
-            rows = [(unit % buckets, unit, _UNIT, pack(at[first[other]]), pack(at[order[other]]), pack(_ids(piece), 8), pack(np.diff(words.first)))]
+            lead = order[starts]
+            known = np.sort(at[order[np.repeat(many > 1, many) & grid[order]]])
+            rows = [(unit % buckets, unit, _UNIT, b"", b"", pack(_ids(piece), 8), pack(np.diff(words.first)))]
             if len(known):
                 rows.append((unit % buckets, unit, _KNOWN, b"", pack_rising(known), b"", b""))
             for kind in (0, 1):
-                own = np.sort(lead[block == kind])
+                own = lead[grid[lead] == kind]
+                own = own[np.argsort(at[own])] if kind else own
                 key = (hashes[own] >> _U(32)) % _U(buckets)
-                rows += [(b, unit, kind, pack(hashes[own[i]] & _U(0xFFFFFFFF)), pack_rising(at[own[i]]), b"", b"") for b, i in split_by(key, buckets)]
+                low = hashes[own] & _U(0xFFFFFFFF)
+                # probes are sent in rising order of hash, which packs well
+                rows += [(b, unit, kind, pack(low[i]) if kind else pack_rising(np.sort(low[i])), pack_rising(at[own[i]]) if kind else b"", b"", b"") for b, i in split_by(key, buckets)]
             yield _frame(rows, PIECES)
             unit += 1
 
@@ -121,38 +122,35 @@ def block_pieces(buckets: int):
 
 
 def hit_blocks(group: pd.DataFrame) -> pd.DataFrame:
-    """Places whose hash is that of a reference block and comes from more than one unit; unit rows and known places go on."""
+    """Places of reference blocks whose hash comes from more than one unit; unit rows and known places go on."""
     passed = group[group.kind >= _UNIT]
-    rows = [(u, _UNIT if k == _UNIT else _HIT, h, p, i, r) for u, k, h, p, i, r in zip(passed.unit, passed.kind, passed.hashes, passed.places, passed.ids, passed.runs, strict=True)]
-    group = group[group.kind < _UNIT]
-    hashes = [unpack(h) for h in group.hashes]
-    blocks = [h for h, k in zip(hashes, group.kind, strict=True) if k == 1]
-    if blocks:
-        known, seen = np.unique(np.concatenate(blocks), return_counts=True)
-        for h, k in zip(hashes, group.kind, strict=True):
-            if k == 0:
-                i = np.minimum(np.searchsorted(known, h), len(known) - 1)
-                np.add.at(seen, i[known[i] == h], 1)
+    rows = [(u, _UNIT if k == _UNIT else _HIT, p, i, r) for u, k, p, i, r in zip(passed.unit, passed.kind, passed.places, passed.ids, passed.runs, strict=True)]
+    blocks = group[group.kind == 1]
+    if len(blocks):
+        hashes = [unpack(h) for h in blocks.hashes]
+        known, seen = np.unique(np.concatenate(hashes), return_counts=True)
+        for raw in group.hashes[group.kind == 0]:
+            h = unpack_rising(raw).astype(np.uint32)
+            i = np.minimum(np.searchsorted(known, h), len(known) - 1)
+            np.add.at(seen, i[known[i] == h], 1)
         known = known[seen > 1]
-        for u, h, p in zip(group.unit, hashes, group.places, strict=True):
+        for u, h, p in zip(blocks.unit, hashes, blocks.places, strict=True):
             if len(known):
                 i = np.minimum(np.searchsorted(known, h), len(known) - 1)
                 hit = unpack_rising(p)[known[i] == h]
                 if len(hit):
-                    rows.append((u, _HIT, b"", pack_rising(hit), b"", b""))
-    return pd.DataFrame(rows, columns=["unit", "kind", "hashes", "places", "ids", "runs"])
+                    rows.append((u, _HIT, pack_rising(hit), b"", b""))
+    return pd.DataFrame(rows, columns=["unit", "kind", "places", "ids", "runs"])
 
 
 def places_by_document(group: pd.DataFrame) -> pd.DataFrame:
-    """A unit's hit places from all buckets, and where they come again in the unit, as places in its documents."""
+    """A unit's hit blocks from all buckets, as places in its documents."""
     unit, hits = group[group.kind == _UNIT], group[group.kind == _HIT]
     rows = []
     if len(unit) and len(hits):
         first = np.concatenate([[0], np.cumsum(unpack(unit.runs.iloc[0]).astype(np.int64))])
         ids = unpack(unit.ids.iloc[0], 8).view(np.int64)
         places = np.unique(np.concatenate([unpack_rising(p) for p in hits.places]))
-        others = unpack(unit.places.iloc[0]).astype(np.int64)[np.isin(unpack(unit.hashes.iloc[0]), places)]
-        places = np.union1d(places, others)
         cuts = np.searchsorted(places, first)
         for i in np.flatnonzero(np.diff(cuts)):
             rows.append((ids[i], pack_rising(places[cuts[i] : cuts[i + 1]] - first[i])))
@@ -173,23 +171,22 @@ def window_digests(words, at: np.ndarray, size: int) -> np.ndarray:
 
 
 def window_pieces(buckets: int, size: int):
-    """Each unit's distinct windows around hits, at their first places; later places in the unit are known at once."""
+    """Each unit's distinct windows of hit blocks, at their first places; later places in the unit are known at once."""
 
     def run(batches):
         unit = TaskContext.get().partitionId() << 24
         for piece, data, bounds in in_units(batches, UNIT_BYTES):
             ids, places = _ids(piece), piece.column("places").to_pylist()
             words = find_words(data, bounds)
-            near = np.zeros(len(words.starts) + 1, np.int32)
+            text = np.repeat(np.arange(len(ids)), np.diff(words.first))
+            # blocks that were not hit, and windows without one
+            missed = ((np.arange(len(text)) - words.first[text]) % BLOCK == 0).astype(np.int64)
             for i, raw in enumerate(places):
                 if raw:
-                    hit = unpack_rising(raw) + words.first[i]
-                    np.add.at(near, np.maximum(hit + BLOCK - size, words.first[i]), 1)
-                    np.add.at(near, hit + 1, -1)
-            near = np.cumsum(near) > 0
-            text = np.repeat(np.arange(len(ids)), np.diff(words.first))
-            at = np.flatnonzero(near[: len(text)])
-            at = at[at + size <= words.first[text[at] + 1]]
+                    missed[unpack_rising(raw) + words.first[i]] = 0
+            sums = np.concatenate([[0], np.cumsum(missed)])
+            at = np.flatnonzero(np.arange(len(text)) + size <= words.first[text + 1])
+            at = at[sums[at + size - BLOCK + 1] == sums[at]]
             if not len(at):
                 continue
             text = text[at]
@@ -285,7 +282,7 @@ def without_repeats(batches):
         )
 
 
-def exact_repeats(docs: DataFrame, size: int = 20) -> DataFrame:
+def exact_repeats(docs: DataFrame, size: int = 20, bits: int = 64) -> DataFrame:
     """``doc_id, repeats`` of the documents (``doc_id, text``; ids whole, not null and each once) that repeat something.
 
     A repeat has ``start`` and ``n_words`` (``size`` or more), and ``of_doc`` and ``of_start``, where the same words start
@@ -296,7 +293,7 @@ def exact_repeats(docs: DataFrame, size: int = 20) -> DataFrame:
         raise ValueError(f"a window needs {2 * BLOCK - 1} words to hold a block of {BLOCK}")
     text_bytes = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(shuffle_count(docs.sparkSession), -(-text_bytes // BUCKET_BYTES))
-    probes = docs.select("doc_id", "text").mapInArrow(block_pieces(buckets), PIECES)
+    probes = docs.select("doc_id", "text").mapInArrow(block_pieces(buckets, bits), PIECES)
     hits = probes.groupBy("bucket").applyInPandas(hit_blocks, PLACES)
     anchors = materialize(hits.groupBy("unit").applyInPandas(places_by_document, "doc_id long, places binary"), "anchors")
     around = docs.select("doc_id", "text").join(anchors, "doc_id", "left").mapInArrow(window_pieces(buckets, size), WINDOWS)
