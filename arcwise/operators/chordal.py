@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from arcwise.functions.ranking import with_global_index
 from arcwise.operators.components import star_labels
-from arcwise.operators.connectivity import as_tree
+from arcwise.operators.connectivity import as_tree, component_count
 from arcwise.operators.graph import Graph
 from arcwise.storage import materialize
 
@@ -85,7 +85,7 @@ def chordal_tree_decomposition(g: Graph, order: DataFrame | None = None) -> tupl
     """``(bag_id, vertex)`` and tree edges ``src, dst`` between bags, or None if not chordal.
 
     A vertex's bag is itself and its later neighbours; it hangs on the bag of the
-    next of these. The last bags of the components are strung together.
+    next of these. The last bags of the components hang on each other in a heap, so the tree stays shallow.
     """
     order = perfect_elimination_order(g) if order is None else order
     if order is None or not is_elimination_order(g, order):
@@ -94,7 +94,9 @@ def chordal_tree_decomposition(g: Graph, order: DataFrame | None = None) -> tupl
     bags = g.vertices.select(F.col("id").alias("bag_id"), F.col("id").alias("vertex")).union(later.select("v", "u"))
     hang = later.groupBy(F.col("v").alias("src")).agg(F.min_by("u", "pu").alias("dst"))
     roots = g.vertices.join(hang, F.col("id") == F.col("src"), "left_anti")
-    strung = roots.select(F.col("id").alias("src"), F.lead("id").over(Window.partitionBy(F.lit(0)).orderBy("id")).alias("dst")).where("dst IS NOT NULL")
+    placed = materialize(with_global_index(roots.select("id"), ["id"], "at"))
+    above = placed.select(F.col("at").alias("up"), F.col("id").alias("dst"))
+    strung = placed.where("at > 0").withColumn("up", F.floor((F.col("at") - 1) / 2)).join(above, "up").select(F.col("id").alias("src"), "dst")
     tree = hang.union(strung).select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst"))
     return bags, tree
 
@@ -115,7 +117,8 @@ def check_decomposition(g: Graph, bags: DataFrame, tree: DataFrame) -> DataFrame
     homes = bags.distinct().select("vertex", key("bag_id").alias("id")).join(labels, "id", "left").select("vertex", F.coalesce("component", "id").alias("c"))
     parted = homes.groupBy("vertex").agg(F.countDistinct("c").alias("n")).where("n > 1").count()
     nodes = bags.select(F.col("bag_id").alias("id")).distinct()
-    is_tree = as_tree(Graph(nodes, tree)) is not None or nodes.limit(1).count() == 0
+    n, hung = nodes.count(), Graph(nodes, tree)
+    is_tree = n == 0 or (hung.edge_count() == n - 1 and component_count(hung) == 1)
     return spark.createDataFrame([(v, e, parted, is_tree)], "vertices long, edges long, parted long, is_tree boolean")
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from arcwise.storage import materialize
+from arcwise.storage import forget, materialize
 
 
 def _both_ways(links: DataFrame) -> DataFrame:
@@ -38,7 +38,9 @@ def star_labels(edges: DataFrame, a: str = "src", b: str = "dst", max_rounds: in
         large = materialize(large, "large")
         low = materialize(large.groupBy("a").agg(F.min("b").alias("m")), "low")
         small = large.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
+        old = (links, least, large, low)
         links = materialize(small.union(low.select("a", F.col("m").alias("b"))).distinct(), "links")
+        forget(*old)
         now = _state(links)
         if now == before:
             break

@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from arcwise.functions.ranking import with_running_sum
 from arcwise.operators.components import star_labels
 from arcwise.operators.graph import Graph, canonical
 from arcwise.storage import materialize
@@ -97,8 +98,7 @@ def ordered_forest(tree: DataFrame) -> DataFrame:
         below = materialize(own.select("id", "parent", "hops", "size"))
         sized.append(below)
     sized.reverse()
-    by_id = Window.orderBy("id").rowsBetween(Window.unboundedPreceding, -1)  # one row for each tree
-    above = materialize(sized[0].withColumn("pre", F.coalesce(F.sum("size").over(by_id), F.lit(0))))
+    above = materialize(with_running_sum(sized[0], ["id"], F.col("size"), "to").select(*sized[0].columns, (F.col("to") - F.col("size")).alias("pre")))
     placed = [above]
     for here in sized[1:]:
         by_child = Window.partitionBy("parent").orderBy("id").rowsBetween(Window.unboundedPreceding, -1)
@@ -212,11 +212,13 @@ def as_tree(g: Graph, root=None) -> DataFrame | None:
     return reachable_from(g, start).select("id", "parent", F.col("hops").alias("depth"))
 
 
-def tree_to_dot(tree: DataFrame, label) -> DataFrame:
-    """One text column ``line``: a digraph of ``id, parent``, each line by itself; ``label`` is a Column."""
-    fixed = ["digraph G {", "  graph [rankdir=TB];", "  node [shape=oval,fontname=Helvetica];"]
+def tree_to_dot(tree: DataFrame, label, name: str = "tree", settings: tuple[str, ...] = ()) -> DataFrame:
+    """One text column ``line``: a digraph of ``id, parent``, each line by itself; ``label`` is a Column.
+
+    ``settings`` are lines of the format's own that go first.
+    """
     spark = tree.sparkSession
-    head = spark.createDataFrame([(0, i, x) for i, x in enumerate(fixed)], "part int, at long, line string")
+    head = spark.createDataFrame([(0, 0, f"digraph {name} {{")] + [(0, i, f"  {x};") for i, x in enumerate(settings, 1)], "part int, at long, line string")
     tail = spark.createDataFrame([(2, 0, "}")], head.schema)
     nodes = tree.select(F.lit(1).alias("part"), F.lit(0).cast("long").alias("at"), F.format_string('  "%s" [label="%s"];', F.col("id").cast("string"), label.cast("string")).alias("line"))
     arrows = tree.where("parent IS NOT NULL").select(F.lit(1).alias("part"), F.lit(1).cast("long").alias("at"), F.format_string('  "%s" -> "%s";', F.col("parent").cast("string"), F.col("id").cast("string")).alias("line"))

@@ -7,12 +7,23 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from arcwise.functions.ranking import with_global_index
 from arcwise.operators.components import star_labels
 from arcwise.operators.connectivity import as_tree, reachable_from
 from arcwise.operators.graph import Graph
 from arcwise.storage import materialize
 
 
+#: Problems that are sent to all tasks; more of them are joined by shuffling.
+FEW = 1000
+
+
+def _each(arcs: DataFrame, problems: DataFrame) -> DataFrame:
+    """Every arc for every problem."""
+    ids = problems.select("problem_id").distinct()
+    return arcs.join(F.broadcast(ids) if ids.limit(FEW + 1).count() <= FEW else ids)
+
+
 def _global_labels(res: DataFrame, ends: DataFrame, sizes: DataFrame) -> DataFrame:
     """Exact labels: steps to the sink over arcs with room, else the number of vertices and the steps to the source."""
     back = res.where("room > 0").select("problem_id", F.col("dst").alias("src"), F.col("src").alias("dst"))
@@ -33,10 +44,11 @@ def max_flow(arcs: DataFrame, problems: DataFrame, refresh: int = 6, max_rounds:
     problem's own. All problems move in the same rounds: every vertex with excess
     pushes along arcs that go one label down, in order of the far end, then those that
     could not get rid of it are raised. Labels are made exact every few rounds.
-    ``flow(u, v) = -flow(v, u)``; both directions are returned.
+    ``flow(u, v) = -flow(v, u)``; both directions are returned. Arcs that problems share are
+    copied for each, so the work is arcs times problems; deal many problems into several calls.
     """
     ends = problems.select("problem_id", "source", "sink")
-    own = arcs if "problem_id" in arcs.columns else arcs.crossJoin(F.broadcast(problems.select("problem_id")))
+    own = arcs if "problem_id" in arcs.columns else _each(arcs, problems)
     own = own.groupBy("problem_id", "src", "dst").agg(F.sum("capacity").alias("capacity"))
     zero = F.lit(0).cast(dict(own.dtypes)["capacity"])
     mirrored = own.union(own.select("problem_id", "dst", "src", zero)).groupBy("problem_id", "src", "dst").agg(F.sum("capacity").alias("capacity"))
@@ -105,7 +117,7 @@ def set_flow(flow: DataFrame, new: DataFrame) -> DataFrame:
 def residual_arcs(arcs: DataFrame, flow: DataFrame, both_ways: bool = False) -> DataFrame:
     """``src, dst`` (and ``problem_id``) of arcs with room; with ``both_ways`` only where neither direction is full."""
     k = [c for c in ("problem_id",) if c in flow.columns]
-    cap = arcs if "problem_id" in arcs.columns or not k else arcs.crossJoin(F.broadcast(flow.select("problem_id").distinct()))
+    cap = arcs if "problem_id" in arcs.columns or not k else _each(arcs, flow)
     rooms = flow.join(cap, [*k, "src", "dst"], "left").where(F.col("flow") < F.coalesce("capacity", F.lit(0))).select(*k, "src", "dst")
     if not both_ways:
         return rooms
@@ -129,8 +141,11 @@ def _capacities(g: Graph, cost) -> DataFrame:
     return e.union(e.select("dst", "src", "capacity"))
 
 
-def global_min_cut(g: Graph, cost="cost") -> tuple[DataFrame, object]:
-    """``id, side`` and the cost of the cheapest split in two; one vertex or a graph in parts costs 0."""
+def global_min_cut(g: Graph, cost="cost", at_once: int = 64) -> tuple[DataFrame, object]:
+    """``id, side`` and the cost of the cheapest split in two; one vertex or a graph in parts costs 0.
+
+    The smallest vertex is parted from every other; ``at_once`` of these problems are solved at a time, each with its copy of the arcs.
+    """
     if g.vertex_count() == 0:
         raise ValueError("a cut needs at least one vertex")
     labels = star_labels(g.edges)
@@ -138,10 +153,26 @@ def global_min_cut(g: Graph, cost="cost") -> tuple[DataFrame, object]:
     least = parts.agg(F.min("id"), F.min("c"), F.max("c")).first()
     if least[1] != least[2] or parts.count() == 1:
         return parts.select("id", (F.col("c") == F.lit(least[1])).cast("int").alias("side")), 0
-    problems = materialize(parts.where(F.col("id") != F.lit(least[0])).select(F.col("id").alias("problem_id"), F.lit(least[0]).alias("source"), F.col("id").alias("sink")))
-    sides, value = min_st_cut(_capacities(g, cost), problems)
-    best = value.orderBy("value", "problem_id").first()
-    return sides.where(F.col("problem_id") == F.lit(best["problem_id"])).select("id", "side"), best["value"]
+    rest = parts.where(F.col("id") != F.lit(least[0])).select(F.col("id").alias("problem_id"), F.lit(least[0]).alias("source"), F.col("id").alias("sink"))
+    problems = materialize(with_global_index(rest, ["problem_id"], "at"))
+    arcs, best = materialize(_capacities(g, cost)), None
+    for low in range(0, problems.count(), at_once):
+        sides, value = min_st_cut(arcs, problems.where(F.col("at").between(low, low + at_once - 1)).select("problem_id", "source", "sink"))
+        found = value.orderBy("value", "problem_id").first()
+        if best is None or found["value"] < best[1]:
+            best = sides.where(F.col("problem_id") == F.lit(found["problem_id"])).select("id", "side"), found["value"]
+    return best
+
+
+def _branches(problems: DataFrame, groups: DataFrame, tree: DataFrame) -> DataFrame:
+    """``problem_id, grp, root``: for each open group, which branch of the tree at it every other group hangs on, named by its smallest group."""
+    ids = problems.select("problem_id")
+    others = ids.join(groups.select("grp").distinct(), F.col("problem_id") != F.col("grp"))
+    inner = tree.join(ids, (F.col("a") != F.col("problem_id")) & (F.col("b") != F.col("problem_id")))
+    key = lambda c: F.struct("problem_id", F.col(c).alias("g"))
+    labels = star_labels(materialize(inner.select(key("a").alias("src"), key("b").alias("dst"))))
+    named = labels.select("id.problem_id", F.col("id.g").alias("grp"), F.col("component.g").alias("root"))
+    return others.join(named, ["problem_id", "grp"], "left").select("problem_id", "grp", F.coalesce("root", "grp").alias("root"))
 
 
 def gomory_hu_tree(g: Graph, cost="cost") -> DataFrame:
@@ -149,61 +180,54 @@ def gomory_hu_tree(g: Graph, cost="cost") -> DataFrame:
 
     Level by level: every group of vertices not yet told apart picks its two
     smallest and is split by their least cut, in the graph where each branch of
-    the tree so far at that group is one vertex. All groups of a level are one table of problems.
+    the tree so far at that group is one vertex. All groups of a level are one table of problems; groups and the tree
+    are tables too. A level's branches take a row for each open group and group.
     """
     arcs = materialize(_capacities(g, cost))
-    kind = dict(g.vertices.dtypes)["id"]
+    kind, amount = dict(g.vertices.dtypes)["id"], dict(arcs.dtypes)["capacity"]
     spark = g.vertices.sparkSession
     groups = materialize(g.vertices.select("id", F.lit(0).cast("long").alias("grp")))
-    tree: list[tuple] = []  # (group, group, cost): as many rows as groups, less one
+    tree = spark.createDataFrame([], f"a long, b long, cost {amount}")
     n_groups = 1
     while True:
         pick = groups.groupBy("grp").agg(F.min("id").alias("source"), F.count(F.lit(1)).alias("n")).where("n > 1")
         second = groups.join(pick, "grp").where("id <> source").groupBy("grp", "source").agg(F.min("id").alias("sink"))
         problems = materialize(second.select(F.col("grp").alias("problem_id"), "source", "sink"))
-        open_groups = [r[0] for r in problems.select("problem_id").collect()]
-        if not open_groups:
+        n_open = problems.count()
+        if not n_open:
             break
-        # for each open group, which branch of the tree every other group hangs on
-        branch = []
-        for x in open_groups:
-            for root in {b if a == x else a for a, b, _ in tree if x in (a, b)}:
-                found, todo = {root}, [root]
-                while todo:
-                    y = todo.pop()
-                    for a, b, _ in tree:
-                        if y in (a, b) and x not in (a, b):
-                            z = b if a == y else a
-                            if z not in found:
-                                found.add(z)
-                                todo.append(z)
-                branch += [(x, z, root) for z in found]
-        hung = spark.createDataFrame(branch, "problem_id long, grp long, root long")
-        # names in a problem: an own vertex by itself, a branch by its root
+        hung = materialize(_branches(problems, groups, tree))
+        # names in a problem: an own vertex by itself, a branch by the smallest group in it
         inside = groups.join(problems.select("problem_id"), F.col("grp") == F.col("problem_id")).select("problem_id", "id", F.struct(F.lit(0).cast("long").alias("b"), F.col("id").alias("v")).alias("name"))
-        outside = groups.join(hung, "grp").select("problem_id", "id", F.struct((F.col("root") + 1).alias("b"), F.lit(None).cast(kind).alias("v")).alias("name"))
-        outside = outside.withColumn("name", F.struct(F.col("name.b"), F.first("id").over(Window.partitionBy("problem_id", "name.b").orderBy("id")).alias("v")))
+        outside = groups.join(hung, "grp").select("problem_id", "id", (F.col("root") + 1).alias("b"))
+        first = materialize(outside.groupBy("problem_id", "b").agg(F.min("id").alias("v")))
+        outside = outside.join(first, ["problem_id", "b"]).select("problem_id", "id", F.struct("b", "v").alias("name"))
         names = materialize(inside.union(outside))
         a, b = names.select("problem_id", F.col("id").alias("src"), F.col("name").alias("a")), names.select("problem_id", F.col("id").alias("dst"), F.col("name").alias("b"))
         merged = arcs.join(a, "src").join(b, ["problem_id", "dst"]).where("a <> b").groupBy("problem_id", F.col("a").alias("src"), F.col("b").alias("dst")).agg(F.sum("capacity").alias("capacity"))
         own = lambda c: F.struct(F.lit(0).cast("long").alias("b"), F.col(c).alias("v")).alias(c)
         sides, value = min_st_cut(materialize(merged), problems.select("problem_id", own("source"), own("sink")))
         sides = materialize(sides.select("problem_id", F.col("id.b").alias("b"), F.col("id.v").alias("v"), "side"))
-        costs = {r["problem_id"]: r["value"] for r in value.collect()}
-        fresh = {x: n_groups + i for i, x in enumerate(open_groups)}
-        n_groups += len(open_groups)
-        moved_roots = {(r["problem_id"], r["b"] - 1) for r in sides.where("b > 0 AND side = 0").select("problem_id", "b").distinct().collect()}
-        tree = [(fresh[a] if (a, b) in moved_roots else a, fresh[b] if (b, a) in moved_roots else b, c) for a, b, c in tree]
-        tree += [(x, fresh[x], costs[x]) for x in open_groups]
-        new = spark.createDataFrame(list(fresh.items()), "grp long, fresh long")
+        new = with_global_index(problems.select("problem_id"), ["problem_id"], "at")
+        new = materialize(new.select(F.col("problem_id").alias("grp"), (F.col("at") + n_groups).alias("fresh")))
+        n_groups += n_open
+        # branches on the sink's side hang on the new group from now on
+        moved = sides.where("b > 0 AND side = 0").select("problem_id", (F.col("b") - 1).alias("root")).distinct()
+        moved = materialize(moved.join(hung, ["problem_id", "root"]).select("problem_id", F.col("grp").alias("other")).join(new.toDF("problem_id", "fresh"), "problem_id"))
+        for end, far in (("a", "b"), ("b", "a")):
+            turned = moved.select(F.col("problem_id").alias(end), F.col("other").alias(f"_{far}"), "fresh")
+            # the far end may have changed its name in this level; branches go by the names before
+            tree = tree.withColumn(f"_{end}", F.col(end)) if f"_{end}" not in tree.columns else tree
+            tree = tree.withColumn(f"_{far}", F.col(far)) if f"_{far}" not in tree.columns else tree
+            known = turned.select(F.col(end).alias(f"_{end}"), f"_{far}", "fresh")
+            tree = tree.join(known, ["_a", "_b"], "left").withColumn(end, F.coalesce("fresh", end)).drop("fresh")
+        added = value.join(new.toDF("problem_id", "fresh"), "problem_id").select(F.col("problem_id").alias("a"), F.col("fresh").alias("b"), F.col("value").cast(amount).alias("cost"))
+        tree = materialize(tree.select("a", "b", "cost").union(added))
         far = sides.where("b = 0 AND side = 0").select(F.col("problem_id").alias("grp"), F.col("v").alias("id"), F.lit(True).alias("far"))
         groups = materialize(groups.join(far, ["grp", "id"], "left").join(new, "grp", "left").select("id", F.when(F.col("far"), F.col("fresh")).otherwise(F.col("grp")).alias("grp")))
-    if not tree:
-        return g.edges.select("src", "dst", F.col(cost).alias("cost") if isinstance(cost, str) else cost.alias("cost")).limit(0)
     names = groups.select(F.col("grp").alias("g"), "id")
-    table = spark.createDataFrame(tree, f"a long, b long, cost {dict(arcs.dtypes)['capacity']}")
     x, y = names.toDF("a", "ia"), names.toDF("b", "ib")
-    return table.join(x, "a").join(y, "b").select(F.least("ia", "ib").alias("src"), F.greatest("ia", "ib").alias("dst"), "cost")
+    return tree.join(x, "a").join(y, "b").select(F.least("ia", "ib").alias("src"), F.greatest("ia", "ib").alias("dst"), "cost")
 
 
 def tree_cuts(tree: DataFrame) -> DataFrame:
@@ -226,8 +250,47 @@ def tree_cuts(tree: DataFrame) -> DataFrame:
 
 
 def tree_min_cut(tree: DataFrame, pairs: DataFrame) -> DataFrame:
-    """``a, b, cost, child``: the cheapest edge between each pair, of equal ones that of the smallest child."""
-    cuts = materialize(tree_cuts(tree))
-    s, t = cuts.select("child", "cost", F.col("id").alias("a"), F.col("side").alias("sa")), cuts.select("child", F.col("id").alias("b"), F.col("side").alias("sb"))
-    apart = pairs.select("a", "b").join(s, "a").join(t, ["child", "b"]).where("sa <> sb")
-    return apart.groupBy("a", "b").agg(F.min(F.struct("cost", "child")).alias("m")).select("a", "b", "m.cost", "m.child")
+    """``a, b, cost, child``: the cheapest edge between each pair, of equal ones that of the smallest child; an edge is named by its lower end.
+
+    Tables of jumps of 1, 2, 4 ... steps up, each with the cheapest edge on its way, take the deeper end of a pair to
+    the other's level and both to where they meet, so a pair stays one row through some log depth joins.
+    """
+    ends = tree.select(F.col("src").alias("id")).union(tree.select("dst")).distinct()
+    rooted = as_tree(Graph(ends, tree))
+    if rooted is None:
+        raise ValueError("not a tree")
+    rooted = materialize(rooted)
+    up = rooted.where("parent IS NOT NULL")
+    priced = up.withColumn("src", F.least("id", "parent")).withColumn("dst", F.greatest("id", "parent")).join(tree, ["src", "dst"])
+    jumps = [materialize(priced.select("id", F.col("parent").alias("to"), F.struct("cost", F.col("id").alias("child")).alias("m")))]
+    while True:
+        far = jumps[-1].select(F.col("id").alias("to"), F.col("to").alias("to2"), F.col("m").alias("m2"))
+        longer = materialize(jumps[-1].join(far, "to").select("id", F.col("to2").alias("to"), F.least("m", "m2").alias("m")))
+        if longer.isEmpty():
+            break
+        jumps.append(longer)
+    depth = rooted.select("id", "depth")
+    placed = pairs.select("a", "b").where("a <> b").join(depth.toDF("a", "da"), "a").join(depth.toDF("b", "db"), "b")
+    low = F.col("da") >= F.col("db")
+    kind = jumps[0].schema["m"].dataType
+    state = placed.select("a", "b", F.when(low, F.col("a")).otherwise(F.col("b")).alias("x"), F.when(low, F.col("b")).otherwise(F.col("a")).alias("y"), F.abs(F.col("da") - F.col("db")).alias("gap"), F.lit(None).cast(kind).alias("best"))
+    state = materialize(state)
+
+    def jumped(state, k, both):
+        ends = [(c, jumps[k].toDF(c, f"to_{c}", f"m_{c}")) for c in (("x", "y") if both else ("x",))]
+        for c, jump in ends:
+            state = state.join(jump, c, "left")
+        go = (F.col("to_x") != F.col("to_y")) if both else (F.col("gap") >= (1 << k))
+        go = F.coalesce(go, F.lit(False))
+        moved = {c: F.when(go, F.col(f"to_{c}")).otherwise(F.col(c)) for c, _ in ends}
+        best = F.when(go, F.least("best", *[f"m_{c}" for c, _ in ends])).otherwise(F.col("best"))
+        gap = F.col("gap") if both else F.when(go, F.col("gap") - (1 << k)).otherwise(F.col("gap"))
+        return materialize(state.select("a", "b", *[moved.get(c, F.col(c)).alias(c) for c in ("x", "y")], gap.alias("gap"), best.alias("best")))
+
+    for k in range(len(jumps) - 1, -1, -1):
+        state = jumped(state, k, False)
+    for k in range(len(jumps) - 1, -1, -1):
+        state = jumped(state, k, True)
+    last = state.join(jumps[0].toDF("x", "to_x", "m_x"), "x", "left").join(jumps[0].toDF("y", "to_y", "m_y"), "y", "left")
+    m = F.when(F.col("x") == F.col("y"), F.col("best")).otherwise(F.least("best", "m_x", "m_y"))
+    return last.select("a", "b", m.alias("m")).select("a", "b", "m.cost", "m.child")

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from arcwise.functions.ranking import with_global_index
 from arcwise.operators.graph import Graph
 from arcwise.operators.multigraph import MultiGraph
+from arcwise.storage import materialize
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -14,9 +16,10 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 
 def copurchase(spark: SparkSession, sf: str) -> Graph:
-    """Parts bought together in large amounts; the cost is the difference of their prices in cents, and one."""
-    rows = table(spark, sf, "lineitem").where("l_quantity >= 45").select("l_orderkey", "l_partkey")
-    pairs = rows.toDF("o", "src").join(rows.toDF("o", "dst"), "o").where("src < dst").select("src", "dst").distinct()
+    """Parts of lines that follow each other in an order; the cost is the difference of their prices in cents, and one."""
+    rows = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("o"), F.col("l_linenumber").alias("k"), F.col("l_partkey").alias("p"))
+    pairs = rows.withColumnRenamed("p", "a").join(rows.select("o", (F.col("k") - 1).alias("k"), F.col("p").alias("b")), ["o", "k"]).where("a <> b")
+    pairs = pairs.select(F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst")).distinct()
     price = table(spark, sf, "part").select("p_partkey", "p_retailprice")
     priced = pairs.join(price.toDF("src", "a"), "src").join(price.toDF("dst", "b"), "dst")
     cost = F.floor(F.abs(F.col("a") - F.col("b")) * 100 + 0.5).cast("long") + 1
@@ -24,22 +27,58 @@ def copurchase(spark: SparkSession, sf: str) -> Graph:
 
 
 CP = """cp AS (SELECT x.src, x.dst, CAST(floor(abs(a.p_retailprice - b.p_retailprice) * 100 + 0.5) AS BIGINT) + 1 AS cost FROM
- (SELECT DISTINCT l.l_partkey AS src, r.l_partkey AS dst FROM lineitem l JOIN lineitem r ON l.l_orderkey = r.l_orderkey AND l.l_partkey < r.l_partkey
-  WHERE l.l_quantity >= 45 AND r.l_quantity >= 45) x JOIN part a ON a.p_partkey = x.src JOIN part b ON b.p_partkey = x.dst),
+ (SELECT DISTINCT least(l.l_partkey, r.l_partkey) AS src, greatest(l.l_partkey, r.l_partkey) AS dst FROM lineitem l JOIN lineitem r
+  ON l.l_orderkey = r.l_orderkey AND l.l_linenumber + 1 = r.l_linenumber AND l.l_partkey <> r.l_partkey) x
+ JOIN part a ON a.p_partkey = x.src JOIN part b ON b.p_partkey = x.dst),
 cpv AS (SELECT src AS id FROM cp UNION SELECT dst FROM cp),
 cpa AS (SELECT src, dst, cost FROM cp UNION ALL SELECT dst, src, cost FROM cp)"""
 
 
 def part_supplier(spark: SparkSession, sf: str) -> Graph:
-    """Two-sided: parts and the suppliers that sold fifty of them; the weight is the revenue in cents."""
-    rows = table(spark, sf, "lineitem").where("l_quantity >= 50")
+    """Two-sided: parts and the suppliers that sold them, with skewed hubs; the weight is the revenue in cents."""
     cents = F.sum(F.floor(F.col("l_extendedprice") * 100 + 0.5).cast("long"))
-    pairs = rows.groupBy(F.concat(F.lit("p"), "l_partkey").alias("src"), F.concat(F.lit("s"), "l_suppkey").alias("dst")).agg(cents.alias("weight"))
-    return Graph.from_edges(pairs)
+    by = (F.concat(F.lit("p"), "l_partkey").alias("src"), F.concat(F.lit("s"), "l_suppkey").alias("dst"))
+    return Graph.from_edges(table(spark, sf, "lineitem").groupBy(*by).agg(cents.alias("weight")))
 
 
 PS = """ps AS (SELECT 'p' || l_partkey AS src, 's' || l_suppkey AS dst, CAST(sum(CAST(floor(l_extendedprice * 100 + 0.5) AS BIGINT)) AS BIGINT) AS weight
- FROM lineitem WHERE l_quantity >= 50 GROUP BY 1, 2)"""
+ FROM lineitem GROUP BY 1, 2)"""
+
+
+def numbered_lines(spark: SparkSession, sf: str) -> DataFrame:
+    """``o, at, first, n``: each line's order, its place among all lines by order and number, the order's first place, and its lines."""
+    rows = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("o"), "l_linenumber", "l_partkey", "l_suppkey")
+    placed = materialize(with_global_index(rows, ["o", "l_linenumber", "l_partkey", "l_suppkey"], "at").select("o", F.col("at").cast("long").alias("at")))
+    return placed.join(placed.groupBy("o").agg(F.min("at").alias("first"), F.count(F.lit(1)).alias("n")), "o")
+
+
+def order_rings(spark: SparkSession, sf: str) -> Graph:
+    """The lines of each order in a ring by number, one component an order; a vertex is a line's place."""
+    rows = materialize(numbered_lines(spark, sf))
+    pairs = rows.select(F.col("at").alias("src"), (F.col("first") + (F.col("at") - F.col("first") + 1) % F.col("n")).alias("dst")).where("src <> dst")
+    return Graph.from_edges(pairs, vertices=rows.select("at"))
+
+
+OR = """orl AS (SELECT l_orderkey AS o, row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey) - 1 AS place FROM lineitem),
+orn AS (SELECT o, min(place) AS lo, count(*) AS n FROM orl GROUP BY o), orv AS (SELECT place AS id FROM orl),
+orr AS (SELECT DISTINCT o, n, least(a, b) AS src, greatest(a, b) AS dst FROM (SELECT o, n, place AS a, lo + (place - lo + 1) % n AS b FROM orl JOIN orn USING (o)) WHERE a <> b)"""
+
+
+def order_wheels(spark: SparkSession, sf: str) -> DataFrame:
+    """``o, vertex, pos, neighbor``: the ring of each order's lines around a hub, less than 0, whose rotation is known."""
+    rows = materialize(numbered_lines(spark, sf))
+    hub, k = -1 - F.col("o"), F.col("at") - F.col("first")
+    after, back = F.col("first") + (k + 1) % F.col("n"), F.col("first") + (k + F.col("n") - 1) % F.col("n")
+    around = F.array_distinct(F.filter(F.array(after, hub, back), lambda x: x != F.col("at")))
+    rim = rows.select("o", F.col("at").alias("vertex"), F.posexplode(around).alias("pos", "neighbor"))
+    return rim.union(rows.select("o", hub, k.cast("int"), "at"))
+
+
+OW = OR + """, own AS (SELECT o, place, lo, n FROM orl JOIN orn USING (o)),
+w AS (SELECT place AS vertex, 0 AS pos, lo + (place - lo + 1) % n AS neighbor FROM own WHERE n > 1
+ UNION ALL SELECT place, CASE WHEN n > 1 THEN 1 ELSE 0 END, -1 - o FROM own
+ UNION ALL SELECT place, 2, lo + (place - lo + n - 1) % n FROM own WHERE n > 2
+ UNION ALL SELECT -1 - o, CAST(place - lo AS INT), place FROM own)"""
 
 
 def copurchase_all(spark: SparkSession, sf: str) -> Graph:
@@ -52,17 +91,6 @@ CA = """ca AS (SELECT DISTINCT l.l_partkey AS src, r.l_partkey AS dst FROM linei
 caa AS (SELECT src, dst FROM ca UNION ALL SELECT dst, src FROM ca)"""
 
 
-def part_supplier_all(spark: SparkSession, sf: str) -> Graph:
-    """Two-sided: parts and all suppliers that sold them, with skewed hubs; the weight is the revenue in cents."""
-    cents = F.sum(F.floor(F.col("l_extendedprice") * 100 + 0.5).cast("long"))
-    by = (F.concat(F.lit("p"), "l_partkey").alias("src"), F.concat(F.lit("s"), "l_suppkey").alias("dst"))
-    return Graph.from_edges(table(spark, sf, "lineitem").groupBy(*by).agg(cents.alias("weight")))
-
-
-PA = """pa AS (SELECT 'p' || l_partkey AS src, 's' || l_suppkey AS dst, CAST(sum(CAST(floor(l_extendedprice * 100 + 0.5) AS BIGINT)) AS BIGINT) AS weight
- FROM lineitem GROUP BY 1, 2)"""
-
-
 def nation_trade(spark: SparkSession, sf: str) -> MultiGraph:
     """Customer nation and supplier nation of every line between two nations."""
     t = lambda n: table(spark, sf, n)
@@ -89,15 +117,14 @@ RT = NT + """, rt AS (SELECT least(a.n_regionkey, b.n_regionkey) AS src, greates
  FROM nt JOIN nation a ON a.n_nationkey = nt.src JOIN nation b ON b.n_nationkey = nt.dst WHERE a.n_regionkey <> b.n_regionkey GROUP BY 1, 2)"""
 
 
-def similar_vectors(spark: SparkSession, sf: str, least: float = 0.4) -> Graph:
-    """Vectors with a cosine of ``least`` or more, pair by pair."""
-    e = table(spark, sf, "embeddings").select("vec_id", "embedding")
-    flat = e.select("vec_id", F.posexplode("embedding").alias("i", "x")).withColumn("x", F.col("x").cast("double"))
-    size = flat.groupBy("vec_id").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("n"))
-    v = e.select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("v")).join(size, "vec_id")
-    dot = F.aggregate(F.zip_with("va", "vb", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    pairs = v.toDF("src", "va", "na").join(v.toDF("dst", "vb", "nb"), F.col("src") < F.col("dst"))
-    return Graph.from_edges(pairs.where(dot >= least * F.col("na") * F.col("nb")).select("src", "dst"))
+def labelled_chains(spark: SparkSession, sf: str) -> Graph:
+    """Each vector and the next one of its label among 64 keys, so that no window grows with the table."""
+    by = Window.partitionBy("label", F.floor(F.col("vec_id") / 64)).orderBy("vec_id")
+    e = table(spark, sf, "embeddings").select(F.col("vec_id").alias("src"), F.lead("vec_id").over(by).alias("dst"))
+    return Graph.from_edges(e.where("dst IS NOT NULL"))
+
+
+LC = "sim AS (SELECT src, dst FROM (SELECT vec_id AS src, lead(vec_id) OVER (PARTITION BY label, CAST(floor(vec_id / 64.0) AS BIGINT) ORDER BY vec_id) AS dst FROM embeddings) WHERE dst IS NOT NULL)"
 
 
 def vector_points(spark: SparkSession, sf: str) -> DataFrame:
@@ -109,15 +136,13 @@ PTS = "pts AS (SELECT vec_id AS id, CAST(embedding[1] AS DOUBLE) AS x, CAST(embe
 
 
 def user_sequence(spark: SparkSession, sf: str) -> MultiGraph:
-    """Users of consecutive error events of the same day, in the order of time and event."""
-    from pyspark.sql import Window
-
-    e = table(spark, sf, "events").where("event_type = 'error'")
-    by = Window.partitionBy(F.date_trunc("day", "ts")).orderBy("ts", "event_id")
+    """Users of consecutive events of the same day and kind, in the order of time and event."""
+    e = table(spark, sf, "events")
+    by = Window.partitionBy(F.date_trunc("day", "ts"), "event_type").orderBy("ts", "event_id")
     pairs = e.select(F.col("user_id").alias("src"), F.lead("user_id").over(by).alias("dst")).where("dst IS NOT NULL AND src <> dst")
     return MultiGraph.from_edges(pairs)
 
 
 US = """us AS (SELECT least(src, dst) AS src, greatest(src, dst) AS dst, count(*) AS "count" FROM
- (SELECT user_id AS src, lead(user_id) OVER (PARTITION BY date_trunc('day', ts) ORDER BY ts, event_id) AS dst FROM events WHERE event_type = 'error') q
+ (SELECT user_id AS src, lead(user_id) OVER (PARTITION BY date_trunc('day', ts), event_type ORDER BY ts, event_id) AS dst FROM events) q
  WHERE dst IS NOT NULL AND src <> dst GROUP BY 1, 2)"""

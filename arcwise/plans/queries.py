@@ -14,7 +14,7 @@ from arcwise.functions.geometry import euclidean, orientation, segments_cross, t
 from arcwise.operators import chordal, coloring, connectivity, flow, isomorphism, layout, matching, paths, rotation, tours
 from arcwise.operators.graph import Graph
 from arcwise.operators.multigraph import MultiGraph
-from arcwise.plans.graphs import CA, CP, NT, PA, PS, PTS, RT, US, copurchase, copurchase_all, nation_trade, part_supplier, part_supplier_all, region_trade, similar_vectors, table, user_sequence, vector_points
+from arcwise.plans.graphs import CA, CP, LC, NT, OR, OW, PS, PTS, RT, US, copurchase, copurchase_all, labelled_chains, nation_trade, numbered_lines, order_rings, order_wheels, part_supplier, region_trade, table, user_sequence, vector_points
 from arcwise.sources import generators, text
 from arcwise.storage import materialize, new_path
 
@@ -68,20 +68,24 @@ def comembership_edges(spark, sf):
 
 @query(f"WITH {PTS} SELECT CAST(id AS VARCHAR) AS id, x, y FROM pts")
 def tsplib_points(spark, sf):
+    """All points by way of files: each task writes one of some thousand points with its header."""
     line = F.concat_ws(" ", "id", "x", "y")
-    points = vector_points(spark, sf).orderBy("id").select(line.alias("value"))
-    head = spark.createDataFrame([("NAME : vectors",), ("NODE_COORD_SECTION",)], "value string")
-    # one file, as the format asks for
+    points = vector_points(spark, sf).select(F.floor(F.col("id") / 4096).alias("file"), F.struct(F.lit(2).alias("part"), "id").alias("at"), line.alias("value"))
+    head = points.select("file").distinct().select("file", F.explode(F.array(*[F.struct(F.struct(F.lit(k).alias("part"), F.lit(0).cast("long").alias("id")).alias("at"), F.lit(x).alias("value")) for k, x in enumerate(("NAME : vectors", "NODE_COORD_SECTION"))])).alias("h"))
+    rows = points.union(head.select("file", "h.at", "h.value"))
     path = new_path(spark, "tsp")
-    head.coalesce(1).union(points.coalesce(1)).coalesce(1).write.text(path)
+    rows.repartition("file").sortWithinPartitions("file", "at").select("file", "value").write.partitionBy("file").text(path)
     return text.read_tsplib_points(spark, path).select("id", "x", "y")
 
 
-@query(r"""WITH l AS (SELECT unnest(regexp_extract_all(html, 'href="https?://([^/"]+)/([a-z]{2})/', 1)) AS a, unnest(regexp_extract_all(html, 'href="https?://([^/"]+)/([a-z]{2})/', 2)) AS b FROM pages)
+_LINK = r'href="(/[^"]+)">([^<]+)</a>'
+
+
+@query(rf"""WITH l AS (SELECT unnest(regexp_extract_all(html, '{_LINK}', 1)) AS a, unnest(regexp_extract_all(html, '{_LINK}', 2)) AS b FROM pages)
 SELECT DISTINCT least(a, b) AS src, greatest(a, b) AS dst FROM l""")
 def markup_edges(spark, sf):
-    pages = table(spark, sf, "pages")
-    return text.edges_from_markup(pages, "html", r'href="https?://([^/"]+)/([a-z]{2})/', r'href="https?://([^/"]+)/').edges
+    """The target and the words of every link."""
+    return text.edges_from_markup(table(spark, sf, "pages"), "html", _LINK, r'href="(/[^"]+)"').edges
 
 
 @query(rules("loops", "outside") .replace("SELECT", "SELECT CAST(1 AS BIGINT) AS plausible,"))
@@ -153,19 +157,20 @@ def vertex_membership(spark, sf):
     return copurchase(spark, sf).contains_vertices(table(spark, sf, "part").select("p_partkey"))
 
 
-def _small_orders(spark, sf) -> Graph:
-    rows = table(spark, sf, "lineitem").where("l_quantity <= 3").select("l_orderkey", "l_partkey")
-    pairs = rows.toDF("o", "src").join(rows.toDF("o", "dst"), "o").where("src < dst")
-    return Graph.from_edges(pairs.select("src", "dst").distinct())
+def _order_ends(spark, sf) -> Graph:
+    """The parts of each order's first and last line."""
+    row = F.struct("l_linenumber", "l_partkey")
+    ends = table(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.min(row)["l_partkey"].alias("src"), F.max(row)["l_partkey"].alias("dst"))
+    return Graph.from_edges(ends.where("src <> dst").select("src", "dst"))
 
 
-SO = "so AS (SELECT DISTINCT a.l_partkey AS src, b.l_partkey AS dst FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_partkey < b.l_partkey WHERE a.l_quantity <= 3 AND b.l_quantity <= 3)"
+SO = "so AS (SELECT DISTINCT least(a, b) AS src, greatest(a, b) AS dst FROM (SELECT min(l_linenumber * 1000000000000 + l_partkey) % 1000000000000 AS a, max(l_linenumber * 1000000000000 + l_partkey) % 1000000000000 AS b FROM lineitem GROUP BY l_orderkey) WHERE a <> b)"
 
 
 @query(f"WITH {CP}, {SO} SELECT src, dst FROM cp UNION SELECT src, dst FROM so")
 def graph_union(spark, sf):
     a = copurchase(spark, sf)
-    return Graph(a.vertices, a.edges.select("src", "dst")).union(_small_orders(spark, sf)).edges
+    return Graph(a.vertices, a.edges.select("src", "dst")).union(_order_ends(spark, sf)).edges
 
 
 @query(f"WITH {CP}, {LP} SELECT src, dst, cost FROM cp WHERE src NOT IN (SELECT id FROM lp) AND dst NOT IN (SELECT id FROM lp)")
@@ -175,7 +180,7 @@ def without_large_parts(spark, sf):
 
 @query(f"WITH {CP}, {SO} SELECT src, dst FROM cp EXCEPT SELECT src, dst FROM so")
 def without_edges(spark, sf):
-    return copurchase(spark, sf).remove_edges(_small_orders(spark, sf).edges).edges.select("src", "dst")
+    return copurchase(spark, sf).remove_edges(_order_ends(spark, sf).edges).edges.select("src", "dst")
 
 
 @query(f"WITH {CP}, {LP} SELECT src, dst, cost FROM cp WHERE src IN (SELECT id FROM lp) AND dst IN (SELECT id FROM lp)")
@@ -289,7 +294,7 @@ def whole_components(spark, sf):
 
 @query()
 def whole_component_sizes(spark, sf):
-    return connectivity.connected_components(part_supplier_all(spark, sf).written()).groupBy("component").agg(F.count(F.lit(1)).alias("size"))
+    return connectivity.connected_components(part_supplier(spark, sf).written()).groupBy("component").agg(F.count(F.lit(1)).alias("size"))
 
 
 @query(f"WITH {CA} SELECT src AS id, count(*) AS degree FROM caa GROUP BY src")
@@ -297,9 +302,9 @@ def whole_degrees(spark, sf):
     return copurchase_all(spark, sf).degrees()
 
 
-@query(f"WITH {PA} SELECT src, dst, weight FROM pa")
+@query(f"WITH {PS} SELECT src, dst, weight FROM ps")
 def whole_part_suppliers(spark, sf):
-    return part_supplier_all(spark, sf).edges
+    return part_supplier(spark, sf).edges
 
 
 @query(f"WITH RECURSIVE {CP}, {REACH} SELECT count(DISTINCT component) AS components FROM lab")
@@ -325,7 +330,7 @@ def reachable(spark, sf):
 reach(id, c) AS (SELECT id, id FROM v UNION SELECT a.dst, r.c FROM reach r JOIN a ON a.src = r.id WHERE r.c < a.dst)
 SELECT id, min(c) AS set_id FROM reach GROUP BY id""")
 def merged_sets(spark, sf):
-    return connectivity.disjoint_sets(table(spark, sf, "part").select("p_partkey"), _small_orders(spark, sf).edges)
+    return connectivity.disjoint_sets(table(spark, sf, "part").select("p_partkey"), _order_ends(spark, sf).edges)
 
 
 def _cheap(g: Graph) -> DataFrame:
@@ -340,13 +345,17 @@ def contracted(spark, sf):
     return connectivity.contract(g, _cheap(g))[2]
 
 
-@query(rules("missed", "wrong"))
+@query(f"WITH {OR} SELECT src, dst FROM orr WHERE n = 2")
 def bridge_edges(spark, sf):
-    """Bridges against a second way: an edge is one if it is alone in its block."""
-    g = copurchase(spark, sf).written()
-    found = materialize(connectivity.bridges(g))
-    alone = connectivity.biconnected_components(g).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("block"))).where("n = 1").select("src", "dst")
-    return one_row(spark, missed=alone.exceptAll(found).count(), wrong=found.exceptAll(alone).count())
+    """Bridges of the rings of lines: the edges of orders of two lines."""
+    return connectivity.bridges(order_rings(spark, sf))
+
+
+@query(f"WITH {OR}, b AS (SELECT o, count(*) AS edges FROM orr GROUP BY 1) SELECT edges, count(*) AS blocks FROM b GROUP BY edges")
+def ring_blocks(spark, sf):
+    """Blocks of the rings of lines by size: each order of two lines or more is one."""
+    block = connectivity.biconnected_components(order_rings(spark, sf)).groupBy("block").agg(F.count(F.lit(1)).alias("edges"))
+    return block.groupBy("edges").agg(F.count(F.lit(1)).alias("blocks"))
 
 
 @query(rules("missed", "wrong"))
@@ -393,10 +402,27 @@ def tested_separators(spark, sf):
     return connectivity.test_separators(g, g.vertices.select(F.col("id").alias("set_id"), "id"))
 
 
-@query(f"""WITH RECURSIVE {RT} SELECT list_sort(l) AS members FROM (SELECT [src] AS l FROM rt WHERE FALSE)""")
+@query(f"""WITH RECURSIVE {SPT}, sets AS (SELECT n_nationkey AS a, n_nationkey AS b FROM nation UNION ALL SELECT x.n_nationkey, y.n_nationkey FROM nation x JOIN nation y ON x.n_nationkey < y.n_nationkey),
+reach(a, b, id, c) AS (SELECT a, b, n_nationkey, n_nationkey FROM sets JOIN nation ON n_nationkey <> a AND n_nationkey <> b
+ UNION SELECT r.a, r.b, e.dst, r.c FROM reach r JOIN sta e ON e.src = r.id WHERE e.dst <> r.a AND e.dst <> r.b AND r.c < e.dst),
+lab AS (SELECT a, b, id, min(c) AS c FROM reach GROUP BY 1, 2, 3)
+SELECT CASE WHEN a = b THEN CAST(a AS VARCHAR) ELSE a || ',' || b END AS members FROM lab GROUP BY a, b HAVING count(DISTINCT c) > 1""")
+def nation_separators(spark, sf):
+    """Sets of one or two nations that part the sparse trade graph, or leave it in parts."""
+    found = connectivity.separators(_sparse_trade(spark, sf).written(), 2)
+    return found.select(F.concat_ws(",", F.col("members").cast("array<string>")).alias("members"))
+
+
+@query(f"""WITH RECURSIVE {RT}, rta AS (SELECT src, dst FROM rt UNION ALL SELECT dst, src FROM rt), v AS (SELECT DISTINCT src AS id FROM rta),
+sets AS (SELECT id AS a, id AS b FROM v UNION ALL SELECT x.id, y.id FROM v x JOIN v y ON x.id < y.id),
+reach(a, b, id, c) AS (SELECT a, b, id, id FROM sets JOIN v ON id <> a AND id <> b
+ UNION SELECT r.a, r.b, e.dst, r.c FROM reach r JOIN rta e ON e.src = r.id WHERE e.dst <> r.a AND e.dst <> r.b AND r.c < e.dst),
+lab AS (SELECT a, b, id, min(c) AS c FROM reach GROUP BY 1, 2, 3)
+SELECT CASE WHEN a = b THEN CAST(a AS VARCHAR) ELSE a || ',' || b END AS members FROM lab GROUP BY a, b HAVING count(DISTINCT c) > 1""")
 def region_separators(spark, sf):
-    """Sets of up to two regions that part the trade: none while all regions trade with each other."""
-    return connectivity.separators(region_trade(spark, sf).written(), 2)
+    """Sets of one or two regions that part the trade: none while all regions trade with each other."""
+    found = connectivity.separators(region_trade(spark, sf).written(), 2)
+    return found.select(F.concat_ws(",", F.col("members").cast("array<string>")).alias("members"))
 
 
 def _spanning_tree(spark, sf) -> Graph:
@@ -418,11 +444,12 @@ def rooted_tree(spark, sf):
     )
 
 
-@query("SELECT CAST(2 * count(*) + 3 AS BIGINT) AS lines, count(*) - 1 AS arrows FROM nation")
+@query("SELECT CAST(2 * count(*) + 3 AS BIGINT) AS lines, count(*) - 1 AS arrows, count(*) AS nodes, CAST(0 AS BIGINT) AS strange FROM nation")
 def dot_lines(spark, sf):
     rooted = connectivity.as_tree(_spanning_tree(spark, sf)).join(table(spark, sf, "nation").select(F.col("n_nationkey").alias("id"), "n_name"), "id")
-    dot = connectivity.tree_to_dot(rooted, F.col("n_name"))
-    return dot.agg(F.count(F.lit(1)).alias("lines"), F.count_if(F.col("line").contains("->")).alias("arrows"))
+    dot = connectivity.tree_to_dot(rooted, F.col("n_name"), settings=("rankdir=LR", "node [shape=box]"))
+    known = F.col("line").rlike(r'^(digraph tree \{|  rankdir=LR;|  node \[shape=box\];|  "\d+" \[label="[^"]+"\];|  "\d+" -> "\d+";|\})$')
+    return dot.agg(F.count(F.lit(1)).alias("lines"), F.count_if(F.col("line").contains("->")).alias("arrows"), F.count_if(F.col("line").contains("[label=")).alias("nodes"), F.count_if(~known).alias("strange"))
 
 
 # -- paths
@@ -570,7 +597,7 @@ def greedy_matching(spark, sf):
 
 @query(rules("missing", "shared", "addable"))
 def maximal_matching(spark, sf):
-    g = copurchase(spark, sf).written()
+    g = order_rings(spark, sf).written()
     m = materialize(matching.maximal_matching(g))
     row = matching.check_matching(g, m).first()
     return one_row(spark, missing=row["missing"], shared=row["shared"], addable=g.remove_vertices(m.select("src").union(m.select("dst"))).edge_count())
@@ -617,7 +644,7 @@ def cheapest_assignment(spark, sf):
 @query(rules("conflicts", "missing", "not_least"))
 def greedy_coloring(spark, sf):
     """A proper coloring in which every vertex has neighbours of all smaller colors."""
-    g = copurchase(spark, sf).written()
+    g = order_rings(spark, sf).written()
     c = materialize(coloring.greedy_coloring(g))
     row = coloring.check_coloring(g, c).first()
     near = g.arcs.join(c.toDF("src", "a"), "src").join(c.toDF("dst", "b"), "dst").where("b < a").groupBy("src", "a").agg(F.countDistinct("b").alias("n"))
@@ -631,8 +658,8 @@ def coloring_check(spark, sf):
     return coloring.check_coloring(g, g.vertices.select("id", (F.col("id") % 3).alias("color")))
 
 
-def _filled_trade(spark, sf) -> tuple[Graph, DataFrame]:
-    g = _sparse_trade(spark, sf).written()
+def _filled_rings(spark, sf) -> tuple[Graph, DataFrame]:
+    g = order_rings(spark, sf).written()
     order = materialize(chordal.low_degree_order(g))
     return chordal.chordal_completion(g, order).written(), order
 
@@ -640,7 +667,7 @@ def _filled_trade(spark, sf) -> tuple[Graph, DataFrame]:
 @query(rules("conflicts", "missing", "above_width"))
 def chordal_coloring(spark, sf):
     """As many colors as the largest bag has vertices."""
-    g, order = _filled_trade(spark, sf)
+    g, order = _filled_rings(spark, sf)
     c = materialize(coloring.chordal_coloring(g, order))
     row = coloring.check_coloring(g, c).first()
     bags, _ = chordal.chordal_tree_decomposition(g, order)
@@ -729,34 +756,33 @@ def tour_check(spark, sf):
 @query("SELECT CAST(1 AS BIGINT) AS filled, CAST(0 AS BIGINT) AS lost")
 def completed_order(spark, sf):
     """The order by degree eliminates the completed graph, which keeps all edges."""
-    g = copurchase(spark, sf).written()
+    g = order_rings(spark, sf).written()
     order = materialize(chordal.low_degree_order(g))
     done = chordal.chordal_completion(g, order)
     return one_row(spark, filled=chordal.is_elimination_order(done, order), lost=g.edges.select("src", "dst").exceptAll(done.edges).count())
 
 
-@query(f"""WITH {SPT}, d AS (SELECT n_nationkey AS id, count(src) AS d FROM nation LEFT JOIN sta ON src = n_nationkey GROUP BY 1), o AS (SELECT id, row_number() OVER (ORDER BY d, id) AS pos FROM d),
-l AS (SELECT a.src AS v, a.dst AS u, y.pos FROM sta a JOIN o x ON x.id = a.src JOIN o y ON y.id = a.dst WHERE x.pos < y.pos), f AS (SELECT v, min_by(u, pos) AS n FROM l GROUP BY v)
-SELECT count(*) = 0 AS eliminates FROM l JOIN f USING (v) LEFT JOIN st ON st.src = least(u, n) AND st.dst = greatest(u, n) WHERE u <> n AND st.src IS NULL""")
+@query(f"""WITH {OR}, a AS (SELECT src, dst FROM orr UNION ALL SELECT dst, src FROM orr), d AS (SELECT id, count(src) AS d FROM orv LEFT JOIN a ON src = id GROUP BY 1), p AS (SELECT id, row_number() OVER (ORDER BY d, id) AS pos FROM d),
+l AS (SELECT a.src AS v, a.dst AS u, y.pos FROM a JOIN p x ON x.id = a.src JOIN p y ON y.id = a.dst WHERE x.pos < y.pos), f AS (SELECT v, min_by(u, pos) AS n FROM l GROUP BY v)
+SELECT count(*) = 0 AS eliminates FROM l JOIN f USING (v) LEFT JOIN orr ON orr.src = least(u, n) AND orr.dst = greatest(u, n) WHERE u <> n AND orr.src IS NULL""")
 def order_check(spark, sf):
-    g = _sparse_trade(spark, sf).written()
+    """Rings of four lines or more are not eliminated by any order."""
+    g = order_rings(spark, sf).written()
     good = chordal.is_elimination_order(g, chordal.low_degree_order(g))
     return spark.createDataFrame([(good,)], "eliminates boolean")
 
 
-@query("SELECT count(*) AS placed, CAST(1 AS BIGINT) AS perfect, CAST(0 AS BIGINT) AS ring_chordal FROM nation")
+@query("SELECT count(*) AS placed, CAST(1 AS BIGINT) AS perfect, CAST(0 AS BIGINT) AS ring_chordal FROM lineitem")
 def perfect_order(spark, sf):
-    """A completed graph has a perfect elimination order; the nations in a ring have none."""
-    g, _ = _filled_trade(spark, sf)
+    """The completed rings have a perfect elimination order; as they are, rings have none."""
+    g, _ = _filled_rings(spark, sf)
     order = materialize(chordal.perfect_elimination_order(g))
-    n = table(spark, sf, "nation").count()
-    keys = table(spark, sf, "nation").select(F.col("n_nationkey").alias("src"), F.pmod(F.col("n_nationkey") + 1, F.lit(n)).alias("dst"))
-    return one_row(spark, placed=order.count(), perfect=chordal.is_elimination_order(g, order), ring_chordal=chordal.is_chordal(Graph.from_edges(keys).written()))
+    return one_row(spark, placed=order.count(), perfect=chordal.is_elimination_order(g, order), ring_chordal=chordal.is_chordal(order_rings(spark, sf).written()))
 
 
 @query("SELECT CAST(0 AS BIGINT) AS vertices, CAST(0 AS BIGINT) AS edges, CAST(0 AS BIGINT) AS parted, TRUE AS is_tree")
 def tree_decomposition(spark, sf):
-    g, order = _filled_trade(spark, sf)
+    g, order = _filled_rings(spark, sf)
     bags, tree = chordal.chordal_tree_decomposition(g, order)
     return chordal.check_decomposition(g, materialize(bags), materialize(tree))
 
@@ -764,7 +790,7 @@ def tree_decomposition(spark, sf):
 @query(rules("bad_leaf", "bad_step", "bad_join", "roots_apart"))
 def nice_tree(spark, sf):
     """Leaves have no child, steps one, joins two, and one node is the root."""
-    g, order = _filled_trade(spark, sf)
+    g, order = _filled_rings(spark, sf)
     bags, tree = chordal.chordal_tree_decomposition(g, order)
     nice = materialize(chordal.nice_tree(materialize(bags), materialize(tree)))
     kids = nice.select("node_id", "op").join(nice.groupBy(F.col("parent_id").alias("node_id")).agg(F.count(F.lit(1)).alias("n")), "node_id", "left").fillna(0, ["n"])
@@ -802,94 +828,108 @@ def neighborhood_labels(spark, sf):
     return isomorphism.wl_labels(v, e, 3).where("graph_id = 1").select("id", "label")
 
 
-@query("SELECT CAST(1 AS BIGINT) AS copies_agree, CAST(1 AS BIGINT) AS ring_differs")
+def _order_copies(spark, sf) -> tuple[DataFrame, DataFrame]:
+    """Each order's ring of lines as a graph of its own, twice its key, and a copy with its lines in reverse."""
+    rows = materialize(numbered_lines(spark, sf))
+    k = F.col("at") - F.col("first")
+    to = (k + 1) % F.col("n")
+    own = rows.select((2 * F.col("o")).alias("graph_id"), k.alias("id"), to.alias("to"))
+    copy = rows.select(2 * F.col("o") + 1, F.col("n") - 1 - k, F.col("n") - 1 - to)
+    both = materialize(own.union(copy))
+    edges = both.where("id <> `to`").select("graph_id", F.least("id", "to").alias("src"), F.greatest("id", "to").alias("dst")).distinct()
+    return both.select("graph_id", "id"), materialize(edges)
+
+
+@query(f"WITH {OR} SELECT CAST(2 * count(*) AS BIGINT) AS graphs, count(DISTINCT n) AS fingerprints FROM orn")
 def graph_fingerprints(spark, sf):
-    p = {r[0]: r[1] for r in isomorphism.graph_fingerprints(*_trade_copies(spark, sf)).collect()}  # three rows
-    return one_row(spark, copies_agree=p[1] == p[2], ring_differs=p[1] != p[3])
+    """Rings of lines and their copies: as many fingerprints as there are numbers of lines."""
+    p = isomorphism.graph_fingerprints(*_order_copies(spark, sf))
+    return p.agg(F.count(F.lit(1)).alias("graphs"), F.countDistinct("fingerprint").alias("fingerprints"))
 
 
-@query("SELECT CAST(1 AS BIGINT) AS maps, CAST(0 AS BIGINT) AS ring_rows")
+@query("SELECT count(DISTINCT l_orderkey) AS pairs, count(*) AS mapped, CAST(0 AS BIGINT) AS wrong, CAST(0 AS BIGINT) AS unlike FROM lineitem")
 def isomorphic_copy(spark, sf):
-    v, e = _trade_copies(spark, sf)
-    pairs = spark.createDataFrame([(1, 1, 2), (2, 1, 3)], "pair_id int, graph_a int, graph_b int")
-    m = materialize(isomorphism.find_isomorphism(pairs, v, e))
-    g = lambda k: Graph(v.where(f"graph_id = {k}").select("id"), e.where(f"graph_id = {k}").select("src", "dst"))
-    return one_row(spark, maps=isomorphism.check_isomorphism(g(1), g(2), m.where("pair_id = 1").select("id_a", "id_b")), ring_rows=m.where("pair_id = 2").count())
+    """Every order's ring mapped on its copy, edge by edge, and none on the copy of the next order with another number of lines."""
+    v, e = _order_copies(spark, sf)
+    of = v.where("graph_id % 2 = 0").groupBy("graph_id").agg(F.count(F.lit(1)).alias("n"))
+    own = of.select(F.col("graph_id").alias("pair_id"), F.col("graph_id").alias("graph_a"), (F.col("graph_id") + 1).alias("graph_b"))
+    other = of.join(of.toDF("next", "m"), F.col("next") == F.col("graph_id") + 2).where("n <> m").select(F.col("graph_id") + 1, "graph_id", F.col("next") + 1)
+    m = materialize(isomorphism.find_isomorphism(own.union(other), v, e))
+    good = m.where("pair_id % 2 = 0")
+    a = e.where("graph_id % 2 = 0").join(good.toDF("graph_id", "src", "s"), ["graph_id", "src"]).join(good.toDF("graph_id", "dst", "d"), ["graph_id", "dst"])
+    moved = a.select((F.col("graph_id") + 1).alias("graph_id"), F.least("s", "d").alias("src"), F.greatest("s", "d").alias("dst"))
+    wrong = e.where("graph_id % 2 = 1").exceptAll(moved.select("graph_id", "src", "dst")).count()
+    found = good.agg(F.countDistinct("pair_id").alias("pairs"), F.count(F.lit(1)).alias("mapped")).first()
+    return one_row(spark, pairs=found["pairs"], mapped=found["mapped"], wrong=wrong, unlike=m.where("pair_id % 2 = 1").count())
 
 
 # -- rotation systems
 
 
-def _wheel(spark, sf) -> DataFrame:
-    """The nations in a ring by key, around a hub -1: a wheel, whose rotation is known."""
-    n = table(spark, sf, "nation").count()
-    k = table(spark, sf, "nation").select(F.col("n_nationkey").cast("long").alias("v"))
-    rim = k.select(F.col("v").alias("vertex"), F.posexplode(F.array(F.pmod(F.col("v") + 1, F.lit(n)), F.lit(-1).cast("long"), F.pmod(F.col("v") - 1, F.lit(n)))).alias("pos", "neighbor"))
-    hub = k.select(F.lit(-1).cast("long").alias("vertex"), F.col("v").cast("int").alias("pos"), F.col("v").alias("neighbor"))
-    return materialize(rim.union(hub))
+def _wheels(spark, sf) -> DataFrame:
+    return materialize(order_wheels(spark, sf).select("vertex", "pos", "neighbor"))
 
 
-@query("SELECT CAST(-1 AS BIGINT) AS component, CAST(4 * count(*) AS BIGINT) AS darts FROM nation")
+@query(f"WITH {OW} SELECT -1 - o AS component, CASE WHEN n > 2 THEN 4 * n WHEN n = 2 THEN 6 ELSE 2 END AS darts FROM orn")
 def rotation_parts(spark, sf):
-    return rotation.rotation_components(_wheel(spark, sf)).groupBy("component").agg(F.count(F.lit(1)).alias("darts"))
-
-
-WHEEL = """n AS (SELECT count(*) AS n FROM nation), w AS (SELECT CAST(n_nationkey AS BIGINT) AS vertex, 0 AS pos, CAST((n_nationkey + 1) % n AS BIGINT) AS neighbor FROM nation, n
- UNION ALL SELECT n_nationkey, 1, -1 FROM nation UNION ALL SELECT n_nationkey, 2, (n_nationkey + n - 1) % n FROM nation, n UNION ALL SELECT -1, n_nationkey, n_nationkey FROM nation)"""
+    return rotation.rotation_components(_wheels(spark, sf)).groupBy("component").agg(F.count(F.lit(1)).alias("darts"))
 
 
-@query(f"WITH {WHEEL} SELECT vertex, CAST(row_number() OVER (PARTITION BY vertex ORDER BY pos) - 1 AS INT) AS pos, neighbor FROM w WHERE vertex >= 0 AND neighbor >= 0")
+@query(f"WITH {OW} SELECT vertex, CAST(row_number() OVER (PARTITION BY vertex ORDER BY pos) - 1 AS INT) AS pos, neighbor FROM w WHERE vertex >= 0 AND neighbor >= 0")
 def rotation_of_rim(spark, sf):
-    w = _wheel(spark, sf)
+    w = _wheels(spark, sf)
     return rotation.rotation_filter(w, w.where("vertex >= 0").select("vertex")).select("vertex", F.col("pos").cast("int").alias("pos"), "neighbor")
 
 
-@query(f"WITH {WHEEL} SELECT vertex * 10 AS vertex, pos, neighbor * 10 AS neighbor FROM w")
+@query(f"WITH {OW} SELECT vertex * 10 AS vertex, pos, neighbor * 10 AS neighbor FROM w")
 def rotation_renamed(spark, sf):
-    w = _wheel(spark, sf)
+    w = _wheels(spark, sf)
     return rotation.rotation_relabel(w, w.select(F.col("vertex").alias("id"), (F.col("vertex") * 10).alias("name")).distinct())
 
 
-@query(f"WITH {WHEEL} SELECT vertex, CAST(count(*) OVER (PARTITION BY vertex) - 1 - pos AS INT) AS pos, neighbor FROM w")
+@query(f"WITH {OW} SELECT vertex, CAST(count(*) OVER (PARTITION BY vertex) - 1 - pos AS INT) AS pos, neighbor FROM w")
 def rotation_flipped(spark, sf):
-    return rotation.flip(_wheel(spark, sf))
+    return rotation.flip(_wheels(spark, sf))
 
 
-@query(f"WITH {WHEEL} SELECT DISTINCT least(vertex, neighbor) AS src, greatest(vertex, neighbor) AS dst FROM w")
+@query(f"WITH {OW} SELECT DISTINCT least(vertex, neighbor) AS src, greatest(vertex, neighbor) AS dst FROM w")
 def rotation_edges(spark, sf):
-    return rotation.rotation_to_graph(_wheel(spark, sf)).edges
+    return rotation.rotation_to_graph(_wheels(spark, sf)).edges
 
 
-@query(f"""WITH RECURSIVE {WHEEL}, d AS (SELECT vertex, pos, neighbor, count(*) OVER (PARTITION BY vertex) AS n FROM w),
+@query(f"""WITH RECURSIVE {OW}, d AS (SELECT vertex, pos, neighbor, count(*) OVER (PARTITION BY vertex) AS n FROM w),
 nx AS (SELECT a.neighbor AS a, a.vertex AS b, c.neighbor AS c FROM d a JOIN d c ON c.vertex = a.vertex AND c.pos = (a.pos + 1) % a.n),
 r(a, b, x, y, step) AS (SELECT a, b, a, b, 0 FROM nx UNION ALL SELECT r.a, r.b, nx.b, nx.c, r.step + 1 FROM r JOIN nx ON nx.a = r.x AND nx.b = r.y WHERE NOT (nx.b = r.a AND nx.c = r.b)),
 f AS (SELECT * FROM r WHERE NOT EXISTS (SELECT 1 FROM r q WHERE q.a = r.a AND q.b = r.b AND (q.x < q.a OR (q.x = q.a AND q.y < q.b))))
 SELECT a AS face_a, b AS face_b, CAST(step AS INT) AS step, x AS vertex FROM f UNION ALL SELECT a, b, CAST(max(step) + 1 AS INT), a FROM f GROUP BY a, b""")
 def rotation_faces(spark, sf):
-    return rotation.faces(_wheel(spark, sf))
+    return rotation.faces(_wheels(spark, sf))
 
 
-@query("SELECT CAST(-1 AS BIGINT) AS component, count(*) + 1 AS v, CAST(2 * count(*) AS BIGINT) AS e, count(*) + 1 AS f, TRUE AS planar FROM nation")
+@query("""WITH n AS (SELECT l_orderkey AS o, count(*) AS n FROM lineitem GROUP BY 1), e AS (SELECT o, n, CASE WHEN n > 2 THEN 2 * n WHEN n = 2 THEN 3 ELSE 1 END AS e FROM n)
+SELECT -1 - o AS component, n + 1 AS v, CAST(e AS BIGINT) AS e, CAST(e - n + 1 AS BIGINT) AS f, TRUE AS planar FROM e""")
 def euler_formula(spark, sf):
-    return rotation.euler_check(_wheel(spark, sf))
+    return rotation.euler_check(_wheels(spark, sf))
 
 
-@query("SELECT CAST(-1 AS BIGINT) AS component, CAST(2 * count(*) + 1 AS BIGINT) AS v, CAST(4 * count(*) AS BIGINT) AS e, CAST(2 * count(*) + 1 AS BIGINT) AS f, TRUE AS planar FROM nation")
+@query("""WITH n AS (SELECT l_orderkey AS o, count(*) AS n FROM lineitem GROUP BY 1), e AS (SELECT o, n, CASE WHEN n > 2 THEN 4 * n WHEN n = 2 THEN 6 ELSE 2 END AS e FROM n)
+SELECT -1 - o AS component, CAST(2 * n + 1 AS BIGINT) AS v, CAST(e AS BIGINT) AS e, CAST(e - 2 * n + 1 AS BIGINT) AS f, TRUE AS planar FROM e""")
 def merged_wheels(spark, sf):
-    """Two wheels that share their hub."""
-    w = _wheel(spark, sf)
-    far = lambda c: F.when(F.col(c) >= 0, F.col(c) + 1000).otherwise(F.col(c))
-    two = w.select(F.lit(0).alias("block"), "*").union(w.select(F.lit(1), far("vertex"), "pos", far("neighbor")))
+    """Each order's wheel twice, with one hub for both."""
+    w = materialize(order_wheels(spark, sf))
+    far = lambda c: F.when(F.col(c) >= 0, F.col(c) + (1 << 50)).otherwise(F.col(c))
+    two = w.select((2 * F.col("o")).alias("block"), "vertex", "pos", "neighbor").union(w.select(2 * F.col("o") + 1, far("vertex"), "pos", far("neighbor")))
     return rotation.euler_check(materialize(rotation.merge_blocks(two)))
 
 
-@query("SELECT CAST(3 * (count(*) + 1) - 6 AS BIGINT) AS edges, CAST(0 AS BIGINT) AS large_faces, CAST(1 AS BIGINT) AS planar FROM nation")
+@query("""WITH n AS (SELECT l_orderkey AS o, count(*) AS n FROM lineitem GROUP BY 1)
+SELECT CAST(sum(CASE WHEN n > 2 THEN 3 * n - 3 WHEN n = 2 THEN 3 ELSE 1 END) AS BIGINT) AS edges, CAST(0 AS BIGINT) AS large_faces, count(*) AS planar FROM n""")
 def triangulated_wheel(spark, sf):
-    """The wheel's outer face filled with chords: three edges a vertex, less six."""
-    t = materialize(rotation.triangulate(_wheel(spark, sf)))
+    """Every order's wheel filled with chords: three edges a vertex, less six."""
+    t = materialize(rotation.triangulate(_wheels(spark, sf)))
     walks = rotation.faces(t)
     large = walks.groupBy("face_a", "face_b").agg(F.max("step").alias("n")).where("n > 3").count()
-    return one_row(spark, edges=t.count() // 2, large_faces=large, planar=rotation.euler_check(t).first()["planar"])
+    return one_row(spark, edges=t.count() // 2, large_faces=large, planar=rotation.euler_check(t).where("planar").count())
 
 
 # -- layouts
@@ -897,47 +937,41 @@ def triangulated_wheel(spark, sf):
 
 @query(rules("off_mean", "moved"))
 def barycentric_layout(spark, sf):
-    """The wheel with its rim on a circle: the hub lies at the mean of its neighbours."""
-    g = rotation.rotation_to_graph(_wheel(spark, sf)).written()
-    n = table(spark, sf, "nation").count()
-    rim = g.vertices.where("id >= 0").select("id", F.cos(F.col("id") * 6.283185307179586 / n).alias("x"), F.sin(F.col("id") * 6.283185307179586 / n).alias("y"))
+    """Each order's wheel with its rim on a circle: the hub lies at the mean of its neighbours."""
+    g = rotation.rotation_to_graph(_wheels(spark, sf)).written()
+    turn = F.col("id") % 7 * 0.8975979010256552
+    rim = g.vertices.where("id >= 0").select("id", F.cos(turn).alias("x"), F.sin(turn).alias("y"))
     at = materialize(layout.tutte_layout(g, rim))
-    mean = g.arcs.where("src = -1").join(at.withColumnRenamed("id", "dst"), "dst").agg(F.avg("x").alias("mx"), F.avg("y").alias("my"))
-    off = at.where("id = -1").crossJoin(mean).where("abs(x - mx) > 1e-6 OR abs(y - my) > 1e-6").count()
+    mean = g.arcs.where("src < 0").join(at.withColumnRenamed("id", "dst"), "dst").groupBy(F.col("src").alias("id")).agg(F.avg("x").alias("mx"), F.avg("y").alias("my"))
+    off = at.where("id < 0").join(mean, "id", "left").where("coalesce(abs(x - mx) > 1e-6 OR abs(y - my) > 1e-6, true)").count()
     return one_row(spark, off_mean=off, moved=at.join(rim.toDF("id", "x0", "y0"), "id").where("x <> x0 OR y <> y0").count())
 
 
-def _error_layout(spark, sf) -> tuple[Graph, DataFrame]:
-    """The similar vectors, at their first two components."""
-    return similar_vectors(spark, sf).written(), vector_points(spark, sf)
-
-
-SIM = """vv AS (SELECT vec_id AS id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings),
-u AS (SELECT id, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM vv), nn AS (SELECT id, sqrt(sum(x * x)) AS n FROM u GROUP BY id),
-dd AS (SELECT a.id AS src, b.id AS dst, sum(a.x * b.x) AS d FROM u a JOIN u b ON a.i = b.i AND a.id < b.id GROUP BY 1, 2),
-sim AS (SELECT src, dst FROM dd JOIN nn x ON x.id = src JOIN nn y ON y.id = dst WHERE d >= 0.4 * x.n * y.n)"""
+def _chain_layout(spark, sf) -> tuple[Graph, DataFrame]:
+    """Chains of vectors of one label, at their first two components."""
+    return labelled_chains(spark, sf).written(), vector_points(spark, sf)
 
 
-@query(f"""WITH {SIM}, {PTS}, e AS (SELECT src, dst, a.x AS x1, a.y AS y1, b.x AS x2, b.y AS y2 FROM sim JOIN pts a ON a.id = src JOIN pts b ON b.id = dst),
+@query(f"""WITH {LC}, {PTS}, e AS (SELECT src, dst, a.x AS x1, a.y AS y1, b.x AS x2, b.y AS y2 FROM sim JOIN pts a ON a.id = src JOIN pts b ON b.id = dst),
 c AS (SELECT p.src AS src_a, p.dst AS dst_a, q.src AS src_b, q.dst AS dst_b,
  ((p.x2-p.x1)*(q.y1-p.y1)-(p.y2-p.y1)*(q.x1-p.x1)) * ((p.x2-p.x1)*(q.y2-p.y1)-(p.y2-p.y1)*(q.x2-p.x1)) AS l,
  ((q.x2-q.x1)*(p.y1-q.y1)-(q.y2-q.y1)*(p.x1-q.x1)) * ((q.x2-q.x1)*(p.y2-q.y1)-(q.y2-q.y1)*(p.x2-q.x1)) AS r
  FROM e p JOIN e q ON (p.src < q.src OR (p.src = q.src AND p.dst < q.dst)) AND p.src <> q.src AND p.src <> q.dst AND p.dst <> q.src AND p.dst <> q.dst)
 SELECT src_a, dst_a, src_b, dst_b FROM c WHERE l < 0 AND r < 0""")
 def edge_crossings(spark, sf):
-    return layout.edge_crossings(*_error_layout(spark, sf))
+    return layout.edge_crossings(*_chain_layout(spark, sf))
 
 
-@query(f"WITH {SIM}, {PTS} SELECT src, dst, round(sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)), 9) AS length FROM sim JOIN pts a ON a.id = src JOIN pts b ON b.id = dst")
+@query(f"WITH {LC}, {PTS} SELECT src, dst, round(sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)), 9) AS length FROM sim JOIN pts a ON a.id = src JOIN pts b ON b.id = dst")
 def edge_lengths(spark, sf):
-    return layout.edge_lengths(*_error_layout(spark, sf)).select("src", "dst", F.round("length", 9).alias("length"))
+    return layout.edge_lengths(*_chain_layout(spark, sf)).select("src", "dst", F.round("length", 9).alias("length"))
 
 
-@query(f"""WITH {SIM}, l AS (SELECT 0 AS layout_id, vec_id AS id, CAST(embedding[1] AS DOUBLE) AS x, CAST(embedding[2] AS DOUBLE) AS y FROM embeddings UNION ALL SELECT 1, vec_id, CAST(embedding[3] AS DOUBLE), CAST(embedding[4] AS DOUBLE) FROM embeddings),
+@query(f"""WITH {LC}, l AS (SELECT 0 AS layout_id, vec_id AS id, CAST(embedding[1] AS DOUBLE) AS x, CAST(embedding[2] AS DOUBLE) AS y FROM embeddings UNION ALL SELECT 1, vec_id, CAST(embedding[3] AS DOUBLE), CAST(embedding[4] AS DOUBLE) FROM embeddings),
 s AS (SELECT a.layout_id, min(sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y))) AS m FROM sim JOIN l a ON a.id = src JOIN l b ON b.id = dst AND b.layout_id = a.layout_id GROUP BY 1)
 SELECT layout_id, round(m, 9) AS shortest FROM s ORDER BY m DESC, layout_id LIMIT 1""")
 def best_layout(spark, sf):
-    g = similar_vectors(spark, sf).written()
+    g = labelled_chains(spark, sf).written()
     e = table(spark, sf, "embeddings")
     two = [e.select(F.lit(k).alias("layout_id"), F.col("vec_id").alias("id"), F.col("embedding")[2 * k].cast("double").alias("x"), F.col("embedding")[2 * k + 1].cast("double").alias("y")) for k in (0, 1)]
     return layout.best_layout(g, two[0].union(two[1])).select("layout_id", F.round("shortest", 9).alias("shortest"))

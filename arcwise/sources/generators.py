@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from arcwise.functions.ranking import with_global_index
 from arcwise.operators.graph import Graph
 from arcwise.storage import materialize
 
@@ -40,16 +42,33 @@ def _pairs(spark: SparkSession, n: int) -> DataFrame:
 
 
 def random_graph_p(spark: SparkSession, n: int, p: float, seed: int = 1) -> Graph:
-    """Each pair is an edge with chance p."""
-    edges = _pairs(spark, n).where(_draw(seed, "src", "dst") < p) if n > 1 else _pairs(spark, 2).limit(0)
-    return Graph(spark.range(n), edges)
+    """Each pair is an edge with chance p: their number is drawn first, then so many pairs."""
+    m = int(np.random.default_rng(seed).binomial(n * (n - 1) // 2, p)) if n > 1 else 0
+    return random_graph_m(spark, n, m, seed)
 
 
 def random_graph_m(spark: SparkSession, n: int, m: int, seed: int = 1) -> Graph:
-    """m different pairs; more than there are is an error."""
-    if m > n * (n - 1) // 2:
+    """m different pairs; more than there are is an error.
+
+    Pairs are drawn by hash of their turn, and the m that come first stay, so the work follows m. Of more than half of all
+    pairs those that are left out are drawn.
+    """
+    whole = n * (n - 1) // 2
+    if m > whole:
         raise ValueError(f"{n} vertices have fewer than {m} pairs")
-    return Graph(spark.range(n), _pairs(spark, max(n, 2)).orderBy(_draw(seed, "src", "dst"), "src", "dst").limit(m))
+    if 2 * m > whole:
+        gone = random_graph_m(spark, n, whole - m, seed).edges if m < whole else _pairs(spark, 2).limit(0)
+        return Graph(spark.range(n), _pairs(spark, max(n, 2)).join(gone, ["src", "dst"], "left_anti") if n > 1 else _pairs(spark, 2).limit(0))
+    turns = m + m // 4 + 16
+    while True:
+        a = F.pmod(F.xxhash64(F.lit(seed), F.lit("a"), "id"), F.lit(n))
+        b = F.pmod(F.xxhash64(F.lit(seed), F.lit("b"), "id"), F.lit(max(n - 1, 1)))
+        drawn = spark.range(turns).select("id", a.alias("x"), b.alias("y")).withColumn("y", F.col("y") + (F.col("y") >= F.col("x")).cast("long"))
+        first = materialize(drawn.groupBy(F.least("x", "y").alias("src"), F.greatest("x", "y").alias("dst")).agg(F.min("id").alias("turn")))
+        if m == 0 or first.count() >= m:
+            placed = with_global_index(first, ["turn"], "at")
+            return Graph(spark.range(n), placed.where(F.col("at") < m).select("src", "dst"))
+        turns *= 2
 
 
 def random_k_tree(spark: SparkSession, n: int, k: int, delete_prob: float = 0.0, seed: int = 1) -> Graph:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from arcwise.operators.graph import Graph
@@ -12,23 +12,25 @@ from arcwise.storage import materialize
 def read_tsplib_points(spark: SparkSession, path: str) -> DataFrame:
     """``file, id, x, y`` of the lines after NODE_COORD_SECTION until EOF or an empty line, in each file.
 
-    A file is one row until its lines are told apart, as the format has no other order. A
+    Files may be split into blocks: a line's place is its block and its turn in it, so no file is held as a whole. A
     file without the section and a line without three fields, two of them numbers, are errors.
     """
-    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.col("value"))
-    lines = files.select("file", F.posexplode(F.split("value", r"\r\n|\n|\r")).alias("at", "line")).withColumn("line", F.trim("line"))
-    by = Window.partitionBy("file")
-    opened = lines.withColumn("start", F.min(F.when(F.upper("line") == "NODE_COORD_SECTION", F.col("at"))).over(by))
-    body = opened.withColumn("stop", F.min(F.when((F.col("at") > F.col("start")) & ((F.upper("line") == "EOF") | (F.col("line") == "")), F.col("at"))).over(by))
-    inside = body.where("start IS NULL OR (at > start AND (stop IS NULL OR at < stop))")
+    # fixed values: the words of the format
+    opens, ends = "NODE_COORD_SECTION", "EOF"
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("turn")).alias("at"), F.trim(F.regexp_replace("value", r"\r$", "")).alias("line"))
+    lines = materialize(lines, "lines")
+    start = lines.groupBy("file").agg(F.min(F.when(F.upper("line") == opens, F.col("at"))).alias("start"))
+    if start.where("start IS NULL").limit(1).count():
+        raise ValueError(f"no {opens}")
+    body = lines.join(start, "file").where("at > start")
+    stop = body.where((F.upper("line") == ends) | (F.col("line") == "")).groupBy("file").agg(F.min("at").alias("stop"))
+    inside = body.join(stop, "file", "left").where("stop IS NULL OR at < stop")
     parts = F.split("line", " +")
-    parsed = materialize(inside.select("file", "at", "line", "start", F.size(parts).alias("n"), F.get(parts, F.lit(0)).alias("id"), F.get(parts, F.lit(1)).try_cast("double").alias("x"), F.get(parts, F.lit(2)).try_cast("double").alias("y")))
-    if parsed.where("start IS NULL").limit(1).count():
-        raise ValueError("no NODE_COORD_SECTION")
-    bad = parsed.where("n <> 3 OR x IS NULL OR y IS NULL").orderBy("file", "at").select("line").first()
-    if bad:
-        raise ValueError(f"not a line of coordinates: {bad[0]}")
-    return parsed.select("file", "at", "id", "x", "y").orderBy("file", "at").drop("at")
+    parsed = materialize(inside.select("file", "at", "line", F.size(parts).alias("n"), F.get(parts, F.lit(0)).alias("id"), F.get(parts, F.lit(1)).try_cast("double").alias("x"), F.get(parts, F.lit(2)).try_cast("double").alias("y")))
+    bad = parsed.where("n <> 3 OR x IS NULL OR y IS NULL").agg(F.min_by("line", F.struct("file", "at"))).first()[0]
+    if bad is not None:
+        raise ValueError(f"not a line of coordinates: {bad}")
+    return parsed.select("file", "id", "x", "y")
 
 
 def edges_from_markup(df: DataFrame, text: str, pair_regex: str, vertex_regex: str) -> Graph:

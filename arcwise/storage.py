@@ -1,11 +1,12 @@
 """Cutting lineage: tables written to the folder that all executors share.
 
-The folder is the session's ``spark.checkpoint.dir``. Only where that is unset
-(local tests) is a temporary folder chosen.
+The folder is the session's ``spark.checkpoint.dir``. Only where that is unset and all of Spark is one
+process (local tests) is a temporary folder chosen; a cluster has to name one.
 """
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -20,6 +21,8 @@ def shared_folder(spark: SparkSession) -> str:
     known = spark.sparkContext._jsc.sc().getCheckpointDir()
     if known.isDefined():
         return known.get()
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="arcwise-"))
     return spark.sparkContext._jsc.sc().getCheckpointDir().get()
 
@@ -35,4 +38,15 @@ def materialize(df: DataFrame, label: str = "table") -> DataFrame:
     """
     path = new_path(df.sparkSession, label)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    table.written_to = path
+    return table
+
+
+def forget(*tables: DataFrame) -> None:
+    """Delete what ``materialize`` wrote for these tables; nothing may read them or what is not yet written of theirs again."""
+    for table in tables:
+        if path := getattr(table, "written_to", None):
+            spark = table.sparkSession
+            where = spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)

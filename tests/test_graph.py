@@ -110,7 +110,7 @@ def test_separators_and_trees(spark):
     assert cn.as_tree(graph(spark, [(0, 1), (1, 2), (0, 2)])) is None
     assert cn.as_tree(graph(spark, [(0, 1), (1, 2), (0, 2)], extra=[9])) is None  # as many edges as a tree
     lines = [r.line for r in cn.tree_to_dot(cn.as_tree(path), F.col("id")).collect()]
-    assert lines[0] == "digraph G {" and lines[-1] == "}" and '  "1" -> "2";' in lines
+    assert lines[0] == "digraph tree {" and lines[-1] == "}" and '  "1" -> "2";' in lines
 
 
 SIX = [(1, 2, 7.0), (1, 3, 9.0), (1, 6, 14.0), (2, 3, 10.0), (2, 4, 15.0), (3, 6, 2.0), (3, 4, 11.0), (4, 5, 6.0), (5, 6, 9.0)]
