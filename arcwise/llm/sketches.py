@@ -11,18 +11,14 @@ from arcwise.functions.ranking import with_global_index
 from arcwise.llm.tables import one_row_per_id, read
 from arcwise.storage import materialize
 
-#: Cells a sketch has: regions (one hash each) times cells a region; longest paragraph piece; peeling rounds; parts of a
-#: retry; digests that a sketch is to hold; one digest in so many is looked at for the estimate.
-REGIONS, CELLS, PIECE, ROUNDS, PARTS, LOAD, STRATUM = 3, 8, 256, 10, 4, 10, 8
-#: A piece of a line: it ends after 32 code points or more where a word ends in a sign or in one of some letters, so that
-#: cuts stay with the words when a text is shifted, and short texts have several pieces; else at PIECE code points.
-CUT = f"[^\\n]{{32,{PIECE - 1}}}?[.,;:!?dgmry](?= )|[^\\n]{{1,{PIECE}}}"
+#: Cells a sketch has: regions (one hash each) times cells a region; longest paragraph piece; peeling rounds; parts of a retry.
+REGIONS, CELLS, PIECE, ROUNDS, PARTS = 3, 8, 256, 10, 4
 CELL = "struct<n:int, k:bigint, h:bigint>"
 
 
 def paragraphs(text) -> F.Column:
-    """Digests of the distinct lines of a text, longer ones by pieces (see ``CUT``)."""
-    pieces = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(CUT), F.lit(0))
+    """Digests of the distinct lines of a text; a long line counts by pieces of PIECE code points."""
+    pieces = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(f"[^\\n]{{1,{PIECE}}}"), F.lit(0))
     return F.array_sort(F.array_distinct(F.transform(pieces, lambda p: F.xxhash64(p))))
 
 
@@ -102,18 +98,11 @@ def differences(pairs: DataFrame, max_level: int = 40) -> DataFrame:
     """``id, side, digest`` for ``id, a, b``: digests that one of two sets has alone.
 
     ``side`` is 1 for ``a`` and -1 for ``b``. The sketches of both are subtracted
-    and peeled. How large a first sketch is, as a number of parts each with cells for some LOAD digests, follows an estimate: the
-    difference of the sizes, or of a sample of one digest in STRATUM, whichever is more. Where cells stay, the
-    sketch is retried larger: with PARTS sketches for one, each over the digests that fall in its part. Only what
+    and peeled. Where cells stay, the sketch is retried larger: with PARTS
+    sketches for one, each over the digests that fall in its part. Only what
     failed is retried.
     """
-    thin = lambda c: F.filter(c, lambda d: d.bitwiseAND(F.lit(STRATUM - 1)) == 0)
-    sampled = F.size(F.array_except(thin("a"), thin("b"))) + F.size(F.array_except(thin("b"), thin("a")))
-    likely = F.greatest(F.abs(F.size("a") - F.size("b")), STRATUM * sampled)
-    sized = pairs.select("id", "a", "b", F.greatest(F.lit(1), F.ceil(likely / LOAD)).cast("int").alias("n"))
-    dealt = sized.select("id", "a", "b", "n", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("part"))
-    own = lambda c: F.when(F.col("n") == 1, F.col(c)).otherwise(F.filter(c, lambda d: F.pmod(F.xxhash64(d, F.lit("first")), F.col("n")) == F.col("part")))
-    found, rest = [], dealt.select("id", own("a").alias("a"), own("b").alias("b"))
+    found, rest = [], pairs.select("id", "a", "b")
     for level in range(max_level):
         seed = F.lit(level)
         peeled = rest.withColumn("p", peel(subtract(sketch(F.col("a"), seed), sketch(F.col("b"), seed)), seed))
@@ -153,8 +142,8 @@ def edit_fingerprints(docs: DataFrame) -> DataFrame:
 
     The edited text ends in the start of the next document's, in place of its
     last quarter. Null texts count as empty: no paragraphs, a sketch of zeros, and
-    alike to one another. The fingerprint is the text's sketch of one part, of equal size for all; ``near_edited`` and
-    ``near_next`` come from sketches as large as the difference needs. Rows without a doc_id take no part; of rows that repeat
+    alike to one another. The fingerprint is the text's sketch of 24 cells, of equal size for all; ``near_edited`` and
+    ``near_next`` come from sketches that are retried as large as the difference needs. Rows without a doc_id take no part; of rows that repeat
     one, that with the least text is the document. The only document is its own
     next one. An empty table gives an empty result; other columns are ignored.
     """
