@@ -12,7 +12,7 @@ from arcwise.llm.words import find_words, in_units
 
 #: Bounds of the training sample: trusted positives and unlabelled texts; buckets for byte trigrams, and as many for words; what divides
 #: the weight of these.
-POSITIVES, UNLABELLED, BUCKETS, DAMPED = 20_000, 20_000, 64, 4
+POSITIVES, UNLABELLED, BUCKETS, DAMPED = 10_000, 10_000, 64, 4
 UNIT_BYTES = 1 << 19
 
 _CLASS = np.zeros(256, np.int64)  # of bytes: 0 other, 1 lower, 2 upper, 3 digit, 4 sentence mark, 5 sign, 6 past ASCII, 7 space, 8 line end
@@ -103,11 +103,12 @@ def non_negative_risk(positive: np.ndarray, unlabelled: np.ndarray, prior: float
     the logistic loss. Where the second part falls under 0, the step goes up its
     gradient alone. All rows count in each step, so runs agree.
     """
-    p, u = (np.hstack([x, np.ones((len(x), 1))]) for x in (positive, unlabelled))
+    p, u = (np.hstack([x, np.ones((len(x), 1), x.dtype)]) for x in (positive, unlabelled))
     w, m, v = (np.zeros(p.shape[1]) for _ in range(3))
     sigmoid = lambda z: 0.5 * (1 + np.tanh(z / 2))
     for t in range(1, rounds + 1):
-        fp, fu = p @ w, u @ w
+        at = w.astype(p.dtype)
+        fp, fu = p @ at, u @ at
         as_negative = np.logaddexp(0, fu).mean() - prior * np.logaddexp(0, fp).mean()
         g_negative = u.T @ sigmoid(fu) / len(u) - prior * (p.T @ sigmoid(fp)) / len(p)
         g = -g_negative if as_negative < 0 else g_negative - prior * (p.T @ sigmoid(-fp)) / len(p)
@@ -172,11 +173,12 @@ def train_quality(docs: DataFrame, labels: DataFrame, seed: int = 11) -> dict:
     kind = rows.kind.to_numpy()
     if not (kind == 1).any() or not (kind == 0).any():
         return {"centre": np.zeros(N_FEATURES), "spread": np.ones(N_FEATURES), "weights": np.zeros(N_FEATURES + 1), "prior": 0.5}
-    x = np.stack(rows.x.to_list()).astype(np.float64)
-    centre, spread = x.mean(0), x.std(0) + 1e-3
+    x = np.stack(rows.x.to_list())
+    centre, spread = x.mean(0, dtype=np.float64), x.std(0, dtype=np.float64) + 1e-3
     # many hashed columns fit a small sample by chance, so each counts for less
     spread[SURFACE:] *= DAMPED
-    z = np.clip((x - centre) / spread, -8, 8)
+    z = np.clip((x - centre.astype(np.float32)) / spread.astype(np.float32), -8, 8)
+    del rows, x
     prior = estimated_prior(z[kind == 1], z[kind == 0])
     return {"centre": centre, "spread": spread, "weights": non_negative_risk(z[kind == 1], z[kind == 0], prior), "prior": prior}
 
