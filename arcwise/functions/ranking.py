@@ -8,6 +8,17 @@ from pyspark.sql import functions as F
 from arcwise.storage import materialize
 
 
+def free_names(df: DataFrame, *names: str, but: str = "") -> list[str]:
+    """The names, each made longer until no column of ``df`` has it."""
+    taken, out = {c.lower() for c in [*df.columns, but]}, []
+    for name in names:
+        while name in taken:
+            name += "_"
+        taken.add(name)
+        out.append(name)
+    return out
+
+
 def with_global_index(df: DataFrame, order: list, index: str = "idx", partitions: int | None = None) -> DataFrame:
     """Add ``index``, the 0-based position of each row in the order ``order``.
 
@@ -18,16 +29,17 @@ def with_global_index(df: DataFrame, order: list, index: str = "idx", partitions
     """
     spark = df.sparkSession
     parts = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    at, part, start = free_names(df, "at", "part", "start", but=index)
     dealt = df.repartitionByRange(parts, *order).sortWithinPartitions(*order)
-    laid = materialize(dealt.withColumn("_at", F.monotonically_increasing_id()), "ranked")
-    laid = laid.withColumn("_range", F.shiftright("_at", 33).cast("int"))
-    sizes = laid.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.select("_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    laid = materialize(dealt.withColumn(at, F.monotonically_increasing_id()), "ranked")
+    laid = laid.withColumn(part, F.shiftright(at, 33).cast("int"))
+    sizes = laid.groupBy(part).agg(F.count(F.lit(1)).alias("n"))
+    before = Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select(part, F.coalesce(F.sum("n").over(before), F.lit(0)).alias(start))
     # at most one row per range: the bound is the session's partition number
-    placed = laid.join(F.broadcast(starts), "_range")
-    place = F.col("_start") + F.col("_at").bitwiseAND((1 << 33) - 1)
-    return placed.withColumn(index, place).drop("_range", "_at", "_start")
+    placed = laid.join(F.broadcast(starts), part)
+    place = F.col(start) + F.col(at).bitwiseAND((1 << 33) - 1)
+    return placed.withColumn(index, place).drop(part, at, start)
 
 
 def with_running_sum(df: DataFrame, order: list, value, total: str = "total") -> DataFrame:
@@ -39,12 +51,13 @@ def with_running_sum(df: DataFrame, order: list, value, total: str = "total") ->
     """
     spark = df.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = df.withColumn("_value", value.cast("long")).repartitionByRange(parts, *order)
-    laid = materialize(dealt.withColumn("_range", F.spark_partition_id()), "ranges")
-    sums = laid.groupBy("_range").agg(F.sum("_value").alias("_sum"))
-    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sums.select("_range", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_start"))
-    within = Window.partitionBy("_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    run = laid.withColumn("_run", F.sum("_value").over(within))
+    own, part, run, start = free_names(df, "value", "part", "run", "start", but=total)
+    dealt = df.withColumn(own, value.cast("long")).repartitionByRange(parts, *order)
+    laid = materialize(dealt.withColumn(part, F.spark_partition_id()), "ranges")
+    sums = laid.groupBy(part).agg(F.sum(own).alias("sum"))
+    before = Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    starts = sums.select(part, F.coalesce(F.sum("sum").over(before), F.lit(0)).alias(start))
+    within = Window.partitionBy(part).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    summed = laid.withColumn(run, F.sum(own).over(within))
     # at most one row per range: the bound is the session's partition number
-    return run.join(F.broadcast(starts), "_range").withColumn(total, F.col("_start") + F.col("_run")).drop("_value", "_range", "_run", "_start")
+    return summed.join(F.broadcast(starts), part).withColumn(total, F.col(start) + F.col(run)).drop(own, part, run, start)
