@@ -104,36 +104,43 @@ def bipartite_max_matching(edges: DataFrame, max_rounds: int = 10_000) -> DataFr
 
 
 def bipartite_min_cost_assignment(edges: DataFrame, cost: str = "cost", max_rounds: int = 100_000) -> DataFrame:
-    """``left, right, cost``: the most pairs, and of those the least total cost, for integer costs.
+    """``left, right, cost``: the most pairs, and of those the least total cost.
+
+    Whole costs are taken as they are, others as decimals of 12 places, so that sums are exact; null costs are an error.
 
     Starts empty; each round finds, by least-cost search over the residual arcs
     from all free left vertices at once, the cheapest path to a free right
     vertex, and turns it over. Each turn adds one pair, and pairs so added are
     cheapest for their number; the paths of a round are found with joins.
     """
-    edges = materialize(edges.select("left", "right", F.col(cost).cast("long").alias("cost")).groupBy("left", "right").agg(F.min("cost").alias("cost")))
+    asked = dict(edges.dtypes)[cost]
+    kind = "bigint" if asked in ("tinyint", "smallint", "int", "bigint") else "decimal(30,12)"
+    if edges.where(F.col(cost).isNull()).limit(1).count():
+        raise ValueError("a cost is null")
+    edges = materialize(edges.select("left", "right", F.col(cost).cast(kind).alias("cost")).groupBy("left", "right").agg(F.min("cost").alias("cost")))
+    done = lambda m: m.withColumn("cost", F.col("cost").cast(asked))
     matched = edges.limit(0)
     for _ in range(max_rounds):
         matched = materialize(matched)
         free = edges.select("left").distinct().join(matched.select("left"), "left", "left_anti")
         open_edges = materialize(edges.join(matched.select("left", "right"), ["left", "right"], "left_anti"))
-        best = front = materialize(free.select("left", F.lit(0).cast("long").alias("d"), F.array().cast(_pairs_type(edges)).alias("path")))
+        best = front = materialize(free.select("left", F.lit(0).cast(kind).alias("d"), F.array().cast(_pairs_type(edges)).alias("path")))
         reached = None
         while front.limit(1).count():
-            step = front.join(open_edges, "left").select("right", (F.col("d") + F.col("cost")).alias("d"), F.concat("path", F.array(F.struct("left", "right"))).alias("path"))
+            step = front.join(open_edges, "left").select("right", (F.col("d") + F.col("cost")).cast(kind).alias("d"), F.concat("path", F.array(F.struct("left", "right"))).alias("path"))
             step = step.groupBy("right").agg(F.min(F.struct("d", "path")).alias("m")).select("right", "m.d", "m.path")
             if reached is not None:
                 step = step.union(reached).groupBy("right").agg(F.min(F.struct("d", "path")).alias("m")).select("right", "m.d", "m.path")
             reached = materialize(step)
-            back = reached.join(matched.select("right", F.col("left"), F.col("cost")), "right").select("left", (F.col("d") - F.col("cost")).alias("d2"), F.col("path").alias("path2"))
+            back = reached.join(matched.select("right", F.col("left"), F.col("cost")), "right").select("left", (F.col("d") - F.col("cost")).cast(kind).alias("d2"), F.col("path").alias("path2"))
             both = materialize(best.join(back, "left", "full").select("left", F.least("d", "d2").alias("d"), F.when(F.coalesce(F.col("d2") < F.col("d"), F.col("d").isNull()), F.col("path2")).otherwise(F.col("path")).alias("path"), F.coalesce(F.col("d2") < F.col("d"), F.col("d").isNull()).alias("new")))
             best, front = both.select("left", "d", "path"), both.where("new").select("left", "d", "path")
         if reached is None:
-            return matched
+            return done(matched)
         end = reached.join(matched.select("right"), "right", "left_anti").orderBy("d", "right").limit(1)
         path = materialize(end.select(F.explode("path").alias("p")).select("p.left", "p.right"))
         if path.limit(1).count() == 0:
-            return matched
+            return done(matched)
         kept = matched.join(path.select("left"), "left", "left_anti").join(path.select("right"), "right", "left_anti")
         matched = kept.select("left", "right", "cost").union(path.join(edges, ["left", "right"]).select("left", "right", "cost"))
     raise RuntimeError(f"no assignment in {max_rounds} rounds")
