@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from arcwise.llm import mixing, pieces, quality, sharding, simhash, sketches, substrings, tokencounts, topk, urls
+from arcwise.llm import langid, mixing, pieces, quality, runs, sharding, simhash, sketches, substrings, tokencounts, topk, urls
 
 QUERIES: dict[str, Callable] = {
     "op1_url_filter": urls.op1_url_filter,
@@ -17,6 +17,8 @@ QUERIES: dict[str, Callable] = {
     "op8_systematic_mix": mixing.op8_systematic_mix,
     "op9_pu_quality": quality.op9_pu_quality,
     "op10_ring_sharding": sharding.op10_ring_sharding,
+    "op11_lcp_runs": runs.op11_lcp_runs,
+    "op12_gram_bayes": langid.op12_gram_bayes,
 }
 
 ORACLE_SQL: dict[str, str] = {

@@ -8,6 +8,8 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 
+#: What separates words, for Spark's own functions.
+WORD_BREAKS = r"[\x20\x09-\x0D]+"
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _U = np.uint64
