@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from arcwise.llm.tables import read, small_batches
 from arcwise.llm.words import in_units
 
-#: Lengths of the n-grams, buckets they are hashed to, what is added to each count, text of a unit.
+#: Lengths of the n-grams, buckets they are hashed to (16 bits; a batch has 2^16 texts at most), what is added to each count, text of a unit.
 SIZES, BUCKETS, ADDED, UNIT_BYTES = (1, 2, 3, 4), 1 << 16, 0.5, 1 << 18
 #: Languages a model may have: with four bytes a number its matrix has 128 MB then. More are an error.
 MOST_LANGUAGES = 512
@@ -39,18 +39,19 @@ def letter_runs(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return np.where(letter, points, 0x20)[kept], of[kept]
 
 
-def hashed_grams(points: np.ndarray, of: np.ndarray):
-    """For each length the bucket of every n-gram and the text it is in; none crosses texts."""
-    codes, state = points.astype(np.uint64), np.zeros(len(points), np.uint64)
+def hashed_grams(points: np.ndarray, of: np.ndarray, label: np.ndarray):
+    """For each length the n-grams as numbers, their text's label above and the bucket in the low 16 bits; none crosses texts."""
+    codes, state = points.astype(np.uint32), np.zeros(len(points), np.uint32)
+    shifted = (label.astype(np.uint32) << np.uint32(16))[of]
     for size in range(1, max(SIZES) + 1):
         n = len(points) - size + 1
         if n <= 0:
             return
-        state = state[:n] * np.uint64(0x9E3779B97F4A7C15) + codes[size - 1 :] + np.uint64(size)
+        state = state[:n] * np.uint32(0x9E3779B1) + codes[size - 1 :] + np.uint32(size)
         if size in SIZES:
-            bucket = (state ^ (state >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(64 - BUCKETS.bit_length() + 1)
-            inside = of[:n] == of[size - 1 :]
-            yield bucket[inside].astype(np.int64), of[:n][inside]
+            bucket = (state ^ (state >> np.uint32(15))) * np.uint32(0x85EBCA6B) >> np.uint32(16)
+            keys = shifted[:n] | bucket
+            yield keys if size == 1 else keys[of[:n] == of[size - 1 :]]
 
 
 def _texts(piece: pa.RecordBatch) -> list[str]:
@@ -65,8 +66,9 @@ def gram_counts(batches):
         for lang, n in zip(langs, np.bincount(index), strict=True):
             docs[lang] = docs.get(lang, 0) + int(n)
             counts.setdefault(lang, np.zeros(BUCKETS, np.int64))
-        for bucket, of in hashed_grams(*letter_runs(_texts(piece))):
-            both = np.bincount(index[of] * BUCKETS + bucket, minlength=len(langs) * BUCKETS).reshape(-1, BUCKETS)
+        points, of = letter_runs(_texts(piece))
+        for keys in hashed_grams(points, of, index):
+            both = np.bincount(keys, minlength=len(langs) * BUCKETS).reshape(-1, BUCKETS)
             for k, lang in enumerate(langs):
                 counts[lang] += both[k]
     for lang, row in counts.items():
@@ -107,9 +109,10 @@ def log_likelihoods(texts: list[str], logs: np.ndarray) -> tuple[np.ndarray, np.
     The batch is a sparse matrix of texts and buckets, one entry for each bucket a text has, multiplied by the matrix of logs.
     """
     points, of = letter_runs(texts)
-    pairs = [o.astype(np.int64) * BUCKETS + b for b, o in hashed_grams(points, of)]
-    keys, times = np.unique(np.concatenate(pairs), return_counts=True) if pairs else (np.zeros(0, np.int64), np.zeros(0, np.int64))
-    text, bucket = keys // BUCKETS, keys % BUCKETS
+    keys = np.sort(np.concatenate([np.zeros(0, np.uint32), *hashed_grams(points, of, np.arange(len(texts)))]))
+    start = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])[: len(keys)])
+    times = np.diff(np.append(start, len(keys)))
+    text, bucket = (keys[start] >> np.uint32(16)).astype(np.int64), (keys[start] & np.uint32(0xFFFF)).astype(np.int64)
     out = np.stack([np.bincount(text, times * row[bucket], minlength=len(texts)) for row in logs], 1) if len(logs) else np.zeros((len(texts), 0))
     return out, np.bincount(of[points != 0x20], minlength=len(texts)) > 0
 

@@ -26,13 +26,13 @@ def some_texts(n, seed=4):
 def plain_grams(text):
     runs = "".join(c if c.isalpha() else " " for c in text.lower())
     marked = " " + " ".join(runs.split()) + (" " if runs.split() else "")
-    out, mask = Counter(), (1 << 64) - 1
+    out, mask = Counter(), (1 << 32) - 1
     for size in langid.SIZES:
         for k in range(len(marked) - size + 1):
             state = 0
             for j, c in enumerate(marked[k : k + size]):
-                state = (state * 0x9E3779B97F4A7C15 + ord(c) + j + 1) & mask
-            out[((state ^ (state >> 29)) * 0xBF58476D1CE4E5B9 & mask) >> 48] += 1
+                state = (state * 0x9E3779B1 + ord(c) + j + 1) & mask
+            out[((state ^ (state >> 15)) * 0x85EBCA6B & mask) >> 16] += 1
     return out
 
 
