@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from arcwise.llm import langid, mixing, pieces, quality, runs, sharding, simhash, sketches, substrings, tokencounts, topk, urls
+from arcwise.llm import langid, mixing, phrases, pieces, quality, runs, sharding, simhash, sketches, substrings, tokencounts, topk, urls
 
 QUERIES: dict[str, Callable] = {
     "op1_url_filter": urls.op1_url_filter,
@@ -19,9 +19,11 @@ QUERIES: dict[str, Callable] = {
     "op10_ring_sharding": sharding.op10_ring_sharding,
     "op11_lcp_runs": runs.op11_lcp_runs,
     "op12_gram_bayes": langid.op12_gram_bayes,
+    "op13_prefix_groups": phrases.op13_prefix_groups,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op3_norm_buckets": topk.OP3_SQL,
     "op8_systematic_mix": mixing.OP8_SQL,
+    "op13_prefix_groups": phrases.OP13_SQL,
 }

@@ -69,9 +69,9 @@ class Words:
         return at, _mix((sums[at + size] - sums[at]) * down[at] + _U(size))
 
 
-def find_words(data: np.ndarray, bounds: np.ndarray) -> Words:
-    """Words of the texts that lie in ``data`` between consecutive ``bounds``."""
-    space = SPACE[data]
+def find_words(data: np.ndarray, bounds: np.ndarray, between: np.ndarray = SPACE) -> Words:
+    """Words of the texts that lie in ``data`` between consecutive ``bounds``; ``between`` marks the bytes that separate words."""
+    space = between[data]
     solid = ~space
     opens = solid.copy()
     opens[1:] &= space[:-1]
