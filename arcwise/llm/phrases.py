@@ -395,7 +395,7 @@ WITH pieces AS (
     SELECT lang, sum(len(words))::BIGINT AS n FROM worded GROUP BY lang
 ), cuts AS (
     SELECT c.lang, c.g, c.phrase, c.f AS a, k, x.f AS l, y.f AS r, 2000000::HUGEINT * c.f // (x.f + y.f) AS s
-    FROM counts c, range(1, 4) AS at(k), counts x, counts y
+    FROM counts c, range(1, 4) AS cutting(k), counts x, counts y
     WHERE k < c.m AND x.lang = c.lang AND y.lang = c.lang AND x.phrase = array_to_string(c.g[1:k], ' ') AND y.phrase = array_to_string(c.g[k + 1:], ' ')
 ), lowest AS (
     SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY s, k) AS o FROM cuts
