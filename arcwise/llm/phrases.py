@@ -386,27 +386,35 @@ WITH pieces AS (
     FROM documents
 ), worded AS (
     SELECT lang, list_filter(string_split_regex(piece, '[\x20\x09]+'), lambda w: w <> '') AS words FROM pieces
-), grams AS (
-    SELECT lang, m, unnest(list_transform(range(1, len(words) - m + 2), lambda i: words[i:i + m - 1])) AS g
-    FROM worded, range(1, 5) AS sizes(m) WHERE len(words) >= m
+), starts AS (
+    SELECT lang, words, unnest(range(1, len(words) + 1)) AS i FROM worded
+), spread AS (
+    SELECT lang, words[i] AS w1, words[i + 1] AS w2, words[i + 2] AS w3, words[i + 3] AS w4 FROM starts
 ), counts AS (
-    SELECT lang, m, g, array_to_string(g, ' ') AS phrase, count(*) AS f FROM grams GROUP BY lang, m, g HAVING count(*) >= 30
+    SELECT lang, [w1] AS g, count(*) AS f FROM spread GROUP BY lang, w1 HAVING count(*) >= 30
+    UNION ALL SELECT lang, [w1, w2], count(*) FROM spread WHERE w2 IS NOT NULL GROUP BY lang, w1, w2 HAVING count(*) >= 30
+    UNION ALL SELECT lang, [w1, w2, w3], count(*) FROM spread WHERE w3 IS NOT NULL GROUP BY lang, w1, w2, w3 HAVING count(*) >= 30
+    UNION ALL SELECT lang, [w1, w2, w3, w4], count(*) FROM spread WHERE w4 IS NOT NULL GROUP BY lang, w1, w2, w3, w4 HAVING count(*) >= 30
+), named AS (
+    SELECT lang, g, array_to_string(g, ' ') AS phrase, f FROM counts
 ), totals AS (
-    SELECT lang, sum(len(words))::BIGINT AS n FROM worded GROUP BY lang
+    SELECT lang, count(*) AS n FROM spread GROUP BY lang
+), halves AS (
+    SELECT lang, phrase, f AS a, k, array_to_string(g[1:k], ' ') AS one, array_to_string(g[k + 1:], ' ') AS other
+    FROM (SELECT *, unnest(range(1, len(g))) AS k FROM named)
 ), cuts AS (
-    SELECT c.lang, c.g, c.phrase, c.f AS a, k, x.f AS l, y.f AS r, 2000000::HUGEINT * c.f // (x.f + y.f) AS s
-    FROM counts c, range(1, 4) AS cutting(k), counts x, counts y
-    WHERE k < c.m AND x.lang = c.lang AND y.lang = c.lang AND x.phrase = array_to_string(c.g[1:k], ' ') AND y.phrase = array_to_string(c.g[k + 1:], ' ')
+    SELECT h.lang, h.phrase, a, k, x.f AS l, y.f AS r, 2000000::HUGEINT * a // (x.f + y.f) AS s
+    FROM halves h JOIN named x ON x.lang = h.lang AND x.phrase = h.one JOIN named y ON y.lang = h.lang AND y.phrase = h.other
 ), lowest AS (
-    SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY s, k) AS o FROM cuts
+    SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY s, k) = 1
+), inner_parts AS (
+    SELECT lang, f, array_to_string(g[i:i + m - 1], ' ') AS phrase
+    FROM (SELECT *, unnest(range(1, len(g) - m + 2)) AS i FROM (SELECT *, unnest(range(2, len(g))) AS m FROM named WHERE len(g) > 2))
 ), longer AS (
-    SELECT DISTINCT d.lang, d.phrase
-    FROM (SELECT lang, f, unnest(list_transform(range(1, m - 0), lambda i: array_to_string(g[i:i + 1], ' '))) AS part FROM counts WHERE m > 2
-        UNION ALL SELECT lang, f, unnest(list_transform(range(1, 3), lambda i: array_to_string(g[i:i + 2], ' '))) FROM counts WHERE m > 3) p
-    JOIN counts d ON d.lang = p.lang AND d.phrase = p.part AND 100 * p.f >= 80 * d.f
+    SELECT lang, phrase, max(f) AS most FROM inner_parts GROUP BY lang, phrase
 ), ranked AS (
     SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY s DESC, a DESC, encode(phrase)) AS rank, phrase, a, l, r, s::BIGINT AS score
-    FROM lowest WHERE o = 1 AND NOT EXISTS (SELECT 1 FROM longer x WHERE x.lang = lowest.lang AND x.phrase = lowest.phrase)
+    FROM lowest LEFT JOIN longer USING (lang, phrase) WHERE most IS NULL OR 100 * most < 80 * a
 )
 SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN totals USING (lang) WHERE rank <= 2000
 """
