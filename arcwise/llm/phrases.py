@@ -7,8 +7,12 @@ scan, for the frequent prefixes alone). Prefixes that follow each other are grou
 task, which orders them, so that they are the leaves of a subtree of depth four, and sums leaf totals at its nodes. Prefixes over the budget
 are the tree's top, whose counts the scans give.
 
-Words travel as 63-bit hashes of language and word, with 0 for the end; that no two of them are alike is checked on the whole
-vocabulary, and another seed taken if any are. The texts are read once and written as word numbers, which later scans read.
+A phrase is no more frequent than its words and its pairs of words. So both are first counted by slots of a hash, one for each word of
+the corpus up to a bound, and suffixes end before a word or pair whose slot is too rare. That drops no phrase, and less is dropped where the
+corpus has many more words than there are slots.
+
+Words travel as 62-bit hashes of language and word, with 0 for the end; that no two words of a counted hash are alike is checked,
+and another seed taken if any are. The texts are read once and written as word numbers, which later scans read.
 """
 
 from __future__ import annotations
@@ -24,18 +28,19 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from arcwise.functions.ranking import with_running_sum
-from arcwise.llm.substrings import pack, unpack
+from arcwise.llm.substrings import pack, pack_rising, unpack, unpack_rising
 from arcwise.llm.tables import read, small_batches
 from arcwise.llm.words import find_words, in_units
 from arcwise.storage import forget, materialize
 
-#: Words of the longest phrase; text of a unit; words ordered at a time; bits that tell words that are too rare for any phrase.
-LONGEST, UNIT_BYTES, ORDERED, BITS = 4, 2 << 20, 1 << 21, 1 << 23
+#: Words of the longest phrase; text of a unit; words ordered at a time; most slots (a bit each is broadcast), and slots of a block.
+LONGEST, UNIT_BYTES, ORDERED, MOST_SLOTS, BLOCK_SLOTS = 4, 2 << 20, 1 << 20, 1 << 27, 1 << 16
 #: Suffixes of a group (twice that at most), each of some 200 bytes in the task that orders them.
 BUDGET = 1 << 20
 UNKNOWN = "und"
 KEYS = ["k1", "k2", "k3", "k4"]
-ENCODED = "kind int, lang string, word string, key long, n long, vocabulary binary, ids binary, opens binary"
+ENCODED = "n long, vocabulary binary, ids binary, opens binary, words binary, langs array<string>, of binary"
+COUNTED = "lang string, word string, key long, n long"
 _U = np.uint64
 _BREAK = np.zeros(256, bool)
 _BREAK[[*(ord(c) for c in ".,;:!?"), *range(0x0A, 0x0E)]] = True
@@ -52,7 +57,7 @@ def _mixed(x: np.ndarray) -> np.ndarray:
 
 
 def encoded_units(seed: int):
-    """Each unit as numbers of its words (kind 0) and its vocabulary with counts (kind 1)."""
+    """Each unit as numbers of its words, its vocabulary, and the word and language of each entry."""
 
     def run(batches):
         for piece, data, bounds in in_units(batches, UNIT_BYTES):
@@ -64,22 +69,16 @@ def encoded_units(seed: int):
             salts = np.array([int.from_bytes(hashlib.blake2b(f"{seed} {x}".encode(), digest_size=8).digest()) for x in langs], _U)
             text = np.repeat(np.arange(len(bounds) - 1), np.diff(words.first))
             keys = (_mixed(words.hashes() ^ salts[of_lang[text]]) >> _U(1)) | _U(1)
-            vocabulary, first, ids, n = np.unique(keys, return_index=True, return_inverse=True, return_counts=True)
+            vocabulary, first, ids = np.unique(keys, return_index=True, return_inverse=True)
             breaks = np.concatenate([[0], np.cumsum(_BREAK[data])])[words.starts]
             opens = np.ones(len(keys), bool)
             opens[1:] = (breaks[1:] != breaks[:-1]) | (text[1:] != text[:-1])
             raw = data.tobytes()
-            names = [raw[a:b].decode() for a, b in zip(words.starts[first].tolist(), words.ends[first].tolist(), strict=True)]
-            m = len(vocabulary)
-            none = pa.nulls(m, pa.binary())
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([1] * m, pa.int32()), pa.array(langs[of_lang[text[first]]], pa.string()), pa.array(names, pa.string()), pa.array(vocabulary.astype(np.int64)), pa.array(n, pa.int64()), none, none, none],
-                ["kind", "lang", "word", "key", "n", "vocabulary", "ids", "opens"],
-            )
-            row = {"kind": 0, "n": len(keys), "vocabulary": vocabulary.astype("<u8").tobytes(), "ids": pack(ids), "opens": np.packbits(opens).tobytes()}
+            names = b" ".join([raw[a:b] for a, b in zip(words.starts[first].tolist(), words.ends[first].tolist(), strict=True)])
+            row = [vocabulary.astype("<u8").tobytes(), pack(ids), np.packbits(opens).tobytes(), names]
             yield pa.RecordBatch.from_arrays(
-                [pa.array([0], pa.int32()), *(pa.nulls(1, pa.string()) for _ in range(2)), pa.nulls(1, pa.int64()), pa.array([row["n"]], pa.int64()), *(pa.array([row[c]], pa.binary()) for c in ("vocabulary", "ids", "opens"))],
-                ["kind", "lang", "word", "key", "n", "vocabulary", "ids", "opens"],
+                [pa.array([len(keys)]), *(pa.array([x], pa.binary()) for x in row), pa.array([list(langs)], pa.list_(pa.string())), pa.array([pack(of_lang[text[first]])], pa.binary())],
+                ["n", "vocabulary", "ids", "opens", "words", "langs", "of"],
             )
 
     return run
@@ -98,22 +97,108 @@ def _gathered(batches) -> Iterator[list[tuple]]:
         yield held
 
 
-def _suffixes(units: list[tuple], frequent: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """The vocabulary of some units, their distinct suffixes of two words or more in order, as two numbers each, and how often each comes.
+class Slots:
+    """Which words and pairs may be frequent: packed bits for the slots of their hashes, all of them where there are none yet."""
 
-    A word is twice its place in the vocabulary, from 2 on, so that odd numbers are left for words that fall between; 0 is the end.
-    Suffixes end before words that are surely too rare.
-    """
+    def __init__(self, number: int, words: np.ndarray | None = None, pairs: np.ndarray | None = None):
+        self.number, self.words, self.pairs = number, words, pairs
+
+    def of_words(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys >> _U(1)) % _U(self.number)).astype(np.int64)
+
+    def of_pairs(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return (_mixed(a * _U(0x9E3779B97F4A7C15) + b) % _U(self.number)).astype(np.int64)
+
+    @staticmethod
+    def may_be(bits: np.ndarray | None, slots: np.ndarray) -> np.ndarray:
+        return np.ones(len(slots), bool) if bits is None else (bits[slots >> 3] >> (7 - (slots & 7)).astype(np.uint8) & 1).astype(bool)
+
+
+def _read_units(units: list[tuple], slots: Slots) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The vocabulary of some units, the place of each word in it (-1 for rare ones), and whether it goes on to the next word."""
     vocabulary = np.unique(np.concatenate([np.frombuffer(v, "<u8") for _, v, _, _ in units]))
-    number = np.where(frequent[(vocabulary % _U(BITS)).astype(np.int64)], 2 * np.arange(1, len(vocabulary) + 1), 0)
+    number = np.where(slots.may_be(slots.words, slots.of_words(vocabulary)), np.arange(len(vocabulary)), -1)
     ids = np.concatenate([number[np.searchsorted(vocabulary, np.frombuffer(v, "<u8"))][unpack(i)] for _, v, i, _ in units])
     opens = np.concatenate([np.unpackbits(np.frombuffer(o, np.uint8), count=n).astype(bool) for n, _, _, o in units])
-    n = len(ids)
-    inside, columns = ids > 0, [ids]
+    goes_on = np.zeros(len(ids), bool)
+    at = np.flatnonzero((ids[:-1] >= 0) & (ids[1:] >= 0) & ~opens[1:])
+    goes_on[at[slots.may_be(slots.pairs, slots.of_pairs(vocabulary[ids[at]], vocabulary[ids[at + 1]]))]] = True
+    return vocabulary, ids, goes_on
+
+
+def slot_counts(slots: Slots, pairs: bool, least: int):
+    """How often words or pairs of each slot come in some units, up to ``least``, in one piece for each block of slots."""
+
+    def run(batches):
+        for units in _gathered(batches):
+            vocabulary, ids, goes_on = _read_units(units, slots)
+            if pairs:
+                at = np.flatnonzero(goes_on)
+                found = slots.of_pairs(vocabulary[ids[at]], vocabulary[ids[at + 1]])
+            else:
+                found = slots.of_words(vocabulary)[ids]
+            which, times = np.unique(found, return_counts=True)
+            cuts = np.searchsorted(which, np.arange(0, slots.number + BLOCK_SLOTS, BLOCK_SLOTS))
+            times = np.minimum(times, least)
+            rows = [(int(k), pack_rising(which[cuts[k] : cuts[k + 1]] - k * BLOCK_SLOTS), pack(times[cuts[k] : cuts[k + 1]])) for k in np.flatnonzero(np.diff(cuts))]
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.binary(), pa.binary()), strict=True)], ["block", "slots", "times"])
+
+    return run
+
+
+def block_bits(least: int):
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        total = np.zeros(BLOCK_SLOTS, np.int64)
+        for which, times in zip(group.slots, group.times, strict=True):
+            total[unpack_rising(which)] += unpack(times)
+        return pd.DataFrame({"block": group.block[:1], "bits": [np.packbits(total >= least).tobytes()]})
+
+    return run
+
+
+def _frequent_slots(units: DataFrame, slots: Slots, pairs: bool, least: int) -> np.ndarray:
+    """A bit for each slot whose words or pairs come ``least`` times or more; MOST_SLOTS bits at most come to the driver."""
+    parts = units.mapInArrow(slot_counts(slots, pairs, least), "block int, slots binary, times binary")
+    bits = np.zeros(slots.number // 8, np.uint8)
+    for row in parts.groupBy("block").applyInPandas(block_bits(least), "block int, bits binary").toLocalIterator():
+        bits[row.block * BLOCK_SLOTS // 8 : (row.block + 1) * BLOCK_SLOTS // 8] = np.frombuffer(row.bits, np.uint8)
+    return bits
+
+
+def counted_words(slots: Slots):
+    """Each unit's words that may be frequent, with their counts; and under key 0 all words of each language."""
+
+    def run(batches):
+        for batch in batches:
+            for row in batch.to_pylist():
+                vocabulary, of = np.frombuffer(row["vocabulary"], "<u8"), unpack(row["of"])
+                n = np.bincount(unpack(row["ids"]), minlength=len(vocabulary))
+                kept = np.flatnonzero(slots.may_be(slots.words, slots.of_words(vocabulary)))
+                words, langs = row["words"].split(b" "), row["langs"]
+                totals = np.bincount(of, n, minlength=len(langs)).astype(np.int64)
+                names = [words[k].decode() for k in kept]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([langs[k] for k in of[kept]] + langs, pa.string()), pa.array(names + [None] * len(langs), pa.string()), pa.array(np.append(vocabulary[kept].astype(np.int64), [0] * len(langs)), pa.int64()), pa.array(np.append(n[kept], totals), pa.int64())],
+                    ["lang", "word", "key", "n"],
+                )
+
+    return run
+
+
+def _suffixes(units: list[tuple], slots: Slots) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The vocabulary of some units, their distinct suffixes of two words or more in order, as two numbers each, and how often each comes.
+
+    A word is twice its place in the vocabulary, from 2 on, so that odd numbers are left for words that fall between; 0 is the end.
+    Suffixes end before words and pairs that are surely too rare.
+    """
+    vocabulary, ids, goes_on = _read_units(units, slots)
+    n, number = len(ids), 2 * ids + 2
+    inside, columns = np.ones(n, bool), [number]
     for j in range(1, LONGEST):
-        inside = inside[: n - j] & ~opens[j:] & (ids[j:] > 0) if n > j else np.zeros(0, bool)
+        inside = inside[: max(n - j, 0)] & goes_on[j - 1 : n - 1]
         column = np.zeros(n, np.int64)
-        column[: len(inside)][inside] = ids[j:][inside]
+        column[: len(inside)][inside] = number[j:][inside]
         columns.append(column)
     kept = columns[1] > 0
     high, low = ((a[kept] << 32 | b[kept]) for a, b in (columns[:2], columns[2:]))
@@ -151,12 +236,12 @@ def _hashes(vocabulary: np.ndarray, high: np.ndarray, low: np.ndarray) -> np.nda
     return np.append(np.zeros(1, _U), vocabulary)[numbers >> 1]
 
 
-def longer_prefixes(hot: np.ndarray, words: int, frequent: np.ndarray):
+def longer_prefixes(hot: np.ndarray, words: int, slots: Slots):
     """Counts of the prefixes of ``words`` words that go on from the prefixes ``hot`` of one word less; an end counts as a word."""
 
     def run(batches):
         for units in _gathered(batches):
-            vocabulary, high, low, times = _suffixes(units, frequent)
+            vocabulary, high, low, times = _suffixes(units, slots)
             a = _places(hot, vocabulary, high, low)
             b = _places(hot, vocabulary, high, low, words - 1)
             own = np.concatenate([np.arange(x, y) for x, y in zip(a, b, strict=True)]).astype(np.int64)
@@ -171,12 +256,12 @@ def longer_prefixes(hot: np.ndarray, words: int, frequent: np.ndarray):
     return run
 
 
-def grouped_suffixes(cuts: np.ndarray, leaves: np.ndarray, frequent: np.ndarray):
+def grouped_suffixes(cuts: np.ndarray, leaves: np.ndarray, slots: Slots):
     """Distinct suffixes with their counts, in one piece for each group between two cuts; leaves of the tree's top stay away."""
 
     def run(batches):
         for units in _gathered(batches):
-            vocabulary, high, low, times = _suffixes(units, frequent)
+            vocabulary, high, low, times = _suffixes(units, slots)
             if len(leaves):
                 at = _places(leaves, vocabulary, high, low)
                 end = _places(leaves, vocabulary, high, low, LONGEST)
@@ -230,18 +315,6 @@ def subtree_counts(least: int):
     return run
 
 
-def _frequent_bits(words: DataFrame, least: int) -> np.ndarray:
-    """A bit for each remainder of hashes that a word of ``least`` occurrences has."""
-    bit = F.col("key") % BITS + 1
-    maps = words.where(F.col("f") >= least).groupBy(F.bitmap_bucket_number(bit).alias("at")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(bit)).alias("bits"))
-    out = np.zeros(BITS, bool)
-    # at most BITS / 2 ** 15 rows of 4 KB
-    for row in maps.collect():
-        raw = np.unpackbits(np.frombuffer(row.bits, np.uint8), bitorder="little").astype(bool)
-        out[(row["at"] - 1) << 15 : row["at"] << 15] = raw
-    return out
-
-
 def _rows(df: DataFrame) -> np.ndarray:
     table = df.select(*KEYS).toPandas()
     return np.ascontiguousarray(table.sort_values(KEYS).to_numpy(np.int64).reshape(-1, LONGEST)).view(_U)
@@ -250,7 +323,7 @@ def _rows(df: DataFrame) -> np.ndarray:
 def phrase_counts(docs: DataFrame, least: int, budget: int = BUDGET, seed: int = 0) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Words, phrases and hot phrases of ``lang, text``.
 
-    The words have ``lang, word, key, f``, all of them; the phrases ``k1`` to ``k4`` (keys of their words, 0 where they are
+    The words have ``lang, word, key, f``: those of ``least`` occurrences or more, and under key 0 the number of all words of each language; the phrases ``k1`` to ``k4`` (keys of their words, 0 where they are
     shorter) and ``f``, all of two to four words with ``least`` occurrences or more; the hot ones are words and phrases of more than
     ``budget`` occurrences, of which there are at most four times the occurrences over the budget.
     """
@@ -259,14 +332,19 @@ def phrase_counts(docs: DataFrame, least: int, budget: int = BUDGET, seed: int =
     zero = F.lit(0).cast("long")
     while True:
         coded = materialize(docs.mapInArrow(encoded_units(seed), ENCODED), "coded")
-        words = materialize(coded.where("kind = 1").groupBy("lang", "word", "key").agg(F.sum("n").alias("f")), "words")
-        if words.groupBy("key").count().where("count > 1").isEmpty():
+        units = coded.select("n", "vocabulary", "ids", "opens")
+        size = units.agg(F.sum("n")).first()[0] or 0
+        slots = Slots(min(MOST_SLOTS, max(BLOCK_SLOTS, 1 << int(size).bit_length())))
+        slots.words = _frequent_slots(units, slots, False, least)
+        summed = coded.select("vocabulary", "ids", "words", "langs", "of").mapInArrow(counted_words(slots), COUNTED).groupBy("lang", "word", "key").agg(F.sum("n").alias("f"))
+        words = materialize(summed, "words")
+        if words.where("key <> 0").groupBy("key").count().where("count > 1").isEmpty():
             break
         forget(coded, words)
         seed += 1
-    units = coded.where("kind = 0").select("n", "vocabulary", "ids", "opens")
-    frequent = _frequent_bits(words, least)
-    level = words.select(F.col("key").alias("k1"), *(zero.alias(k) for k in KEYS[1:]), "f")
+    words = words.where((F.col("f") >= least) | (F.col("key") == 0))
+    slots.pairs = _frequent_slots(units, slots, True, least)
+    level = words.where("key <> 0").select(F.col("key").alias("k1"), *(zero.alias(k) for k in KEYS[1:]), "f")
     items, tops, leaves = [], [], [np.zeros((0, LONGEST), _U)]
     for depth in range(1, LONGEST + 1):
         # prefixes over the budget: at most the number of words over the budget
@@ -278,14 +356,14 @@ def phrase_counts(docs: DataFrame, least: int, budget: int = BUDGET, seed: int =
         hot = _rows(over.where(F.col(KEYS[depth - 1]) != 0))
         if depth == LONGEST or not len(hot):
             break
-        more = units.mapInArrow(longer_prefixes(hot, depth + 1, frequent), "k1 long, k2 long, k3 long, k4 long, f long")
+        more = units.mapInArrow(longer_prefixes(hot, depth + 1, slots), "k1 long, k2 long, k3 long, k4 long, f long")
         level = materialize(more.groupBy(*KEYS).agg(F.sum("f").alias("f")), "level")
     hot = materialize(reduce(DataFrame.union, tops), "hot")
     summed = with_running_sum(reduce(DataFrame.union, items), [F.col(k) for k in KEYS], F.col("f"))
     first = summed.groupBy(F.expr(f"(total - f) div {budget}").alias("grp")).agg(F.min(F.struct(*KEYS)).alias("first"))
     # one row for each group
     cuts = _rows(first.select("first.*"))
-    pieces = units.mapInArrow(grouped_suffixes(cuts, np.concatenate(leaves), frequent), "grp int, vocabulary binary, ids binary, times binary")
+    pieces = units.mapInArrow(grouped_suffixes(cuts, np.concatenate(leaves), slots), "grp int, vocabulary binary, ids binary, times binary")
     nodes = pieces.groupBy("grp").applyInPandas(subtree_counts(least), "k1 long, k2 long, k3 long, k4 long, f long")
     # nodes of the top are cut in parts by groups; their counts are known
     below = nodes.join(F.broadcast(hot.select(*KEYS)), KEYS, "left_anti").select(*KEYS, "f")
@@ -318,7 +396,7 @@ def _inner(phrases: DataFrame) -> DataFrame:
     return phrases.select("f", F.explode(listed).alias("inner")).select("inner.*", F.lit(7).alias("slot"), "f")
 
 
-def scored_phrases(words: DataFrame, phrases: DataFrame, hot: DataFrame, least: int, share: int) -> DataFrame:
+def scored_phrases(words: DataFrame, phrases: DataFrame, hot: DataFrame, share: int) -> DataFrame:
     """``k1`` to ``k4, a, l, r, score`` of the phrases that no longer one with ``share`` percent of their occurrences holds.
 
     A part's count is looked up among the hot ones, which are broadcast, and else by a join, in which a part that is not hot has at
@@ -326,7 +404,7 @@ def scored_phrases(words: DataFrame, phrases: DataFrame, hot: DataFrame, least:
     """
     zero = F.lit(0).cast("long")
     columns = ["p1", "p2", "p3"]
-    known = words.where(F.col("f") >= least).select(F.col("key").alias("p1"), zero.alias("p2"), zero.alias("p3"), "f")
+    known = words.where("key <> 0").select(F.col("key").alias("p1"), zero.alias("p2"), zero.alias("p3"), "f")
     known = known.union(phrases.where("k4 = 0").select("k1", "k2", "k3", "f"))
     top = hot.where("k4 = 0").select(F.col("k1").alias("p1"), F.col("k2").alias("p2"), F.col("k3").alias("p3"), F.col("f").alias("top"))
     parts = _parts(phrases).join(F.broadcast(top), columns, "left")
@@ -357,8 +435,8 @@ def collocations(docs: DataFrame, least: int = 30, share: int = 80, top: int = 2
     """
     texts = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit(UNKNOWN)).alias("lang"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     words, phrases, hot = phrase_counts(texts, least, budget)
-    scored = scored_phrases(words, phrases, hot, least, share)
-    named = words.where(F.col("f") >= least)
+    scored = scored_phrases(words, phrases, hot, share)
+    named = words.where("key <> 0")
     # the language comes with the first word, of hot words by a broadcast
     first = named.select(F.col("key").alias("k1"), "lang")
     few = F.broadcast(first.join(F.broadcast(hot.where("k2 = 0").select("k1")), "k1", "left_semi"))
@@ -371,7 +449,7 @@ def collocations(docs: DataFrame, least: int = 30, share: int = 80, top: int = 2
         spelled = spelled.join(named.select(F.col("key").alias(k), F.col("word").alias(f"w{i}")), k, "left")
     spelled = spelled.withColumn("phrase", F.concat_ws(" ", *(f"w{i}" for i in range(LONGEST))))
     ranked = spelled.withColumn("rank", F.row_number().over(high.orderBy(F.desc("score"), F.desc("a"), "phrase")).cast("long")).where(F.col("rank") <= top)
-    totals = words.groupBy("lang").agg(F.sum("f").alias("n"))
+    totals = words.where("key = 0").select("lang", F.col("f").alias("n"))
     return ranked.join(totals, "lang").select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
 
 

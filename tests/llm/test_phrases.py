@@ -70,14 +70,17 @@ def test_small_units(spark, monkeypatch):
     rows = [(lang or "und", text or "") for lang, text in some_rows(60)]
     batch = pa.RecordBatch.from_pydict({"lang": [r[0] for r in rows], "text": [r[1] for r in rows]})
     coded = [b for b in phrases.encoded_units(0)(iter([batch]))]
-    units = pa.Table.from_batches([b for b in coded if b.column("kind")[0].as_py() == 0])
-    words = {(x["lang"], x["word"]): x["key"] for b in coded if b.column("kind")[0].as_py() for x in b.to_pylist()}
+    slots = phrases.Slots(1 << 16)
+    words = {(x["lang"], x["word"]): x["key"] for b in phrases.counted_words(slots)(iter(coded)) for x in b.to_pylist()}
+    totals = Counter()
+    for b in phrases.counted_words(slots)(iter(coded)):
+        totals.update({x["lang"]: x["n"] for x in b.to_pylist() if x["key"] == 0})
+    words = {k: v for k, v in words.items() if v}
     names = {k: w for (_, w), k in words.items()}
     langs = {k: lang for (lang, _), k in words.items()}
-    every = np.ones(phrases.BITS, bool)
     cuts = np.sort(np.array(list(words.values()), np.uint64))[::5]
     cuts = np.stack([cuts, *[np.zeros(len(cuts), np.uint64)] * 3], 1)
-    pieces = [b.to_pandas() for b in phrases.grouped_suffixes(cuts, np.zeros((0, 4), np.uint64), every)(units.to_batches())]
+    pieces = [b.to_pandas() for b in phrases.grouped_suffixes(cuts, np.zeros((0, 4), np.uint64), slots)(iter(coded))]
     found = {}
     import pandas as pd
 
@@ -87,14 +90,16 @@ def test_small_units(spark, monkeypatch):
             key = langs[keys[0]], tuple(names[k] for k in keys)
             assert key not in found
             found[key] = f
-    want = Counter()
+    want, all_words = Counter(), Counter()
     lower = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
     for lang, text in rows:
         for piece in re.split(r"[.,;:!?\x0A-\x0D]", text.translate(lower)):
             w = re.findall(r"[^\x20\x09]+", piece)
+            all_words[lang] += len(w)
             for m in (2, 3, 4):
                 want.update((lang, tuple(w[k : k + m])) for k in range(len(w) - m + 1))
     assert found == want
+    assert totals == Counter({lang: n for lang, n in all_words.items() if n})
 
 
 def test_ties_and_empty(spark):
@@ -122,8 +127,8 @@ def test_colliding_words(spark, monkeypatch):
             import pyarrow as pa
 
             for b in run(batches):
-                keys = b.column("key")
-                yield b.set_column(3, "key", pa.array([7 if k is not None else None for k in keys.to_pylist()], pa.int64()))
+                keys = np.full(len(b.column("vocabulary")[0].as_py()) // 8, 7, "<u8")
+                yield b.set_column(1, "vocabulary", pa.array([keys.tobytes()], pa.binary()))
 
         return same if seed == 0 else run
 
