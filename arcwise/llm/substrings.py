@@ -260,26 +260,30 @@ def maximal_repeats(size: int):
     return run
 
 
-def without_repeats(batches):
-    """Each text without the words that a repeat covers, joined by spaces."""
-    for batch in batches:
-        words, removed, kept = [], [], []
-        for text, runs in zip(batch.column("text"), batch.column("repeats").to_pylist(), strict=True):
-            found = (text.as_py() or "").encode().split()
-            words.append(len(found))
-            if runs:
+def without_repeats(others: list[str], whole: bool):
+    """Each text without the words that a repeat covers, joined by spaces; with ``whole`` texts that lose nothing as they are."""
+
+    def run(batches):
+        for batch in batches:
+            words, removed, kept = [], [], []
+            for text, runs in zip(batch.column("text"), batch.column("repeats").to_pylist(), strict=True):
+                text = text.as_py()
+                found = (text or "").encode().split()
+                words.append(len(found))
                 gone = np.zeros(len(found), bool)
-                for r in runs:
+                for r in runs or ():
                     gone[r["start"] : r["start"] + r["n_words"]] = True
                 removed.append(int(gone.sum()))
-                found = [found[i] for i in np.flatnonzero(~gone)]
-            else:
-                removed.append(0)
-            kept.append(b" ".join(found).decode())
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), pa.array(words, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.string())],
-            ["doc_id", "n_words", "n_removed", "kept"],
-        )
+                if whole and not removed[-1]:
+                    kept.append(text)
+                else:
+                    kept.append(b" ".join([found[i] for i in np.flatnonzero(~gone)] if removed[-1] else found).decode())
+            yield pa.RecordBatch.from_arrays(
+                [*(batch.column(c) for c in ["doc_id", *others]), pa.array(words, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.string())],
+                ["doc_id", *others, "n_words", "n_removed", "kept"],
+            )
+
+    return run
 
 
 def exact_repeats(docs: DataFrame, size: int = 20, bits: int = 64) -> DataFrame:
@@ -301,23 +305,26 @@ def exact_repeats(docs: DataFrame, size: int = 20, bits: int = 64) -> DataFrame:
     return later.groupBy("unit").applyInPandas(maximal_repeats(size), f"doc_id long, repeats {RUNS}")
 
 
-def remove_repeats(docs: DataFrame, size: int = 20) -> DataFrame:
-    """``doc_id, n_words, n_removed, kept`` of ``doc_id, text``.
+def remove_repeats(docs: DataFrame, size: int = 20, whole: bool = False) -> DataFrame:
+    """``docs`` with ``n_words, n_removed, kept`` in place of ``text``.
 
     A word goes if a window of ``size`` words (19 or more) covers it whose words
     also start earlier: in a smaller doc_id, or before it in the same text.
-    ``kept`` holds the other words, joined by one space. Null, empty and short
-    texts lose nothing; null gives an empty ``kept``. Rows without a doc_id take no part; of
+    ``kept`` holds the other words, joined by one space; with ``whole`` a text that loses nothing is kept as it is. Null, empty and short
+    texts lose nothing; null gives an empty ``kept``, with ``whole`` null. Rows without a doc_id take no part; of
     rows that repeat one, that with the least text is the document. An empty
-    table gives an empty result. Other columns are ignored.
+    table gives an empty result. Other columns are kept, but for those named ``n_words``, ``n_removed``, ``kept`` or ``repeats``.
     """
     small_batches(docs.sparkSession)
-    docs = one_row_per_id(docs, "doc_id", "text")
+    others = [c for c in docs.columns if c.lower() not in ("doc_id", "text", "n_words", "n_removed", "kept", "repeats")]
+    docs = one_row_per_id(docs, "doc_id", "text", *others)
+    # texts move twice in all: to the places of their anchors, and here, with the other columns, to their repeats
     found = docs.join(exact_repeats(docs, size), "doc_id", "left")
-    return found.mapInArrow(without_repeats, "doc_id long, n_words long, n_removed long, kept string")
+    schema = docs.select("doc_id", *others).schema.add("n_words", "long").add("n_removed", "long").add("kept", "string")
+    return found.mapInArrow(without_repeats(others, whole), schema)
 
 
 def op7_block_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that repeat an earlier run of 20, over all documents."""
-    done = remove_repeats(read(spark, sf_dir, "documents"))
+    done = remove_repeats(read(spark, sf_dir, "documents").select("doc_id", "text"))
     return done.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
