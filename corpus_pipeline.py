@@ -54,13 +54,13 @@ def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     Rows are told apart by ``keyed_rows``, whose order says what came before, so rows that repeat an id or have none keep
     their own texts. A row of which nothing is left goes; one that had no words stays. An empty table gives an empty one.
     """
-    keyed = keyed_rows(docs)
-    done = remove_repeats(keyed).select("doc_id", "n_removed", "kept")
-    text = F.when(F.col("n_removed") > 0, F.col("kept")).otherwise(F.col("_row.text"))
-    left = keyed.join(done, "doc_id").where("n_removed = 0 OR kept <> ''").select("_row", text.alias("text"))
-    chars = F.length("text").cast(dict(docs.dtypes).get("n_chars", "long"))
-    own = {"text": F.col("text"), "n_chars": chars}
-    return left.select(*[own.get(c, F.col("_row")[c]).alias(c) for c in docs.columns])
+    # all columns but the text travel as one, so that the text moves once and no name can clash
+    own = [c for c in docs.columns if c != "text"]
+    keyed = keyed_rows(docs).select("doc_id", "text", F.struct(*[F.col("_row")[c].alias(c) for c in own]).alias("_own"))
+    left = remove_repeats(keyed, whole=True).where("n_removed = 0 OR kept <> ''")
+    chars = F.length("kept").cast(dict(docs.dtypes).get("n_chars", "long"))
+    made = {"text": F.col("kept"), "n_chars": chars}
+    return left.select(*[made.get(c, F.col("_own")[c]).alias(c) for c in docs.columns])
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
