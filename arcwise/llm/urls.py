@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import random
+
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import CountVectorizerModel, Normalizer
 from pyspark.sql import DataFrame, SparkSession
@@ -10,7 +12,7 @@ from pyspark.sql import functions as F
 from arcwise.llm.tables import read
 
 #: Hash buckets, n-gram sizes, the most labelled rows that training takes, and the weight of the squared weights.
-BUCKETS, SIZES, LABELLED, PENALTY = 4096, (3, 4, 5), 10_000, 1e-6
+BUCKETS, SIZES, LABELLED, PENALTY = 1 << 13, (3, 4, 5), 10_000, 3e-6
 
 #: General words of the trades that filter lists block, and of everyday sites; a site's name is made of two of a kind.
 BLOCKED_WORDS = (
@@ -29,7 +31,9 @@ ALLOWED_WORDS = (
 #: Never trained on: words of both kinds for the figures of the README.
 KEPT_OUT_BLOCKED = "blackjack sportsbook pharmacy cialisonline xxxvideos sexcam adclick popunder loanshark phishing".split()
 KEPT_OUT_ALLOWED = "lighthouse carpentry astronomy vineyard violin choir bookshop meadow gazette botany".split()
-PATHS = ("/", "/about", "/2021/05/post.html", "/en/index")
+#: Parts that invented names are made of, by rule: clean hosts are mostly names that no word list has.
+ONSETS, VOWELS, ENDS = "b bl br c ch cl d dr f fl g gr h j k l m n p pl pr qu r s sh sl st t th tr v w wh z".split(), "a e i o u ai ea ee io ou".split(), "n r l s t m d nd ng nt rd st sh th ck x".split()
+PREFIXES, DOMAINS, LANGS = ("", "www.", "blog.", "m.", "news.", "img2."), ("com", "net", "org", "info", "example.com", "example.org", "co.uk"), ("en", "de", "fr", "es", "it")
 
 RULES = (("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/"))
 
@@ -39,18 +43,44 @@ def site_names(words: list[str], step: int) -> list[str]:
     return [f"{w}{('', '-', str(i))[i % 3]}{words[(i + step) % len(words)]}" for i, w in enumerate(words)]
 
 
-def labelled_urls(spark: SparkSession) -> DataFrame:
-    """``url, label`` (1: block): each name under some hosts, and each blocked word in a path of an everyday host."""
-    ends, prefixes, rows = ("com", "net", "org", "info"), ("", "www.", "blog.", "m."), []
-    for label, words, steps in ((1, BLOCKED_WORDS, (7, 18)), (0, ALLOWED_WORDS, (11, 29))):
-        for step in steps:
-            for i, name in enumerate(site_names(words, step)):
-                for j in (0, 1):
-                    rows.append((f"https://{prefixes[(i + j) % 4]}{name}.{ends[(i + 2 * j) % 4]}{PATHS[(i + j) % 4]}", label))
-    for i, word in enumerate(BLOCKED_WORDS):
-        rows.append((f"https://{ALLOWED_WORDS[i]}.{ends[i % 4]}/{word}/{i}", 1))
-    for i, word in enumerate(ALLOWED_WORDS):
-        rows.append((f"https://{ALLOWED_WORDS[-i]}.{ends[i % 4]}/{word}/{i}", 0))
+def invented_names(n: int, seed: int) -> list[str]:
+    """Names of one to four made-up syllables, some without a vowel, some with a hyphen or a number."""
+    r, out = random.Random(seed), []
+    for _ in range(n):
+        parts = []
+        for _ in range(r.choice((1, 2, 2, 3, 4))):
+            parts.append(r.choice((r.choice(ONSETS) + r.choice(VOWELS), r.choice(VOWELS) + r.choice(ENDS), r.choice(ONSETS) + r.choice(VOWELS) + r.choice(ENDS), r.choice(ONSETS) + r.choice(ENDS))))
+        out.append(r.choice(("", "", "", "-")).join(parts) + r.choice(("", "", "", "", str(r.randrange(2000)), "-" + r.choice("xyz"))))
+    return out
+
+
+def any_path(r: random.Random, word: str) -> str:
+    """A path of one of many shapes, with ``word`` in some."""
+    n = r.randrange(10_000)
+    day = f"{r.randrange(1998, 2024)}/{r.randrange(1, 13):02}"
+    shapes = ("", "/", "/about", f"/{r.choice(LANGS)}/{n}", f"/{r.choice(LANGS)}/{n}.html", f"/{r.choice(LANGS)}/{n}/", f"/{day}/post.html", f"/index.php/{n}", f"/{word}", f"/tag/{word}/page/{n % 9}", f"/a/{word}/{'-'.join(invented_names(3, n))}/{n}")
+    return r.choice(shapes)
+
+
+def labelled_urls(spark: SparkSession, seed: int = 5, without: tuple[str, ...] = ()) -> DataFrame:
+    """``url, label`` (1: block): blocked words in names and paths, beside clean names of many shapes.
+
+    Half are clean: invented names (most), everyday words, pairs of them and plain numbers. Blocked words come alone, in pairs, and with clean or
+    invented names before or behind them; on both sides hosts, endings and paths are drawn alike. Words in ``without`` are left out.
+    """
+    r, rows = random.Random(seed), []
+    blocked, allowed = ([w for w in words if w not in without] for words in (BLOCKED_WORDS, ALLOWED_WORDS))
+    clean = invented_names(7000, seed) + allowed + site_names(allowed, 11) + site_names(allowed, 29) + [str(r.randrange(10**6)) for _ in range(40)]
+    names = [(name, 0, r.choice(clean)) for name in clean]
+    for word in blocked:
+        for k in range(40):
+            other, glue = r.choice(clean), r.choice(("", "", "-", str(k % 10)))
+            name = (word, f"{word}{glue}{other}", f"{other}{glue}{word}", f"{word}{glue}{r.choice(blocked)}", f"{word}-{r.choice('xyz')}")[k % 5]
+            names.append((name, 1, r.choice(clean)))
+    for name, label, word in names:
+        rows.append((f"{r.choice(('http', 'https'))}://{r.choice(PREFIXES)}{name}.{r.choice(DOMAINS)}{any_path(r, word)}", label))
+    for word in blocked:
+        rows += [(f"https://{r.choice(PREFIXES)}{r.choice(clean)}.{r.choice(DOMAINS)}/{word}/{k}", 1) for k in range(6)]
     return spark.createDataFrame(rows, "url string, label int")
 
 
