@@ -763,8 +763,8 @@ def completed_order(spark, sf):
 
 
 @query(f"""WITH {OR}, a AS (SELECT src, dst FROM orr UNION ALL SELECT dst, src FROM orr), d AS (SELECT id, count(src) AS d FROM orv LEFT JOIN a ON src = id GROUP BY 1), p AS (SELECT id, row_number() OVER (ORDER BY d, id) AS pos FROM d),
-l AS (SELECT a.src AS v, a.dst AS u, y.pos FROM a JOIN p x ON x.id = a.src JOIN p y ON y.id = a.dst WHERE x.pos < y.pos), f AS (SELECT v, min_by(u, pos) AS n FROM l GROUP BY v)
-SELECT count(*) = 0 AS eliminates FROM l JOIN f USING (v) LEFT JOIN orr ON orr.src = least(u, n) AND orr.dst = greatest(u, n) WHERE u <> n AND orr.src IS NULL""")
+l AS (SELECT a.src AS v, a.dst AS u, y.pos FROM a JOIN p x ON x.id = a.src JOIN p y ON y.id = a.dst WHERE x.pos < y.pos), f AS (SELECT v, min_by(u, pos) AS nx FROM l GROUP BY v)
+SELECT count(*) = 0 AS eliminates FROM l JOIN f USING (v) LEFT JOIN orr ON orr.src = least(u, nx) AND orr.dst = greatest(u, nx) WHERE u <> nx AND orr.src IS NULL""")
 def order_check(spark, sf):
     """Rings of four lines or more are not eliminated by any order."""
     g = order_rings(spark, sf).written()
