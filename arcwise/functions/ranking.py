@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from arcwise.storage import materialize
+from arcwise.storage import forget, materialize
 
 
 def free_names(df: DataFrame, *names: str, but: str = "") -> list[str]:
@@ -61,3 +61,22 @@ def with_running_sum(df: DataFrame, order: list, value, total: str = "total") ->
     summed = laid.withColumn(run, F.sum(own).over(within))
     # at most one row per range: the bound is the session's partition number
     return summed.join(F.broadcast(starts), part).withColumn(total, F.col(start) + F.col(run)).drop(own, part, run, start)
+
+
+def list_ranks(links: DataFrame, max_rounds: int = 64) -> DataFrame:
+    """``id, last, steps`` for lists ``id, next``: the list's last row, and how many links lead there (0 for itself).
+
+    ``next`` is null at a list's end, and no two rows have the same one. Pointers double in each round, so a list takes
+    as many rounds as its length has bits. Only rows that are not at their end yet look further, each at a row of its
+    own, so no key is asked for twice. A ring has no end and is an error.
+    """
+    state = links.select("id", F.coalesce("next", "id").alias("last"), F.when(F.col("next").isNull(), 0).otherwise(1).cast("long").alias("steps"), F.col("next").isNull().alias("done"))
+    state = materialize(state, "ranks")
+    for _ in range(max_rounds):
+        if not state.where("NOT done").limit(1).count():
+            return state.select("id", "last", "steps")
+        ahead = state.select(F.col("id").alias("last"), F.col("last").alias("_last"), F.col("steps").alias("_steps"), F.col("done").alias("_done"))
+        moved = state.where("NOT done").join(ahead, "last").select("id", F.col("_last").alias("last"), (F.col("steps") + F.col("_steps")).alias("steps"), F.col("_done").alias("done"))
+        old, state = state, materialize(state.where("done").union(moved), "ranks")
+        forget(old)
+    raise ValueError("a list has no end")

@@ -863,6 +863,22 @@ def isomorphic_copy(spark, sf):
     return one_row(spark, pairs=found["pairs"], mapped=found["mapped"], wrong=wrong, unlike=m.where("pair_id % 2 = 1").count())
 
 
+@query("SELECT CAST(1 AS BIGINT) AS holds, CAST(0 AS BIGINT) AS holds_reversed, CAST(0 AS BIGINT) AS holds_cut, count(*) AS mapped FROM lineitem")
+def isomorphism_checked(spark, sf):
+    """All orders' rings as one graph, mapped on a copy under other names; the check accepts that, but neither a mapping without a rule nor one with a row less."""
+    g = order_rings(spark, sf).written()
+    other = lambda c: (-2 * F.col(c) - 5).alias(c)
+    copy = Graph(g.vertices.select(other("id")), g.edges.select(F.least(other("src"), other("dst")).alias("src"), F.greatest(other("src"), other("dst")).alias("dst"))).written()
+    both = lambda of: of(g).withColumn("graph_id", F.lit(0)).union(of(copy).withColumn("graph_id", F.lit(1)))
+    pair = spark.createDataFrame([(0, 0, 1)], "pair_id int, graph_a int, graph_b int")
+    m = isomorphism.find_isomorphism(pair, both(lambda x: x.vertices.select("id")), both(lambda x: x.edges.select("src", "dst")))
+    m = materialize(m.select("id_a", "id_b"))
+    n = g.vertex_count()
+    backward = g.vertices.select(F.col("id").alias("id_a"), (-2 * (F.lit(n - 1) - F.xxhash64("id") % 2 - F.col("id")) - 5).alias("id_b"))
+    one_less = m.join(m.agg(F.min("id_a").alias("id_a")), "id_a", "left_anti")
+    return one_row(spark, holds=isomorphism.check_isomorphism(g, copy, m), holds_reversed=isomorphism.check_isomorphism(g, copy, backward), holds_cut=isomorphism.check_isomorphism(g, copy, one_less), mapped=m.count())
+
+
 # -- rotation systems
 
 

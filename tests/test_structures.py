@@ -6,6 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from arcwise.functions.ranking import list_ranks
 from arcwise.operators import chordal, coloring, flow, isomorphism, layout, matching, rotation, tours
 from arcwise.operators.graph import Graph
 from arcwise.operators.multigraph import MultiGraph
@@ -204,6 +205,61 @@ def test_isomorphism_of_twins_and_regular_graphs(spark):
     assert isomorphism.find_isomorphism(pairs, v.limit(0), e.limit(0)).count() == 0
 
 
+def test_isomorphism_by_parts(spark):
+    """Rings, paths, single vertices and pieces that are neither, many of them equal, in two graphs under other names."""
+    paw = [(0, 1), (1, 2), (0, 2), (2, 3)]
+    shapes = [(5, [(i, (i + 1) % 5) for i in range(5)])] * 6 + [(3, [(0, 1), (1, 2), (0, 2)])] * 2 + [(1, [])] * 3 + [(2, [(0, 1)])] * 2 + [(4, [(0, 1), (1, 2), (2, 3)])] + [(4, paw)] * 7
+    shapes += [(4, [(0, 1), (0, 2), (0, 3)])] * 2
+
+    def laid(seed, all_shapes):
+        n = sum(k for k, _ in all_shapes)
+        turn, at, edges = random.Random(seed).sample(range(n), n), 0, set()
+        for k, es in random.Random(seed).sample(all_shapes, len(all_shapes)):
+            edges |= {tuple(sorted((turn[at + a], turn[at + b]))) for a, b in es}
+            at += k
+        return n, edges
+
+    other = [*shapes[:-1], (4, paw)]
+    named = {1: laid(1, shapes), 2: laid(2, shapes), 3: laid(3, other)}
+    v = spark.createDataFrame([(k, i) for k, (n, _) in named.items() for i in range(n)], "graph_id long, id long")
+    e = spark.createDataFrame([(k, a, b) for k, (_, es) in named.items() for a, b in es], "graph_id long, src long, dst long")
+    rows = isomorphism.find_isomorphism(spark.createDataFrame([(1, 1, 2), (2, 2, 3), (3, 3, 1)], "pair_id long, graph_a long, graph_b long"), v, e).collect()
+    assert {r.pair_id for r in rows} == {1}
+    to = {r.id_a: r.id_b for r in rows}
+    assert sorted(to) == sorted(to.values()) == list(range(named[1][0]))
+    assert {tuple(sorted((to[a], to[b]))) for a, b in named[1][1]} == named[2][1]
+
+
+def test_isomorphism_of_long_and_of_many_rings(spark):
+    """One ring of 10,000 vertices, and 10,000 rings of five, each under other names."""
+    ids = spark.range(10_000).withColumn("graph_id", F.lit(1).cast("long"))
+    one = ids.select("graph_id", F.col("id").alias("src"), ((F.col("id") + 1) % 10_000).alias("dst"))
+    many = spark.range(50_000).select(F.lit(3).cast("long").alias("graph_id"), F.col("id").alias("src"), (F.col("id") - F.col("id") % 5 + (F.col("id") + 1) % 5).alias("dst"))
+    moved = lambda df, n, k: df.select((F.col("graph_id") + 1).alias("graph_id"), *[((F.col(c) * k + 11) % n).alias(c) for c in ("src", "dst")])
+    e = one.union(moved(one, 10_000, 7)).union(many).union(moved(many, 50_000, 3))
+    v = e.select("graph_id", F.col("src").alias("id"))
+    pairs = spark.createDataFrame([(1, 1, 2), (2, 3, 4), (3, 1, 4)], "pair_id long, graph_a long, graph_b long")
+    to = isomorphism.find_isomorphism(pairs, v, e)
+    maps = {}
+    for r in to.collect():
+        maps.setdefault(r.pair_id, {})[r.id_a] = r.id_b
+    edges = {}
+    for r in e.collect():
+        edges.setdefault(r.graph_id, set()).add(tuple(sorted((r.src, r.dst))))
+    assert set(maps) == {1, 2}
+    for pair, a, b in ((1, 1, 2), (2, 3, 4)):
+        assert {tuple(sorted((maps[pair][x], maps[pair][y]))) for x, y in edges[a]} == edges[b]
+
+
+def test_list_ranks(spark):
+    """A list of 1,000 rows, one of one row, and a ring, which has no end."""
+    lists = spark.createDataFrame([(i * 7 % 1000, (i + 1) * 7 % 1000 if i < 999 else None) for i in range(1000)] + [(2000, None)], "id long, next long")
+    found = {r.id: (r.last, r.steps) for r in list_ranks(lists).collect()}
+    assert found == {i * 7 % 1000: (999 * 7 % 1000, 999 - i) for i in range(1000)} | {2000: (2000, 0)}
+    with pytest.raises(ValueError):
+        list_ranks(spark.createDataFrame([(1, 2), (2, 1)], "id long, next long"), max_rounds=3)
+
+
 # fixed values: the expected orders of a ring
 RING = {0: [3, 1], 1: [0, 2], 2: [1, 3], 3: [2, 0]}
 
