@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from arcwise.functions.ranking import with_running_sum
 from arcwise.operators.components import star_labels
+from arcwise.operators.forests import preorder, range_extremes
 from arcwise.operators.graph import Graph, canonical
+from arcwise.operators.paths import rooted_spanning_forest
 from arcwise.storage import materialize
 
 
@@ -70,94 +71,41 @@ def reachable_from(g_or_arcs, sources: DataFrame, max_rounds: int = 100_000, key
     raise RuntimeError(f"not all was reached in {max_rounds} rounds")
 
 
-def bfs_forest(g: Graph) -> DataFrame:
-    """``id, hops, parent, root`` from the smallest vertex of each component."""
-    labels = materialize(connected_components(g))
-    found = reachable_from(g, labels.select(F.col("component").alias("id")).distinct())
-    return found.join(labels, "id").select("id", "hops", "parent", F.col("component").alias("root"))
-
-
-def ordered_forest(tree: DataFrame) -> DataFrame:
-    """``id, parent, hops, pre, size``: preorder numbers over all trees, and subtree sizes.
-
-    Sizes add up level by level from the leaves, numbers go down from the roots;
-    children follow each other by id.
-    """
-    tree = materialize(tree.select("id", "parent", "hops", "root"))
-    deepest = tree.agg(F.max("hops")).first()[0]
-    if deepest is None:
-        return tree.select("id", "parent", "hops", F.lit(0).cast("long").alias("pre"), F.lit(1).cast("long").alias("size"))
-    below, sized = None, []
-    for level in range(deepest, -1, -1):
-        here = tree.where(F.col("hops") == level)
-        if below is None:
-            own = here.withColumn("size", F.lit(1).cast("long"))
-        else:
-            add = below.groupBy(F.col("parent").alias("id")).agg(F.sum("size").alias("_sum"))
-            own = here.join(add, "id", "left").withColumn("size", (1 + F.coalesce("_sum", F.lit(0))).cast("long")).drop("_sum")
-        below = materialize(own.select("id", "parent", "hops", "size"))
-        sized.append(below)
-    sized.reverse()
-    above = materialize(with_running_sum(sized[0], ["id"], F.col("size"), "to").select(*sized[0].columns, (F.col("to") - F.col("size")).alias("pre")))
-    placed = [above]
-    for here in sized[1:]:
-        by_child = Window.partitionBy("parent").orderBy("id").rowsBetween(Window.unboundedPreceding, -1)
-        shift = here.withColumn("_shift", F.coalesce(F.sum("size").over(by_child), F.lit(0)))
-        up = above.select(F.col("id").alias("parent"), F.col("pre").alias("_pre"))
-        above = materialize(shift.join(up, "parent").select("id", "parent", "hops", "size", (F.col("_pre") + 1 + F.col("_shift")).alias("pre")))
-        placed.append(above)
-    return reduce(lambda a, b: a.unionByName(b), placed).select("id", "parent", "hops", "pre", "size")
-
-
-def _low_high(g: Graph, order: DataFrame) -> DataFrame:
-    """``order`` with ``low, high``: the extreme numbers that a subtree's edges off the tree reach."""
-    order = materialize(order)
-    other = g.edges.join(order.select(F.col("id").alias("src"), F.col("pre").alias("ps"), F.col("parent").alias("us")), "src")
-    other = other.join(order.select(F.col("id").alias("dst"), F.col("pre").alias("pd"), F.col("parent").alias("ud")), "dst")
-    other = other.where(~(F.coalesce(F.col("us") == F.col("dst"), F.lit(False)) | F.coalesce(F.col("ud") == F.col("src"), F.lit(False))))
-    ends = other.select(F.col("ps").alias("pre"), F.col("pd").alias("to")).union(other.select("pd", "ps"))
-    own = ends.groupBy("pre").agg(F.min("to").alias("lo"), F.max("to").alias("hi"))
-    # a subtree is a range of preorder numbers; minima go up level by level
-    base = materialize(order.join(own, "pre", "left").select("id", "parent", "hops", "pre", "size", F.least("pre", F.coalesce("lo", "pre")).alias("low"), F.greatest("pre", F.coalesce("hi", "pre")).alias("high")))
-    deepest, done, below = base.agg(F.max("hops")).first()[0] or 0, [], None
-    for level in range(deepest, -1, -1):
-        here = base.where(F.col("hops") == level)
-        if below is not None:
-            up = below.groupBy(F.col("parent").alias("id")).agg(F.min("low").alias("l"), F.max("high").alias("h"))
-            here = here.join(up, "id", "left").select("id", "parent", "hops", "pre", "size", F.least("low", F.coalesce("l", "low")).alias("low"), F.greatest("high", F.coalesce("h", "high")).alias("high"))
-        below = materialize(here)
-        done.append(below)
-    return reduce(DataFrame.union, done)
+def _low_high(g: Graph) -> DataFrame:
+    """``id, parent, pre, size, low, high`` of a spanning forest: the extreme numbers that a subtree's edges off the tree reach."""
+    order = preorder(*rooted_spanning_forest(g))
+    ends = g.edges.join(order.select(F.col("id").alias("src"), F.col("pre").alias("ps"), F.col("parent").alias("us")), "src")
+    ends = ends.join(order.select(F.col("id").alias("dst"), F.col("pre").alias("pd"), F.col("parent").alias("ud")), "dst")
+    off = ends.where(~(F.coalesce(F.col("us") == F.col("dst"), F.lit(False)) | F.coalesce(F.col("ud") == F.col("src"), F.lit(False))))
+    far = off.select(F.col("ps").alias("pre"), F.col("pd").alias("to")).union(off.select("pd", "ps"))
+    far = far.groupBy("pre").agg(F.min("to").alias("lo"), F.max("to").alias("hi"))
+    own = order.join(far, "pre", "left").select("pre", "size", F.least("pre", "lo").alias("lo"), F.greatest("pre", "hi").alias("hi"))
+    return materialize(order.join(range_extremes(own), "pre").select("id", "parent", "pre", "size", "low", "high"))
 
 
 def biconnected_components(g: Graph) -> DataFrame:
-    """``src, dst, block``: blocks are numbered by the smallest preorder number of a child in them.
+    """``src, dst, block``: blocks are numbered by the smallest preorder number of a lower end in them.
 
     Tree edges are named by their lower end. An edge off the tree joins the tree
-    edges of its two ends; a tree edge joins its parent's when its subtree
-    reaches out of the parent's subtree.
+    edges of its two ends if neither is above the other; a tree edge joins its parent's when its subtree
+    reaches out of the parent's subtree. Every edge is in the block of its end with the larger number.
     """
     g = g.written()
-    order = materialize(_low_high(g, ordered_forest(bfs_forest(g))))
-    at = order.select("id", "pre", "parent", "size", "low", "high")
+    at = _low_high(g)
     up = at.select(F.col("id").alias("parent"), F.col("pre").alias("p_pre"), F.col("size").alias("p_size"), F.col("parent").alias("p_parent"))
     reach = at.join(up, "parent").where("p_parent IS NOT NULL AND (low < p_pre OR high >= p_pre + p_size)")
-    links = reach.select(F.col("pre").alias("src"), F.col("p_pre").alias("dst"))
-    ends = g.edges.select("src", "dst").join(at.select(F.col("id").alias("src"), F.col("pre").alias("a"), F.col("parent").alias("ap")), "src")
-    ends = materialize(ends.join(at.select(F.col("id").alias("dst"), F.col("pre").alias("b"), F.col("parent").alias("bp")), "dst"))
-    on_tree = F.coalesce(F.col("ap") == F.col("dst"), F.lit(False)) | F.coalesce(F.col("bp") == F.col("src"), F.lit(False))
-    off = ends.where(~on_tree).select(F.col("a").alias("src"), F.col("b").alias("dst"))
+    links = reach.select(F.col("p_pre").alias("src"), F.col("pre").alias("dst"))
+    ends = g.edges.select("src", "dst").join(at.select(F.col("id").alias("src"), F.col("pre").alias("a"), F.col("size").alias("na")), "src")
+    ends = materialize(ends.join(at.select(F.col("id").alias("dst"), F.col("pre").alias("b"), F.col("size").alias("nb")), "dst"))
+    off = ends.where("a + na <= b OR b + nb <= a").select(F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst"))
     names = at.where("parent IS NOT NULL").select(F.col("pre").alias("id"))
-    block = materialize(connected_components(Graph(names, canonical(links.union(off)).distinct())))
-    child = F.when(on_tree, F.when(F.col("ap") == F.col("dst"), F.col("a")).otherwise(F.col("b"))).otherwise(F.col("a"))
-    return ends.withColumn("id", child).join(block, "id").select("src", "dst", F.col("component").alias("block"))
+    block = materialize(connected_components(Graph(names, links.union(off).distinct())))
+    return ends.withColumn("id", F.greatest("a", "b")).join(block, "id").select("src", "dst", F.col("component").alias("block"))
 
 
 def bridges(g: Graph) -> DataFrame:
     """Edges whose removal adds a component: tree edges that no other edge passes over."""
-    g = g.written()
-    order = _low_high(g, ordered_forest(bfs_forest(g)))
-    alone = order.where("parent IS NOT NULL AND low >= pre AND high < pre + size")
+    alone = _low_high(g.written()).where("parent IS NOT NULL AND low >= pre AND high < pre + size")
     return canonical(alone.select(F.col("parent").alias("src"), F.col("id").alias("dst")))
 
 

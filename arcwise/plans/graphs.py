@@ -59,6 +59,14 @@ def order_rings(spark: SparkSession, sf: str) -> Graph:
     return Graph.from_edges(pairs, vertices=rows.select("at"))
 
 
+def order_necklace(spark: SparkSession, sf: str) -> Graph:
+    """The rings of ``order_rings`` on one string: an order's last line is linked to the first of the next order."""
+    rows = materialize(numbered_lines(spark, sf))
+    along = rows.select(F.col("at").alias("src"), (F.col("at") + 1).alias("dst")).join(rows.select(F.col("at").alias("dst")), "dst", "left_semi")
+    closing = rows.where("at = first AND n > 2").select("at", (F.col("at") + F.col("n") - 1).alias("dst"))
+    return Graph.from_edges(along.select("src", "dst").union(closing), vertices=rows.select("at"))
+
+
 OR = """orl AS (SELECT l_orderkey AS o, row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey) - 1 AS place FROM lineitem),
 orn AS (SELECT o, min(place) AS lo, count(*) AS n FROM orl GROUP BY o), orv AS (SELECT place AS id FROM orl),
 orr AS (SELECT DISTINCT o, n, least(a, b) AS src, greatest(a, b) AS dst FROM (SELECT o, n, place AS a, lo + (place - lo + 1) % n AS b FROM orl JOIN orn USING (o)) WHERE a <> b)"""

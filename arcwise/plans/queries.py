@@ -14,7 +14,7 @@ from arcwise.functions.geometry import euclidean, orientation, segments_cross, t
 from arcwise.operators import chordal, coloring, connectivity, flow, isomorphism, layout, matching, paths, rotation, tours
 from arcwise.operators.graph import Graph
 from arcwise.operators.multigraph import MultiGraph
-from arcwise.plans.graphs import CA, CP, LC, NT, OR, OW, PS, PTS, RT, US, copurchase, copurchase_all, labelled_chains, nation_trade, numbered_lines, order_rings, order_wheels, part_supplier, region_trade, table, user_sequence, vector_points
+from arcwise.plans.graphs import CA, CP, LC, NT, OR, OW, PS, PTS, RT, US, copurchase, copurchase_all, labelled_chains, nation_trade, numbered_lines, order_necklace, order_rings, order_wheels, part_supplier, region_trade, table, user_sequence, vector_points
 from arcwise.sources import generators, text
 from arcwise.storage import materialize, new_path
 
@@ -358,6 +358,19 @@ def ring_blocks(spark, sf):
     return block.groupBy("edges").agg(F.count(F.lit(1)).alias("blocks"))
 
 
+@query(f"""WITH {OR} SELECT a.place AS src, b.place AS dst FROM orl a JOIN orl b ON b.place = a.place + 1 JOIN orn ON orn.o = a.o WHERE a.o <> b.o OR orn.n = 2""")
+def necklace_bridges(spark, sf):
+    """Bridges of all lines on one string, which is as long as there are orders: the links, and orders of two lines."""
+    return connectivity.bridges(order_necklace(spark, sf))
+
+
+@query(f"""WITH {OR}, far AS (SELECT max(place) AS last_place FROM orl), own AS (SELECT place, lo, n, last_place FROM orl JOIN orn USING (o) CROSS JOIN far)
+SELECT place AS id FROM own WHERE CAST(place = lo AND place > 0 AS INT) + CAST(place = lo + n - 1 AND place < last_place AS INT) + CAST(n > 1 AS INT) >= 2""")
+def necklace_cuts(spark, sf):
+    """Articulation points of all lines on one string: lines that meet two of their order's block and its links."""
+    return connectivity.articulation_points(order_necklace(spark, sf))
+
+
 @query(rules("missed", "wrong"))
 def cut_vertices(spark, sf):
     """Articulation points of the nation and region trade against taking each vertex out."""
