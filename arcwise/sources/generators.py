@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,10 +42,38 @@ def _pairs(spark: SparkSession, n: int) -> DataFrame:
     return base.select("src", F.explode(F.sequence(F.col("src") + 1, F.lit(n - 1).cast("long"))).alias("dst"))
 
 
-def random_graph_p(spark: SparkSession, n: int, p: float, seed: int = 1) -> Graph:
-    """Each pair is an edge with chance p: their number is drawn first, then so many pairs."""
-    m = int(np.random.default_rng(seed).binomial(n * (n - 1) // 2, p)) if n > 1 else 0
-    return random_graph_m(spark, n, m, seed)
+def random_graph_p(spark: SparkSession, n: int, p: float, seed: int = 1, block: int = 100_000) -> Graph:
+    """Each pair is an edge with chance p.
+
+    All pairs are numbered by their larger end, and cut into ranges of numbers that hold some ``block`` edges. Each range draws the
+    gaps between its edges by itself, so the work follows the edges, and none is shuffled.
+    """
+    whole = n * (n - 1) // 2
+    if p <= 0 or whole <= 0:
+        return Graph(spark.range(max(n, 0)), _pairs(spark, 2).limit(0))
+    if p >= 1:
+        return Graph(spark.range(n), _pairs(spark, n))
+    wide = max(1, min(int(block / p), whole, 1 << 62))
+    ranges = -(-whole // wide)
+    starts = spark.range(0, ranges, 1, min(ranges, max(spark.sparkContext.defaultParallelism, ranges // 50)))
+
+    def drawn(batches):
+        for batch in batches:
+            for k in batch.column(0).to_pylist():
+                rng, at, end = np.random.default_rng([seed, k]), k * wide - 1, min((k + 1) * wide, whole)
+                while at < end:
+                    # a gap past the range ends it, whatever its length
+                    gaps = np.minimum(rng.geometric(p, 65_536).astype(np.int64), min(wide + 1, (1 << 62) // 65_536))
+                    pairs = at + np.cumsum(gaps)
+                    at = int(pairs[-1])
+                    pairs = pairs[pairs < end]
+                    # pair x * (x - 1) / 2 + y is that of y < x; the root may be one off
+                    x = ((1 + np.sqrt(1 + 8 * pairs.astype(np.float64))) / 2).astype(np.int64)
+                    x -= x * (x - 1) // 2 > pairs
+                    x += x * (x + 1) // 2 <= pairs
+                    yield pa.RecordBatch.from_arrays([pa.array(pairs - x * (x - 1) // 2), pa.array(x)], names=["src", "dst"])
+
+    return Graph(spark.range(n), starts.mapInArrow(drawn, "src long, dst long"))
 
 
 def random_graph_m(spark: SparkSession, n: int, m: int, seed: int = 1) -> Graph:

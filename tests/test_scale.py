@@ -3,10 +3,10 @@
 import itertools
 import random
 
-from pyspark.sql import functions as F
-
-from arcwise.operators import layout
+from arcwise.operators import components, layout, rotation
 from arcwise.operators.graph import Graph
+from arcwise.plans.graphs import nation_trade
+from arcwise.sources import generators
 
 
 def _crossing(p, q, r, s):
@@ -30,3 +30,74 @@ def test_crossings_come_once_without_a_shuffle_of_them(spark):
         assert sorted(tuple(r) for r in found.collect()) == sorted(want)
         plan = found._jdf.queryExecution().optimizedPlan().toString()
         assert "Aggregate [e" not in plan and "Aggregate [src_a" not in plan
+
+
+def _written(spark, f):
+    """The labels of the tables that ``f`` writes."""
+    import arcwise.storage as storage
+
+    seen, real = [], storage.new_path
+    storage.new_path = lambda s, label="table": (seen.append(label), real(s, label))[1]
+    try:
+        f()
+    finally:
+        storage.new_path = real
+    return seen
+
+
+def test_components_take_one_round_around_a_hub(spark):
+    star = spark.range(1, 200).selectExpr("id AS src", "0L AS dst")
+    seen = _written(spark, lambda: components.star_labels(star).collect())
+    assert len(seen) <= 4
+    rng = random.Random(3)
+    pairs = [(rng.randrange(80), rng.randrange(80)) for _ in range(50)] + [(200 + (7 * k) % 31, 200 + (7 * k + 7) % 31) for k in range(30)]
+    up = {v: v for e in pairs for v in e}
+    for _ in pairs:
+        for a, b in pairs:
+            up[a] = up[b] = min(up[a], up[b])
+    want = {v: c for v, c in up.items() if any(v in e for e in pairs if e[0] != e[1])}
+    found = components.star_labels(spark.createDataFrame(pairs, "src long, dst long")).collect()
+    assert {r["id"]: r["component"] for r in found} == want and len(found) == len(want)
+
+
+def test_rings_of_all_lengths_are_placed_without_labels(spark):
+    rows, want, base = [], set(), 0
+    for n in range(1, 20):
+        order = [base + (3 * k) % n if n % 3 else base + k for k in range(n)]
+        rows += [(order[k], order[(k + 1) % n]) for k in range(n)]
+        least = order.index(min(order))
+        want |= {(v, min(order), (k - least) % n, n) for k, v in enumerate(order)}
+        base += n
+    following = spark.createDataFrame(rows, "id long, next long")
+    seen = _written(spark, lambda: rotation._ring_positions(following).collect())
+    assert {tuple(r) for r in rotation._ring_positions(following).collect()} == want
+    assert set(seen) == {"rings"} and len(seen) <= 7
+
+
+def test_random_edges_are_drawn_in_place(spark):
+    g = generators.random_graph_p(spark, 300, 0.1, seed=2, block=500)
+    rows = [tuple(r) for r in g.edges.collect()]
+    assert len(rows) == len(set(rows)) and all(0 <= a < b < 300 for a, b in rows)
+    assert abs(len(rows) - 4485) < 400 and {v for e in rows for v in e} == set(range(300))
+    assert sorted(rows) == sorted(tuple(r) for r in generators.random_graph_p(spark, 300, 0.1, seed=2, block=500).edges.collect())
+    assert "Exchange" not in g.edges._jdf.queryExecution().executedPlan().toString()
+    assert generators.random_graph_p(spark, 20, 1.0).edges.count() == 190 and generators.random_graph_p(spark, 20, 0.0).edges.count() == 0
+    assert generators.random_graph_p(spark, 2_000, 1e-5, seed=4).edges.where("src >= dst OR src < 0 OR dst >= 2000").count() == 0
+
+
+def test_hubs_of_fixed_rims_are_placed_without_rounds(spark):
+    edges = [(0, 1), (0, 2), (0, 3), (4, 1), (4, 5), (5, 2)]
+    g = Graph.from_edges(spark.createDataFrame(edges, "src long, dst long"))
+    rim = spark.createDataFrame([(1, 0.0, 0.0), (2, 3.0, 0.0), (3, 0.0, 3.0)], "id long, x double, y double")
+    at = {r["id"]: (round(r["x"], 3), round(r["y"], 3)) for r in layout.tutte_layout(g, rim, tol=1e-4, unroll=3).collect()}
+    assert at == {0: (1, 1), 1: (0, 0), 2: (3, 0), 3: (0, 3), 4: (1, 0), 5: (2, 0)}
+    hub = g.induced(spark.range(4))
+    assert len(_written(spark, lambda: layout.tutte_layout(hub, rim).collect())) <= 3
+    alone = Graph(g.vertices.union(spark.range(9, 10)), g.edges)
+    assert layout.tutte_layout(alone, rim) is None
+
+
+def test_trade_joins_the_lines_once(spark):
+    sf = "/root/testdata/sf0.001"
+    plan = nation_trade(spark, sf).edges._jdf.queryExecution().optimizedPlan().toString()
+    assert "l_orderkey" not in plan
