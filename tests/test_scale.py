@@ -3,7 +3,7 @@
 import itertools
 import random
 
-from arcwise.operators import components, layout, rotation
+from arcwise.operators import components, isomorphism, layout, rotation
 from arcwise.operators.graph import Graph
 from arcwise.plans.graphs import nation_trade
 from arcwise.sources import generators
@@ -101,3 +101,27 @@ def test_trade_joins_the_lines_once(spark):
     sf = "/root/testdata/sf0.001"
     plan = nation_trade(spark, sf).edges._jdf.queryExecution().optimizedPlan().toString()
     assert "l_orderkey" not in plan
+
+
+def test_fingerprint_rounds_write_nothing_and_large_graphs_have_the_same(spark):
+    rng = random.Random(9)
+    rows, near = [], {}
+    for g in range(12):
+        pairs = {tuple(sorted(rng.sample(range(9), 2))) for _ in range(rng.randrange(4, 14))}
+        for copy, name in ((2 * g, lambda v: v), (2 * g + 1, lambda v: 8 - v)):
+            rows += [(copy, name(a), name(b)) for a, b in pairs]
+            near[copy] = {v: [y for a, b in pairs for x, y in ((name(a), name(b)), (name(b), name(a))) if x == v] for v in range(9)}
+    edges = spark.createDataFrame(rows, "graph_id long, src long, dst long")
+    vertices = spark.createDataFrame([(g, v) for g in near for v in range(9)], "graph_id long, id long")
+    classes = {}
+    for g, at in near.items():
+        label = {v: len(at[v]) for v in at}
+        for _ in range(3):
+            label = {v: hash((label[v], tuple(sorted(label[w] for w in at[v])))) for v in at}
+        classes[g] = tuple(sorted(label.values()))
+    for whole in (100_000, 8, 0):
+        found = {r["graph_id"]: r["fingerprint"] for r in isomorphism.graph_fingerprints(vertices, edges, whole=whole).collect()}
+        assert found.keys() == classes.keys()
+        assert all((found[a] == found[b]) == (classes[a] == classes[b]) for a in found for b in found)
+    few, many = ([_written(spark, lambda n=n: isomorphism.graph_fingerprints(vertices, edges, n).collect())] for n in (1, 5))
+    assert few == many
