@@ -11,21 +11,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from arcwise.operators.graph import Graph
-from arcwise.storage import materialize
+from arcwise.storage import dealt, materialize
 
 
 def _locally_best(edges: DataFrame) -> DataFrame:
     """Edges ``src, dst, key``: those that both ends like best (least key), then again among the rest."""
     open_edges, chosen = materialize(edges), []
-    while open_edges.limit(1).count():
+    while n := open_edges.count():
         e = F.struct("key", "src", "dst")
-        ends = open_edges.select(F.col("src").alias("id"), e.alias("e")).union(open_edges.select(F.col("dst").alias("id"), e.alias("e")))
-        best = ends.groupBy("id").agg(F.min("e").alias("e"))
+        ends = dealt(open_edges.select(e.alias("e"), F.explode(F.array("src", "dst")).alias("id")), 2 * n, "id")
+        best = dealt(ends.groupBy("id").agg(F.min("e").alias("e")), 2 * n, "e")
         mutual = materialize(best.groupBy("e").count().where("count = 2").select("e.src", "e.dst", "e.key"))
         chosen.append(mutual)
         used = mutual.select(F.col("src").alias("id")).union(mutual.select("dst"))
         for end in ("src", "dst"):
-            open_edges = open_edges.join(used.withColumnRenamed("id", end), end, "left_anti")
+            open_edges = dealt(open_edges, n, end).join(used.withColumnRenamed("id", end), end, "left_anti")
         open_edges = materialize(open_edges.select("src", "dst", "key"))
     return reduce(DataFrame.union, chosen) if chosen else edges.limit(0)
 
