@@ -23,13 +23,13 @@ def complete_graph(vertices: DataFrame, max_vertices: int = 10_000) -> Graph:
 
 def edges_from_comembership(df: DataFrame, member: str, group: str, max_group: int = 10_000) -> DataFrame:
     """``src, dst``: every two members of a common group; a group over ``max_group`` is an error."""
-    rows = df.select(F.col(group).alias("g"), F.col(member).alias("m")).where("g IS NOT NULL AND m IS NOT NULL").distinct()
+    rows = df.select(F.col(group).alias("g"), F.col(member).alias("m")).where("g IS NOT NULL AND m IS NOT NULL")
+    rows = dealt(rows, df.count(), "g").distinct()
     n = F.col("count")
-    largest, members, pairs = rows.groupBy("g").count().agg(F.max(n), F.sum(n), F.sum((n * (n - 1) / 2).cast("long"))).first()
+    largest, pairs = rows.groupBy("g").count().agg(F.max(n), F.sum((n * (n - 1) / 2).cast("long"))).first()
     if (largest or 0) > max_group:
         raise ValueError(f"a group has {largest} members")
-    # repeats of a pair of large groups are dropped before they travel; where parts follow the rows they are dropped after
-    a, b = (dealt(rows, members, "g").select("g", F.col("m").alias(end)) for end in ("src", "dst"))
+    a, b = (rows.select("g", F.col("m").alias(end)) for end in ("src", "dst"))
     return dealt(a.join(b, "g").where("src < dst").select("src", "dst"), pairs, "src", "dst").distinct()
 
 

@@ -125,3 +125,22 @@ def test_fingerprint_rounds_write_nothing_and_large_graphs_have_the_same(spark):
         assert all((found[a] == found[b]) == (classes[a] == classes[b]) for a in found for b in found)
     few, many = ([_written(spark, lambda n=n: isomorphism.graph_fingerprints(vertices, edges, n).collect())] for n in (1, 5))
     assert few == many
+
+
+def test_steps_of_many_rows_are_dealt_into_more_parts(spark):
+    pairs = {tuple(sorted(random.Random(k).sample(range(40), 2))) for k in range(120)}
+    edges = spark.createDataFrame(sorted(pairs), "src long, dst long")
+    ids = spark.createDataFrame([(v,) for v in range(0, 40, 3)], "id long")
+    g = Graph.of_distinct(edges, rows=2_000_000)
+    assert sorted(map(tuple, g.edges_at(ids).collect())) == sorted(p for p in pairs if p[0] % 3 == 0 or p[1] % 3 == 0)
+    want = {v: sum(v in p for p in pairs) for p in pairs for v in p}
+    assert {r["id"]: r["degree"] for r in g.degrees().collect()} == want
+    for found in (g.edges_at(ids), g.degrees(), g.remove_vertices(ids).edges):
+        assert ", 8)" in found._jdf.queryExecution().executedPlan().toString()
+    real, generators.dealt = generators.dealt, lambda df, rows, *keys: df.repartition(7, *keys)
+    try:
+        members = spark.createDataFrame([(k % 10, k % 3) for k in range(30)], "m long, g long")
+        found = generators.edges_from_comembership(members, "m", "g")
+        assert found.count() == 45
+    finally:
+        generators.dealt = real
