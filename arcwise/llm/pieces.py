@@ -13,6 +13,7 @@ from __future__ import annotations
 import re
 from array import array
 from collections import defaultdict
+from collections.abc import Iterator
 from operator import itemgetter
 
 import numpy as np
@@ -28,7 +29,7 @@ from arcwise.llm.words import in_units
 MARK = "▁"
 #: Runs of marks with what follows; a line end is no part of any piece.
 _WORDS = re.compile(f"\n|{MARK}+[^{MARK}\n]*|[^{MARK}\n]+")
-UNIT_BYTES, KEPT_WORDS, KEPT_PAIRS, LONG_WORD = 1 << 20, 600_000, 1_000_000, 512
+UNIT_BYTES, KEPT_WORDS, KEPT_PAIRS = 1 << 20, 600_000, 1_000_000
 
 
 UNIGRAM, BPE = 1, 2
@@ -91,15 +92,18 @@ def best_path(tail: str, before: list[tuple[float, int]], scores: dict[str, floa
     return best
 
 
-def trie_of(words: list[str]) -> dict:
-    """Nested nodes by character; the key None marks the end of a word."""
-    root: dict = {}
-    for word in words:
-        node = root
-        for c in word:
-            node = node.setdefault(c, {})
-        node[None] = {}
-    return root
+def trie_of(words: list[str]) -> Iterator[tuple[str, int]]:
+    """The ends of the words in the trie, depth first: each word, and how many characters its path shares with that before.
+
+    In the order of the words the paths are walked as in a tree of nodes, of which only the current path is held.
+    """
+    before = ""
+    for word in sorted(words):
+        shared, most = 0, min(len(word), len(before))
+        while shared < most and word[shared] == before[shared]:
+            shared += 1
+        yield word, shared
+        before = word
 
 
 class PieceTrie:
@@ -198,37 +202,18 @@ class PieceTrie:
         return tail[-1]
 
     def encode(self, words: list[str]) -> dict[str, bytes]:
-        """The ids of each of the distinct words as packed 32-bit numbers; very long ones are walked by themselves."""
+        """The ids of each of the distinct words as packed 32-bit numbers."""
         out: dict[str, bytes] = {}
         if self.kind == BPE:
             start, state, length = "", self.last_piece, len
         else:
             start, state, length = (0.0, 0), lambda tail, before: best_path(tail, before, self.score, self.sizes, self.unknown), itemgetter(1)
-        for word in words:
-            if len(word) > LONG_WORD:
-                states = [start]
-                for i in range(1, len(word) + 1):
-                    states.append(state(word[max(0, i - self.longest) : i], states))
-                out[word] = self._ids(word, list(map(length, states)))
-        # for the path from the root: its words so far, and their states
-        heads, states = [""], [start]
-        stack = [iter(trie_of([w for w in words if len(w) <= LONG_WORD]).items())]
-        longest = self.longest
-        while stack:
-            for c, below in stack[-1]:
-                word = heads[-1]
-                if c is None:
-                    out[word] = self._ids(word, list(map(length, states)))
-                    continue
-                word += c
-                states.append(state(word[-longest:], states))
-                heads.append(word)
-                stack.append(iter(below.items()))
-                break
-            else:
-                stack.pop()
-                heads.pop()
-                states.pop()
+        states = [start]
+        for word, shared in trie_of(words):
+            del states[shared + 1 :]
+            for i in range(shared + 1, len(word) + 1):
+                states.append(state(word[max(0, i - self.longest) : i], states))
+            out[word] = self._ids(word, list(map(length, states)))
         return out
 
     def _ids(self, word: str, last: list[int]) -> bytes:

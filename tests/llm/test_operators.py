@@ -225,6 +225,20 @@ def test_best_path():
     assert "".join(back[int(i)] for i in np.frombuffer(found[words[-1]], np.int32)) == words[-1]
 
 
+def test_long_words_share_prefixes(monkeypatch):
+    """Words of any length that start alike share the states of what they share; the ids are the library's."""
+    import sentencepiece
+
+    path = tokencounts.tokenizer_path("piece_bpe_32k.model")
+    model, trie, asked = sentencepiece.SentencePieceProcessor(model_file=path), pieces.PieceTrie(path), []
+    state = trie.last_piece
+    monkeypatch.setattr(trie, "last_piece", lambda tail, before: asked.append(1) or state(tail, before))
+    words = ["▁" + "theory" * 150 + end for end in ("", "s", "tic", "zz")] + ["▁the", "▁then"]
+    found = trie.encode(words)
+    assert {w: np.frombuffer(x, np.int32).tolist() for w, x in found.items()} == {w: model.encode(w[1:]) for w in words}
+    assert len(asked) == 901 + 1 + 3 + 2 + 1  # the trie's nodes: the long word, three ends, and the n of "then" past the shared "the"
+
+
 def test_model_kind(tmp_path):
     path = tokencounts.tokenizer_path("piece_bpe_32k.model")
     assert pieces.model_kind(path) == pieces.BPE
