@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from arcwise.functions.ranking import with_global_index
-from arcwise.llm.tables import WORD, keyed_rows, read
+from arcwise.llm.tables import WORD, keyed_rows, parted, read
 from arcwise.storage import materialize
 
 
@@ -82,9 +82,16 @@ def mix_sources(docs: DataFrame, seed: int = 7) -> DataFrame:
     """
     keyed = keyed_rows(docs)
     rows = materialize(keyed.select("doc_id", F.col("_row.source").alias("source"), word_count("text").alias("size")), "sizes")
-    taken = materialize(copies_per_document(rows, source_targets(rows), seed).where("copies > 0").select("doc_id", F.col("copies").cast("int").alias("copies")), "taken")
-    again = F.explode(F.sequence(F.lit(1), F.col("copies")))
-    return keyed.join(taken, "doc_id").select("_row", again).select("_row.*")
+    targets = materialize(source_targets(rows), "targets")
+    # copies of a source's rows differ by one at most; rows that are taken as often as most of their source stay where they are
+    most = F.when(F.col("source_size") > 0, F.round(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("int")
+    other = copies_per_document(rows, targets, seed).where(F.col("copies") != most).select("doc_id", F.col("copies").cast("int").alias("copies"))
+    other = materialize(other, "copies")
+    some, none = parted(keyed, other)
+    taken = some.join(other, "doc_id", "left").select("_row", "copies").union(none.select("_row", F.lit(None).cast("int")))
+    usual = F.broadcast(targets.select(F.col("source").alias("_source"), most.alias("_most")))  # one row for each source
+    taken = taken.join(usual, F.col("_row.source").eqNullSafe(F.col("_source")))
+    return taken.select("_row", F.explode(F.array_repeat(F.lit(1), F.coalesce("copies", "_most")))).select("_row.*")
 
 
 def op8_systematic_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

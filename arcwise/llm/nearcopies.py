@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from arcwise.llm.simhash import by_group, linked_keys, majority_bits, shingle_hashes
-from arcwise.llm.tables import one_row_per_id, shuffle_count, small_batches
+from arcwise.llm.tables import one_row_per_id, parted, shuffle_count, small_batches
 from arcwise.operators.components import star_labels
 from arcwise.storage import materialize
 
@@ -139,7 +139,7 @@ def exact_links(docs: DataFrame, groups: DataFrame, words: int, over: int, under
             raw = pa.array([shingle_set(t.as_py(), words).tobytes() for t in batch.column("text")], pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("key"), batch.column("_parts"), raw], ["node", "key", "_parts", "shingles"])
 
-    found = docs.select("doc_id", "text").join(placed, "doc_id").withColumnRenamed("doc_id", "node").select("node", "key", "_parts", "text")
+    found = parted(docs.select("doc_id", "text"), groups)[0].join(placed, "doc_id").withColumnRenamed("doc_id", "node").select("node", "key", "_parts", "text")
     found = found.mapInArrow(sets, "node long, key long, _parts int, shingles binary")
     found = found.withColumn("_own", F.pmod(F.xxhash64("node"), F.col("_parts")).cast("int"))
     found = found.select("key", "node", "shingles", "_own", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)).alias("_other"))

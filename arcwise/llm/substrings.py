@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from arcwise.llm.tables import one_row_per_id, read, shuffle_count, small_batches
+from arcwise.llm.tables import one_row_per_id, parted, read, shuffle_count, small_batches
 from arcwise.llm.words import find_words, in_units
 from arcwise.storage import materialize
 
@@ -300,7 +300,8 @@ def exact_repeats(docs: DataFrame, size: int = 20, bits: int = 64) -> DataFrame:
     probes = docs.select("doc_id", "text").mapInArrow(block_pieces(buckets, bits), PIECES)
     hits = probes.groupBy("bucket").applyInPandas(hit_blocks, PLACES)
     anchors = materialize(hits.groupBy("unit").applyInPandas(places_by_document, "doc_id long, places binary"), "anchors")
-    around = docs.select("doc_id", "text").join(anchors, "doc_id", "left").mapInArrow(window_pieces(buckets, size), WINDOWS)
+    # a window holds a whole block, so texts without an anchor have none that repeats and stay where they are
+    around = parted(docs.select("doc_id", "text"), anchors)[0].join(anchors, "doc_id").mapInArrow(window_pieces(buckets, size), WINDOWS)
     later = around.groupBy("bucket").applyInPandas(later_windows, LATER)
     return later.groupBy("unit").applyInPandas(maximal_repeats(size), f"doc_id long, repeats {RUNS}")
 
@@ -318,8 +319,10 @@ def remove_repeats(docs: DataFrame, size: int = 20, whole: bool = False) -> Data
     small_batches(docs.sparkSession)
     others = [c for c in docs.columns if c.lower() not in ("doc_id", "text", "n_words", "n_removed", "kept", "repeats")]
     docs = one_row_per_id(docs, "doc_id", "text", *others)
-    # texts move twice in all: to the places of their anchors, and here, with the other columns, to their repeats
-    found = docs.join(exact_repeats(docs, size), "doc_id", "left")
+    # a text moves to the places of its anchors and here, with the other columns, to its repeats, if it may have any
+    repeats = materialize(exact_repeats(docs, size), "repeats")
+    some, none = parted(docs, repeats)
+    found = some.join(repeats, "doc_id", "left").union(none.withColumn("repeats", F.lit(None).cast(RUNS)))
     schema = docs.select("doc_id", *others).schema.add("n_words", "long").add("n_removed", "long").add("kept", "string")
     return found.mapInArrow(without_repeats(others, whole), schema)
 

@@ -14,7 +14,7 @@ from arcwise.llm.nearcopies import first_of_near_copies
 from arcwise.llm.pieces import encode_and_decode
 from arcwise.llm.quality import score_quality, train_quality
 from arcwise.llm.substrings import remove_repeats
-from arcwise.llm.tables import keyed_rows, read
+from arcwise.llm.tables import keyed_rows, parted, read
 from arcwise.llm.tokencounts import tokenizer_path
 from arcwise.storage import materialize
 
@@ -45,7 +45,9 @@ def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """
     keyed = keyed_rows(docs)
     kept = materialize(first_of_near_copies(keyed, SHINGLE, OVER, UNDER, BITS, RADIUS, BANDS, ROWS), "kept")
-    return keyed.join(kept, "doc_id", "left_semi").select("_row.*")
+    gone = materialize(keyed.select("doc_id").join(kept, "doc_id", "left_anti"), "gone")
+    some, stay = parted(keyed, gone)
+    return some.join(gone, "doc_id", "left_anti").union(stay).select("_row.*")
 
 
 def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

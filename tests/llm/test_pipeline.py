@@ -1,4 +1,8 @@
+import random
+
 import corpus_pipeline
+from arcwise.llm import mixing, substrings
+from arcwise.llm.tables import parted
 
 
 
@@ -22,3 +26,45 @@ def test_stages(spark, tmp_path):
     empty = docs.limit(0)
     for _, stage in corpus_pipeline.STAGES[1:]:
         assert stage(spark, empty, str(tmp_path)).count() == 0
+
+
+def test_parted(spark):
+    """Every row comes once, all that are asked for among the first, and few others with them."""
+    rows = spark.range(-500, 5000).selectExpr("CASE WHEN id % 100 = 7 THEN NULL ELSE id * 7919 END AS doc_id", "id AS n")
+    some = rows.where("n % 50 = 3 AND n > 0").select("doc_id")
+    hit, miss = parted(rows, some)
+    assert hit.columns == miss.columns == rows.columns
+    assert sorted(r.n for r in hit.union(miss).collect()) == list(range(-500, 5000))
+    assert some.exceptAll(hit.select("doc_id")).count() == 0 and miss.join(some, "doc_id").count() == 0
+    assert hit.count() < 100 + 5400 / 8 and hit.where("doc_id IS NULL").count() == 0
+    hit, miss = parted(rows, some.limit(0))
+    assert hit.count() == 0 and miss.count() == 5500
+
+
+def test_few_texts_move(spark, monkeypatch):
+    """Where tables are too large to be broadcast, texts that no join changes are not shuffled."""
+    r = random.Random(3)
+    # sources of weights 5, 2 and 1: all copies are alike in the first two
+    texts = [" ".join("".join(r.choices("abcdefghijklmnopqrstuvwxyz", k=9)) for _ in range(200)) for _ in range(600)]
+    texts[1::60] = [texts[0]] * 10
+    docs = spark.createDataFrame([(i, t, "abc"[i % 3] if i % 10 else "a", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, source string, n_chars long").repartition(4).cache()
+    size = sum(map(len, texts))
+    store = spark._jsparkSession.sparkContext().statusStore()
+    written = lambda: sum(store.executorList(False).apply(i).totalShuffleWrite() for i in range(store.executorList(False).size()))
+    key = "spark.sql.autoBroadcastJoinThreshold"
+    docs.count()
+    want = sorted(map(tuple, mixing.mix_sources(docs).collect()))
+    left = sorted(map(tuple, substrings.remove_repeats(docs).collect()))
+    before = spark.conf.get(key)
+    spark.conf.set(key, "-1")
+    try:
+        start = written()
+        assert sorted(map(tuple, mixing.mix_sources(docs).collect())) == want
+        mixed = written() - start
+        found = substrings.remove_repeats(docs)
+        start = written()
+        assert sorted(map(tuple, found.collect())) == left
+        moved = written() - start
+    finally:
+        spark.conf.set(key, before)
+    assert mixed < size / 4 and moved < size / 4
