@@ -291,12 +291,14 @@ def subtree_counts(least: int):
         vocabulary = np.unique(np.concatenate(parts))
         columns = []
         for part, raw in zip(parts, group.ids, strict=True):
-            number = np.append(0, np.searchsorted(vocabulary, part) + 1)
+            number = np.append(0, np.searchsorted(vocabulary, part) + 1).astype(np.int32)
             columns.append(number[unpack(raw)].reshape(LONGEST, -1))
         numbers = np.concatenate(columns, 1)
         times = np.concatenate([unpack(t).astype(np.int64) for t in group.times])
-        high, low = numbers[0] << 32 | numbers[1], numbers[2] << 32 | numbers[3]
+        columns.clear()
+        high, low = (a.astype(np.int64) << 32 | b for a, b in (numbers[:2], numbers[2:]))
         order = np.lexsort((low, high))
+        del high, low
         numbers, times = numbers[:, order], times[order]
         new, found = np.zeros(len(times), bool), []
         new[:1] = True

@@ -141,3 +141,31 @@ def test_op13(spark, tmp_path):
     rows = some_rows(200, 8)
     spark.createDataFrame([(i, *r, "s") for i, r in enumerate(rows)], "doc_id long, lang string, text string, source string").repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
     assert sorted(map(tuple, queries.QUERIES["op13_prefix_groups"](spark, str(tmp_path)).collect())) == sorted(plain(rows))
+
+
+def test_batches_are_bounded_in_bytes(spark):
+    """Rows of a megabyte come a few at a time, however many a batch may have."""
+    from arcwise.llm.tables import small_batches
+
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    try:
+        for given in ("64m", "67108864b", "1g"):
+            spark.conf.set(key, given)
+            small_batches(spark)
+            assert spark.conf.get(key).rstrip("b") == str(8 << 20)
+        spark.conf.set(key, "1k")
+        small_batches(spark)
+        assert spark.conf.get(key) == "1k"
+        spark.conf.set(key, 8 << 20)
+        rows = spark.range(0, 40, 1, 1).selectExpr("CAST(repeat('x', 1 << 20) AS BINARY) AS b")
+
+        def most(batches):
+            import pyarrow as pa
+
+            for batch in batches:
+                yield pa.RecordBatch.from_pydict({"n": [batch.num_rows]})
+
+        assert max(r.n for r in rows.mapInArrow(most, "n long").collect()) <= 10
+    finally:
+        spark.conf.set(key, before)
