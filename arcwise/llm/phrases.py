@@ -7,9 +7,9 @@ scan, for the frequent prefixes alone). Prefixes that follow each other are grou
 task, which orders them, so that they are the leaves of a subtree of depth four, and sums leaf totals at its nodes. Prefixes over the budget
 are the tree's top, whose counts the scans give.
 
-A phrase is no more frequent than its words and its pairs of words. So both are first counted by slots of a hash, one for each word of
-the corpus up to a bound, and suffixes end before a word or pair whose slot is too rare. That drops no phrase, and less is dropped where the
-corpus has many more words than there are slots.
+A phrase is no more frequent than its words, its pairs and its triples of words. So these are first counted by slots of a hash, one for
+each word of the corpus up to a bound, and suffixes end before a word, pair or triple whose slot is too rare. That drops no phrase, and less
+is dropped where the corpus has many more words than there are slots. What is written or sent is packed with zstd.
 
 Words travel as 62-bit hashes of language and word, with 0 for the end; that no two words of a counted hash are alike is checked,
 and another seed taken if any are. The texts are read once and written as word numbers, which later scans read.
@@ -50,6 +50,14 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[ord("A") : ord("Z") + 1] += 32
 
 
+def _zipped(raw: bytes) -> bytes:
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, "zstd", asbytes=True)
+
+
+def _unzipped(data: bytes) -> bytes:
+    return pa.decompress(data[8:], int.from_bytes(data[:8], "little"), "zstd", asbytes=True)
+
+
 def _mixed(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> _U(32))) * _U(0xD6E8FEB86659FD93)
     x = (x ^ (x >> _U(32))) * _U(0xD6E8FEB86659FD93)
@@ -75,20 +83,25 @@ def encoded_units(seed: int):
             opens[1:] = (breaks[1:] != breaks[:-1]) | (text[1:] != text[:-1])
             raw = data.tobytes()
             names = b" ".join([raw[a:b] for a, b in zip(words.starts[first].tolist(), words.ends[first].tolist(), strict=True)])
-            row = [vocabulary.astype("<u8").tobytes(), pack(ids), np.packbits(opens).tobytes(), names]
+            row = [vocabulary.astype("<u8").tobytes(), *(_zipped(x) for x in (pack(ids), np.packbits(opens).tobytes(), names))]
             yield pa.RecordBatch.from_arrays(
-                [pa.array([len(keys)]), *(pa.array([x], pa.binary()) for x in row), pa.array([list(langs)], pa.list_(pa.string())), pa.array([pack(of_lang[text[first]])], pa.binary())],
+                [pa.array([len(keys)]), *(pa.array([x], pa.binary()) for x in row), pa.array([list(langs)], pa.list_(pa.string())), pa.array([_zipped(pack(of_lang[text[first]]))], pa.binary())],
                 ["n", "vocabulary", "ids", "opens", "words", "langs", "of"],
             )
 
     return run
 
 
+def _keys(data: bytes) -> np.ndarray:
+    """Rising hashes, as ``pack_rising`` and ``_zipped`` left them."""
+    return np.cumsum(unpack(_unzipped(data), 8), dtype=_U)
+
+
 def _gathered(batches) -> Iterator[list[tuple]]:
     held, words = [], 0
     for batch in batches:
         for row in zip(*(batch.column(c).to_pylist() for c in ("n", "vocabulary", "ids", "opens")), strict=True):
-            held.append(row)
+            held.append((row[0], np.frombuffer(row[1], "<u8"), *(_unzipped(x) for x in row[2:])))
             words += row[0]
             if words >= ORDERED:
                 yield held
@@ -97,11 +110,24 @@ def _gathered(batches) -> Iterator[list[tuple]]:
         yield held
 
 
+def _held(parts: Iterator[tuple]) -> Iterator[list[tuple]]:
+    """Counts, of which the last array of each part has one for each row, up to ``ORDERED`` of them and a part; they then meet in the task."""
+    held, rows = [], 0
+    for part in parts:
+        held.append(part)
+        rows += len(part[-1])
+        if rows >= ORDERED:
+            yield held
+            held, rows = [], 0
+    if held:
+        yield held
+
+
 class Slots:
-    """Which words and pairs may be frequent: packed bits for the slots of their hashes, all of them where there are none yet."""
+    """Which words, pairs and triples may be frequent: packed bits for the slots of their hashes, all of them where there are none yet."""
 
-    def __init__(self, number: int, words: np.ndarray | None = None, pairs: np.ndarray | None = None):
-        self.number, self.words, self.pairs = number, words, pairs
+    def __init__(self, number: int, words: np.ndarray | None = None, pairs: np.ndarray | None = None, triples: np.ndarray | None = None):
+        self.number, self.words, self.pairs, self.triples = number, words, pairs, triples
 
     def of_words(self, keys: np.ndarray) -> np.ndarray:
         return ((keys >> _U(1)) % _U(self.number)).astype(np.int64)
@@ -109,38 +135,49 @@ class Slots:
     def of_pairs(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         return (_mixed(a * _U(0x9E3779B97F4A7C15) + b) % _U(self.number)).astype(np.int64)
 
+    def of_triples(self, a: np.ndarray, b: np.ndarray, c: np.ndarray) -> np.ndarray:
+        return self.of_pairs(_mixed(a * _U(0x9E3779B97F4A7C15) + b), c)
+
     @staticmethod
     def may_be(bits: np.ndarray | None, slots: np.ndarray) -> np.ndarray:
         return np.ones(len(slots), bool) if bits is None else (bits[slots >> 3] >> (7 - (slots & 7)).astype(np.uint8) & 1).astype(bool)
 
 
-def _read_units(units: list[tuple], slots: Slots) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The vocabulary of some units, the place of each word in it (-1 for rare ones), and whether it goes on to the next word."""
-    vocabulary = np.unique(np.concatenate([np.frombuffer(v, "<u8") for _, v, _, _ in units]))
+def _read_units(units: list[tuple], slots: Slots) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The vocabulary of some units, the place of each word in it (-1 for rare ones), and whether it goes on to the next word and the one after."""
+    vocabulary = np.unique(np.concatenate([v for _, v, _, _ in units]))
     number = np.where(slots.may_be(slots.words, slots.of_words(vocabulary)), np.arange(len(vocabulary)), -1)
-    ids = np.concatenate([number[np.searchsorted(vocabulary, np.frombuffer(v, "<u8"))][unpack(i)] for _, v, i, _ in units])
+    ids = np.concatenate([number[np.searchsorted(vocabulary, v)][unpack(i)] for _, v, i, _ in units])
     opens = np.concatenate([np.unpackbits(np.frombuffer(o, np.uint8), count=n).astype(bool) for n, _, _, o in units])
     goes_on = np.zeros(len(ids), bool)
     at = np.flatnonzero((ids[:-1] >= 0) & (ids[1:] >= 0) & ~opens[1:])
     goes_on[at[slots.may_be(slots.pairs, slots.of_pairs(vocabulary[ids[at]], vocabulary[ids[at + 1]]))]] = True
-    return vocabulary, ids, goes_on
+    goes_far = np.zeros(len(ids), bool)
+    at = np.flatnonzero(goes_on[:-1] & goes_on[1:])
+    goes_far[at[slots.may_be(slots.triples, slots.of_triples(*(vocabulary[ids[at + j]] for j in range(3))))]] = True
+    return vocabulary, ids, goes_on, goes_far
 
 
-def slot_counts(slots: Slots, pairs: bool, least: int):
-    """How often words or pairs of each slot come in some units, up to ``least``, in one piece for each block of slots."""
+def slot_counts(slots: Slots, size: int, least: int):
+    """How often words, pairs or triples (by ``size``) of each slot come in some units, up to ``least``, in one piece for each block of slots."""
 
-    def run(batches):
+    def counted(batches):
         for units in _gathered(batches):
-            vocabulary, ids, goes_on = _read_units(units, slots)
-            if pairs:
-                at = np.flatnonzero(goes_on)
-                found = slots.of_pairs(vocabulary[ids[at]], vocabulary[ids[at + 1]])
-            else:
+            vocabulary, ids, goes_on, goes_far = _read_units(units, slots)
+            if size == 1:
                 found = slots.of_words(vocabulary)[ids]
-            which, times = np.unique(found, return_counts=True)
+            else:
+                at = np.flatnonzero(goes_on if size == 2 else goes_far)
+                found = (slots.of_pairs if size == 2 else slots.of_triples)(*(vocabulary[ids[at + j]] for j in range(size)))
+            yield np.unique(found, return_counts=True)
+
+    def run(batches):
+        for held in _held(counted(batches)):
+            which, of = np.unique(np.concatenate([x for x, _ in held]), return_inverse=True)
+            times = np.bincount(of, np.concatenate([x for _, x in held]), minlength=len(which)).astype(np.int64)
             cuts = np.searchsorted(which, np.arange(0, slots.number + BLOCK_SLOTS, BLOCK_SLOTS))
             times = np.minimum(times, least)
-            rows = [(int(k), pack_rising(which[cuts[k] : cuts[k + 1]] - k * BLOCK_SLOTS), pack(times[cuts[k] : cuts[k + 1]])) for k in np.flatnonzero(np.diff(cuts))]
+            rows = [(int(k), _zipped(pack_rising(which[cuts[k] : cuts[k + 1]] - k * BLOCK_SLOTS)), _zipped(pack(times[cuts[k] : cuts[k + 1]]))) for k in np.flatnonzero(np.diff(cuts))]
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.binary(), pa.binary()), strict=True)], ["block", "slots", "times"])
 
@@ -151,15 +188,15 @@ def block_bits(least: int):
     def run(group: pd.DataFrame) -> pd.DataFrame:
         total = np.zeros(BLOCK_SLOTS, np.int64)
         for which, times in zip(group.slots, group.times, strict=True):
-            total[unpack_rising(which)] += unpack(times)
+            total[unpack_rising(_unzipped(which))] += unpack(_unzipped(times))
         return pd.DataFrame({"block": group.block[:1], "bits": [np.packbits(total >= least).tobytes()]})
 
     return run
 
 
-def _frequent_slots(units: DataFrame, slots: Slots, pairs: bool, least: int) -> np.ndarray:
-    """A bit for each slot whose words or pairs come ``least`` times or more; MOST_SLOTS bits at most come to the driver."""
-    parts = units.mapInArrow(slot_counts(slots, pairs, least), "block int, slots binary, times binary")
+def _frequent_slots(units: DataFrame, slots: Slots, size: int, least: int) -> np.ndarray:
+    """A bit for each slot whose words, pairs or triples come ``least`` times or more; MOST_SLOTS bits at most come to the driver."""
+    parts = units.mapInArrow(slot_counts(slots, size, least), "block int, slots binary, times binary")
     bits = np.zeros(slots.number // 8, np.uint8)
     for row in parts.groupBy("block").applyInPandas(block_bits(least), "block int, bits binary").toLocalIterator():
         bits[row.block * BLOCK_SLOTS // 8 : (row.block + 1) * BLOCK_SLOTS // 8] = np.frombuffer(row.bits, np.uint8)
@@ -172,10 +209,10 @@ def counted_words(slots: Slots):
     def run(batches):
         for batch in batches:
             for row in batch.to_pylist():
-                vocabulary, of = np.frombuffer(row["vocabulary"], "<u8"), unpack(row["of"])
-                n = np.bincount(unpack(row["ids"]), minlength=len(vocabulary))
+                vocabulary, of = np.frombuffer(row["vocabulary"], "<u8"), unpack(_unzipped(row["of"]))
+                n = np.bincount(unpack(_unzipped(row["ids"])), minlength=len(vocabulary))
                 kept = np.flatnonzero(slots.may_be(slots.words, slots.of_words(vocabulary)))
-                words, langs = row["words"].split(b" "), row["langs"]
+                words, langs = _unzipped(row["words"]).split(b" "), row["langs"]
                 totals = np.bincount(of, n, minlength=len(langs)).astype(np.int64)
                 names = [words[k].decode() for k in kept]
                 yield pa.RecordBatch.from_arrays(
@@ -190,13 +227,13 @@ def _suffixes(units: list[tuple], slots: Slots) -> tuple[np.ndarray, np.ndarray,
     """The vocabulary of some units, their distinct suffixes of two words or more in order, as two numbers each, and how often each comes.
 
     A word is twice its place in the vocabulary, from 2 on, so that odd numbers are left for words that fall between; 0 is the end.
-    Suffixes end before words and pairs that are surely too rare.
+    Suffixes end before words, pairs and triples that are surely too rare.
     """
-    vocabulary, ids, goes_on = _read_units(units, slots)
+    vocabulary, ids, goes_on, goes_far = _read_units(units, slots)
     n, number = len(ids), 2 * ids + 2
     inside, columns = np.ones(n, bool), [number]
     for j in range(1, LONGEST):
-        inside = inside[: max(n - j, 0)] & goes_on[j - 1 : n - 1]
+        inside = inside[: max(n - j, 0)] & (goes_on[: n - 1] if j == 1 else goes_far[j - 2 : n - 2])
         column = np.zeros(n, np.int64)
         column[: len(inside)][inside] = number[j:][inside]
         columns.append(column)
@@ -209,6 +246,25 @@ def _suffixes(units: list[tuple], slots: Slots) -> tuple[np.ndarray, np.ndarray,
     return vocabulary, high[start], low[start], np.diff(np.append(start, len(high)))
 
 
+def _task_suffixes(batches, slots: Slots) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """What ``_suffixes`` says of the units of a task, as far as ``_held`` goes, so that each of their suffixes is sent once."""
+
+    def used():
+        for units in _gathered(batches):
+            vocabulary, high, low, times = _suffixes(units, slots)
+            numbers, at = np.unique(np.concatenate([high >> 33, (high & 0xFFFFFFFF) >> 1, low >> 33, (low & 0xFFFFFFFF) >> 1, [0]]), return_inverse=True)
+            yield vocabulary[numbers[1:] - 1], at[:-1].reshape(LONGEST, -1).astype(np.int32), times
+
+    for held in _held(used()):
+        vocabulary = np.unique(np.concatenate([v for v, _, _ in held]))
+        a, b, c, d = np.concatenate([np.append(0, 2 * np.searchsorted(vocabulary, v) + 2)[at] for v, at, _ in held], 1)
+        high, low, times = a << 32 | b, c << 32 | d, np.concatenate([t for _, _, t in held])
+        order = np.lexsort((low, high))
+        high, low = high[order], low[order]
+        start = np.flatnonzero(np.append(True, (high[1:] != high[:-1]) | (low[1:] != low[:-1]))[: len(high)])
+        yield vocabulary, high[start], low[start], np.add.reduceat(times[order], start) if len(start) else times
+
+
 def _places(prefixes: np.ndarray, vocabulary: np.ndarray, high: np.ndarray, low: np.ndarray, after: int = 0) -> np.ndarray:
     """How many suffixes come before each prefix (rows of four hashes, 0 where it is shorter); with ``after`` words, before the first
     suffix past all that share these."""
@@ -240,8 +296,7 @@ def longer_prefixes(hot: np.ndarray, words: int, slots: Slots):
     """Counts of the prefixes of ``words`` words that go on from the prefixes ``hot`` of one word less; an end counts as a word."""
 
     def run(batches):
-        for units in _gathered(batches):
-            vocabulary, high, low, times = _suffixes(units, slots)
+        for vocabulary, high, low, times in _task_suffixes(batches, slots):
             a = _places(hot, vocabulary, high, low)
             b = _places(hot, vocabulary, high, low, words - 1)
             own = np.concatenate([np.arange(x, y) for x, y in zip(a, b, strict=True)]).astype(np.int64)
@@ -260,8 +315,7 @@ def grouped_suffixes(cuts: np.ndarray, leaves: np.ndarray, slots: Slots):
     """Distinct suffixes with their counts, in one piece for each group between two cuts; leaves of the tree's top stay away."""
 
     def run(batches):
-        for units in _gathered(batches):
-            vocabulary, high, low, times = _suffixes(units, slots)
+        for vocabulary, high, low, times in _task_suffixes(batches, slots):
             if len(leaves):
                 at = _places(leaves, vocabulary, high, low)
                 end = _places(leaves, vocabulary, high, low, LONGEST)
@@ -275,7 +329,7 @@ def grouped_suffixes(cuts: np.ndarray, leaves: np.ndarray, slots: Slots):
                 numbers = np.stack([high[own] >> 33, (high[own] & 0xFFFFFFFF) >> 1, low[own] >> 33, (low[own] & 0xFFFFFFFF) >> 1])
                 used, ids = np.unique(numbers, return_inverse=True)
                 used, ids = (used[1:], ids) if used[0] == 0 else (used, ids + 1)
-                rows.append((int(g), vocabulary[used - 1].astype("<u8").tobytes(), pack(ids.ravel()), pack(times[own])))
+                rows.append((int(g), *(_zipped(x) for x in (pack_rising(vocabulary[used - 1].view(np.int64), 8), pack(ids.ravel()), pack(times[own])))))
             if rows:
                 names = ["grp", "vocabulary", "ids", "times"]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.binary(), pa.binary(), pa.binary()), strict=True)], names)
@@ -287,14 +341,14 @@ def subtree_counts(least: int):
     """Nodes of a group's subtree at depth two and more that have ``least`` occurrences."""
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
-        parts = [np.frombuffer(v, "<u8") for v in group.vocabulary]
+        parts = [_keys(v) for v in group.vocabulary]
         vocabulary = np.unique(np.concatenate(parts))
         columns = []
         for part, raw in zip(parts, group.ids, strict=True):
             number = np.append(0, np.searchsorted(vocabulary, part) + 1).astype(np.int32)
-            columns.append(number[unpack(raw)].reshape(LONGEST, -1))
+            columns.append(number[unpack(_unzipped(raw))].reshape(LONGEST, -1))
         numbers = np.concatenate(columns, 1)
-        times = np.concatenate([unpack(t).astype(np.int64) for t in group.times])
+        times = np.concatenate([unpack(_unzipped(t)).astype(np.int64) for t in group.times])
         columns.clear()
         high, low = (a.astype(np.int64) << 32 | b for a, b in (numbers[:2], numbers[2:]))
         order = np.lexsort((low, high))
@@ -337,7 +391,7 @@ def phrase_counts(docs: DataFrame, least: int, budget: int = BUDGET, seed: int =
         units = coded.select("n", "vocabulary", "ids", "opens")
         size = units.agg(F.sum("n")).first()[0] or 0
         slots = Slots(min(MOST_SLOTS, max(BLOCK_SLOTS, 1 << int(size).bit_length())))
-        slots.words = _frequent_slots(units, slots, False, least)
+        slots.words = _frequent_slots(units, slots, 1, least)
         summed = coded.select("vocabulary", "ids", "words", "langs", "of").mapInArrow(counted_words(slots), COUNTED).groupBy("lang", "word", "key").agg(F.sum("n").alias("f"))
         words = materialize(summed, "words")
         if words.where("key <> 0").groupBy("key").count().where("count > 1").isEmpty():
@@ -345,7 +399,8 @@ def phrase_counts(docs: DataFrame, least: int, budget: int = BUDGET, seed: int =
         forget(coded, words)
         seed += 1
     words = words.where((F.col("f") >= least) | (F.col("key") == 0))
-    slots.pairs = _frequent_slots(units, slots, True, least)
+    slots.pairs = _frequent_slots(units, slots, 2, least)
+    slots.triples = _frequent_slots(units, slots, 3, least)
     level = words.where("key <> 0").select(F.col("key").alias("k1"), *(zero.alias(k) for k in KEYS[1:]), "f")
     items, tops, leaves = [], [], [np.zeros((0, LONGEST), _U)]
     for depth in range(1, LONGEST + 1):

@@ -169,3 +169,30 @@ def test_batches_are_bounded_in_bytes(spark):
         assert max(r.n for r in rows.mapInArrow(most, "n long").collect()) <= 10
     finally:
         spark.conf.set(key, before)
+
+
+def test_suffixes_end_before_rare_triples():
+    """A suffix whose triples are rare is sent as a pair, though all of its pairs are frequent; what is written is packed."""
+    import pyarrow as pa
+
+    text = "a b c. " * 30 + "b c d. " * 30 + "a b x. c d. b x. " * 30 + "a b c d. "
+    batch = pa.RecordBatch.from_arrays([pa.array(["en"]), pa.array([text])], ["lang", "text"])
+    (unit,) = phrases.encoded_units(0)(iter([batch]))
+    (units,) = phrases._gathered([unit])
+    every = phrases.Slots(1 << 20)
+    vocabulary, ids, _, _ = phrases._read_units(units, every)
+    assert (vocabulary == np.sort(vocabulary)).all() and len(vocabulary) == 5 and len(ids) == 30 * 3 + 30 * 3 + 30 * 7 + 4
+    n, found = Counter(), {}
+    for size in (2, 3):
+        found[size] = np.zeros((1 << 20) // 8, np.uint8)
+        for batch in phrases.slot_counts(every, size, 31)([unit]):
+            for row in batch.to_pylist():
+                which = phrases.unpack_rising(phrases._unzipped(row["slots"])) + row["block"] * phrases.BLOCK_SLOTS
+                n[size] += len(which)
+                for slot, times in zip(which, phrases.unpack(phrases._unzipped(row["times"])), strict=True):
+                    found[size][slot >> 3] |= (times >= 31) << (7 - (slot & 7))
+    assert n == {2: 4, 3: 3}  # ab, bc, cd, bx; abc, bcd, abx
+    pairs_only, both = phrases.Slots(1 << 20, pairs=found[2]), phrases.Slots(1 << 20, pairs=found[2], triples=found[3])
+    lengths = lambda slots: Counter((phrases._hashes(*(x := phrases._suffixes(units, slots))[:3]) != 0).sum(1).repeat(x[3]).tolist())
+    # abc and bcd come 31 times; abx comes 30 times and now ends after its pair
+    assert lengths(pairs_only)[3] == 91 and lengths(both)[3] == 61 and lengths(both)[4] == 1
