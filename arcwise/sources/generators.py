@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -12,13 +14,23 @@ from arcwise.operators.graph import Graph
 from arcwise.storage import dealt, materialize
 
 
-def complete_graph(vertices: DataFrame, max_vertices: int = 10_000) -> Graph:
-    """All pairs; more than ``max_vertices`` is an error, since edges grow with the square."""
-    ids = vertices.select(F.col(vertices.columns[0]).alias("id")).distinct()
-    if ids.limit(max_vertices + 1).count() > max_vertices:
+def complete_graph(vertices: DataFrame, max_vertices: int | None = 10_000, block: int = 1_000_000) -> Graph:
+    """All pairs; more than ``max_vertices`` is an error unless that is None, since edges grow with the square.
+
+    Vertices are dealt so that a task makes some 50 million pairs. Every task meets all vertices, which are broadcast in blocks of
+    ``block``, so no pair is shuffled and a task holds one block at a time.
+    """
+    ids = materialize(vertices.select(F.col(vertices.columns[0]).alias("id")).distinct(), "ids")
+    n = ids.count()
+    if max_vertices is not None and n > max_vertices:
         raise ValueError(f"more than {max_vertices} vertices")
-    pairs = ids.select(F.col("id").alias("src")).join(ids.select(F.col("id").alias("dst")), F.col("src") < F.col("dst"))
-    return Graph(ids, pairs)
+    spread = ids.repartition(max(1, min(n, max(4 * ids.sparkSession.sparkContext.defaultParallelism, n * n // 100_000_000)))).select(F.col("id").alias("src"))
+    blocks = [ids]
+    if n > block:
+        placed = materialize(with_global_index(ids, ["id"], "at"), "ids")
+        blocks = [placed.where(f"at div {block} = {k}").select("id") for k in range(-(-n // block))]
+    pairs = [spread.join(F.broadcast(b.select(F.col("id").alias("dst"))), F.col("src") < F.col("dst")) for b in blocks]
+    return Graph(ids, reduce(DataFrame.union, pairs))
 
 
 def edges_from_comembership(df: DataFrame, member: str, group: str, max_group: int = 10_000) -> DataFrame:
