@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from functools import partial
+
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from arcwise.operators.bundles import by_order, ends_in, neighbors, of_graph, unpacked
 from arcwise.operators.graph import Graph
 from arcwise.storage import materialize
 
@@ -15,8 +19,11 @@ def greedy_coloring(g: Graph, priority: DataFrame | None = None, fixed: DataFram
     ``priority`` is ``id, rank`` (least first, ties by id; else by falling degree).
     Colors of ``fixed`` (``id, color``) stay. None if more than ``max_colors`` are
     needed. The number of colors is not the least in general. In each round all
-    vertices that come before their uncolored neighbours are colored together.
+    vertices that come before their uncolored neighbours are colored together; without ``priority`` and
+    ``fixed``, small components are colored in their bundles.
     """
+    if priority is None and fixed is None and (packed := of_graph(g)) is not None:
+        return _with_bundles(g, packed, packed[0], _colors_in, lambda rest: greedy_coloring(rest, rest.degrees().select("id", (-F.col("degree")).alias("rank")), max_colors=max_colors), max_colors)
     rank = g.degrees().select("id", (-F.col("degree")).alias("rank")) if priority is None else priority
     place = materialize(g.vertices.join(rank, "id", "left").select("id", F.struct(F.coalesce("rank", F.lit(0)).alias("rank"), "id").alias("p")))
     arcs = materialize(g.arcs.select("src", "dst"))
@@ -36,8 +43,40 @@ def greedy_coloring(g: Graph, priority: DataFrame | None = None, fixed: DataFram
     return done
 
 
+def _with_bundles(g: Graph, packed, bundles: DataFrame, f, other, max_colors: int | None = None) -> DataFrame | None:
+    """Colors of small components by ``f``, of the others by ``other``."""
+    kind = dict(g.vertices.dtypes)["id"]
+    small = materialize(unpacked(bundles, f, "id long, color long").select(F.col("id").cast(kind).alias("id"), F.col("color").cast("int").alias("color")))
+    if max_colors is not None and not small.where(F.col("color") >= max_colors).isEmpty():
+        return None
+    if packed[1] is None:
+        return small
+    large = other(packed[1])
+    return None if large is None else small.union(large.select(F.col("id").cast(kind), "color"))
+
+
+def _colors_in(x, backward: bool = False):
+    """In a bundle: the smallest color free of the neighbours before, by falling degree and id, or from the last place of an order on."""
+    ids = np.unique(np.concatenate([x["src"], x["dst"]]))
+    a, b = ends_in(ids, x)
+    if backward:  # vertices without a place count as place 0
+        rank = np.zeros(len(ids), np.int64)
+        rank[np.searchsorted(ids, x["ids"])] = -x["pos"]
+    else:
+        rank = -np.bincount(np.concatenate([a, b]), minlength=len(ids))
+    near, color = neighbors(a, b, len(ids)), [-1] * len(ids)
+    for v in np.argsort(rank, kind="stable").tolist():
+        used, c = {color[u] for u in near[v]}, 0
+        while c in used:
+            c += 1
+        color[v] = c
+    return {"id": ids, "color": np.array(color)}
+
+
 def chordal_coloring(g: Graph, order: DataFrame) -> DataFrame:
     """The least number of colors, given a perfect elimination order ``id, pos`` of a chordal graph."""
+    if (packed := of_graph(g)) is not None:
+        return _with_bundles(g, packed, by_order(g, order), partial(_colors_in, backward=True), lambda rest: greedy_coloring(rest, order.select("id", (-F.col("pos")).alias("rank"))))
     return greedy_coloring(g, order.select("id", (-F.col("pos")).alias("rank")))
 
 

@@ -11,7 +11,7 @@ from arcwise.operators.components import star_labels
 from arcwise.operators.forests import preorder, range_extremes
 from arcwise.operators.graph import Graph, canonical
 from arcwise.operators.paths import rooted_spanning_forest
-from arcwise.storage import materialize
+from arcwise.storage import dealt, forget, materialize
 
 
 def connected_components(g: Graph) -> DataFrame:
@@ -160,6 +160,29 @@ def as_tree(g: Graph, root=None) -> DataFrame | None:
     return reachable_from(g, start).select("id", "parent", F.col("hops").alias("depth"))
 
 
+def parents_in_tree(g: Graph, root) -> DataFrame | None:
+    """``id, parent`` of all vertices of a tree but the root; None if the graph is no tree.
+
+    In each round all leaves go, each below its only neighbour, so a bushy tree's rounds shrink fast.
+    """
+    left, n = materialize(g.edges.select("src", "dst")), g.vertex_count()
+    m, done = left.count(), []
+    if n == 0 or m != n - 1:
+        return None
+    while m:
+        arcs = left.union(left.select("dst", "src")).toDF("id", "parent")
+        alone = dealt(arcs, 2 * m, "id").groupBy("id").agg(F.count(F.lit(1)).alias("n"), F.min("parent").alias("parent"))
+        leaves = materialize(alone.where((F.col("n") == 1) & (F.col("id") != F.lit(root))).select("id", "parent"))
+        gone = canonical(leaves.select(F.col("id").alias("src"), F.col("parent").alias("dst")))
+        old, left = left, materialize(left.join(gone, ["src", "dst"], "left_anti"))
+        forget(old)
+        before, m = m, left.count()
+        if m == before:
+            return None
+        done.append(leaves)
+    return reduce(DataFrame.union, done) if done else g.vertices.select("id", F.col("id").alias("parent")).limit(0)
+
+
 def tree_to_dot(tree: DataFrame, label, name: str = "tree", settings: tuple[str, ...] = ()) -> DataFrame:
     """One text column ``line``: a digraph of ``id, parent``, each line by itself; ``label`` is a Column.
 
