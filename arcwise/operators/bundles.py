@@ -105,26 +105,40 @@ def repacked(bundles: DataFrame, columns: list[str], f: Callable[[Arrays], Itera
     return _kept(bundles.mapInArrow(run, _schema(columns)), label)
 
 
-def bundled(rows: DataFrame, a: str, b: str, *also: str) -> tuple[DataFrame, DataFrame | None]:
-    """``chunk`` and the columns as bytes, and the rows of large components, None if there are none.
-
-    Components are those of the pairs ``a, b``, which may be equal (a vertex alone); all columns are whole numbers.
-    """
-    columns, spark = [a, b, *also], rows.sparkSession
-    chunks = _packed(rows.select(columns), columns, "chunks")
+def _marked(chunks: DataFrame, a: str, b: str, rows: int | None) -> DataFrame:
+    """The chunks with ``open``, those of their vertices that are in other chunks as well (null for none)."""
 
     def ends(x):
         v = np.unique(np.concatenate([x[a], x[b]]))
         return {"v": v, "chunk": np.full(len(v), x["chunk"])}
 
     at = unpacked(chunks, ends, "v long, chunk long")
-    n = rows_of(rows)
-    apart = materialize(dealt(at, n, "v").groupBy("v").agg(F.min("chunk").alias("lo"), F.max("chunk").alias("hi")).where("lo <> hi").select("v"), "apart")
+    apart = materialize(dealt(at, rows, "v").groupBy("v").agg(F.min("chunk").alias("lo"), F.max("chunk").alias("hi")).where("lo <> hi").select("v"), "apart")
     if apart.isEmpty():
-        open_at = spark.createDataFrame([], "chunk long, `open` binary")
+        open_at = chunks.sparkSession.createDataFrame([], "chunk long, `open` binary")
     else:
         # written, so that its size is known and the chunks are not shuffled for a few
         open_at = materialize(_by_chunk(at.join(apart, "v").select("chunk", "v"), ["v"]).withColumnRenamed("v", "open"), "open")
+    return chunks.join(open_at, "chunk", "left")
+
+
+def in_ranges(edges: DataFrame, rows: int | None) -> DataFrame:
+    """Edges ``src, dst`` as chunks in the order of ``src``, whatever their components, with ``open``, the vertices that are in other chunks."""
+    spark = edges.sparkSession
+    long = edges.select(F.col("src").cast("long").alias("src"), F.col("dst").cast("long").alias("dst"))
+    laid = long.repartitionByRange(parts_for(spark, rows or 0), "src", "dst").sortWithinPartitions("src", "dst")
+    return _marked(_packed(laid, ["src", "dst"], "chunks"), "src", "dst", rows)
+
+
+def bundled(rows: DataFrame, a: str, b: str, *also: str) -> tuple[DataFrame, DataFrame | None]:
+    """``chunk`` and the columns as bytes, and the rows of large components, None if there are none.
+
+    Components are those of the pairs ``a, b``, which may be equal (a vertex alone); all columns are whole numbers.
+    """
+    columns, spark = [a, b, *also], rows.sparkSession
+    chunks = _packed(rows.select(columns), columns, "chunks")
+
+    marked = _marked(chunks, a, b, rows_of(rows))
 
     def closed(x):
         """The component of each row, and which rows' components are small and have no vertex elsewhere."""
@@ -145,7 +159,7 @@ def bundled(rows: DataFrame, a: str, b: str, *also: str) -> tuple[DataFrame, Dat
             if len(rows):
                 yield {c: x[c][rows] for c in columns} | {"_kept": np.array([kind])}
 
-    both = repacked(chunks.join(open_at, "chunk", "left"), [*columns, "_kept"], split, "bundles")
+    both = repacked(marked, [*columns, "_kept"], split, "bundles")
     good = F.substring("_kept", 1, 1) == F.lit(b"\x01")
     bundles = both.where(good).drop("_kept")
     left = materialize(unpacked(both.where(~good), lambda x: {c: x[c] for c in columns}, ", ".join(f"{c} long" for c in columns)), "apart")
